@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,7 +83,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
     """The rows of ``batches`` in slices of about ``most_bytes`` of ``column``; a longer row is a slice of its own."""
     for batch in batches:
         sizes = batch.column(column)
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(sizes), 0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0

@@ -1,6 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import quality_rules
+from . import quality_rules, token_output
 
-QUERIES = {"op10_quality_rules": quality_rules.query}
+QUERIES = {
+    "op4_token_output": token_output.query,
+    "op10_quality_rules": quality_rules.query,
+}
 ORACLES: dict[str, str] = {}
