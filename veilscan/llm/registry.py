@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import license_scan, quality_rules, token_output, url_filter
+from . import license_scan, quality_rules, sharding, token_output, url_filter
 
 QUERIES = {
     "op4_token_output": token_output.query,
+    "op7_sharding": sharding.query,
     "op8_license_scan": license_scan.query,
     "op9_url_filter": url_filter.query,
     "op10_quality_rules": quality_rules.query,
 }
-ORACLES: dict[str, str] = {"op9_url_filter": url_filter.SQL}
+ORACLES: dict[str, str] = {"op7_sharding": sharding.SQL, "op9_url_filter": url_filter.SQL}
