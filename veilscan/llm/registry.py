@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import license_scan, quality_rules, sharding, token_output, url_filter
+from . import html_extract, license_scan, quality_rules, sharding, token_output, url_filter
 
 QUERIES = {
+    "op3_html_extract": html_extract.query,
     "op4_token_output": token_output.query,
     "op7_sharding": sharding.query,
     "op8_license_scan": license_scan.query,
