@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import html_extract, license_scan, quality_rules, sharding, token_output, url_filter
+from . import html_extract, license_scan, quality_rules, sharding, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op3_html_extract": html_extract.query,
     "op4_token_output": token_output.query,
+    "op6_substring_dedup": substring_dedup.query,
     "op7_sharding": sharding.query,
     "op8_license_scan": license_scan.query,
     "op9_url_filter": url_filter.query,
