@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from veilscan.llm import token_output as T
 
 PATH = T.default_tokenizer()
-TEXTS = [None, "", " ", "Hello  world\n\nit's", "a<|endoftext|>b <|startoftext|>", "é ́ ΑΣ ᲀ\x1cx\x1f  y　z", "I'LL 123 ...?!\t\x0b w", "İstanbul ﬁ ΑΣ.", "word " * 30_000]
+TEXTS = [None, "", " ", "Hello  world\n\nit's", "a<|endoftext|>b <|startoftext|>", "é ́ ΑΣ ᲀ\x1cx\x1f  y　z", "I'LL 123 ...?!\t\x0b w", "İstanbul ﬁ ΑΣ.", "Ünïcödé, straße. ÀÿªºµÞ, x., .,y a.b, 1st. 2, ΑΣ, don't, 's. İ. q\u0301, ﬁ.", "word " * 30_000]
 
 
 def brute(texts):

@@ -42,8 +42,8 @@ from .common import pieces, shared_dir
 #: Fixed values of the frame format.
 MASK_DELTA = 0xA282EAD8
 LENGTH, CHECK, HEAD, INDEX = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?q"), struct.Struct("<QQ")
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Words, and words without case and marks, whose ids a worker remembers.
+REMEMBERED = 700_000
 
 
 def masked(data: bytes) -> int:
@@ -70,15 +70,56 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        big, small, mark = self._ids(["STRASSÉ.", "strassé", "."])
+        self.plain = bool(suffix) and big == small + mark
+        self.marks = {"": b""} | dict(zip(".,", self._ids([".", ","]), strict=True))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.width).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin-1 letters. Each ends with the first id that ends a word, so they go to the tokenizer as one text."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.width)
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return self._ids(words)
+        raw, size = ids.tobytes(), self.width.itemsize
+        return [raw[a * size : b * size] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Latin-1 letters, with a full stop or comma after them or not, are encoded without case; all other words one by one.
+
+        That needs a tokenizer that knows no case, parts marks from letters and ends words with ids of their own (``plain``)."""
+        others = fresh
+        if self.plain:
+            ends = [word[-1:] if word[-1:] in self.marks else "" for word in fresh]
+            stems = [(word[:-1] if end else word).lower() for word, end in zip(fresh, ends, strict=True)]
+            new = [s for s in set(stems) - self.stems.keys() if s.isalpha() and (s.isascii() or max(s) <= "\xff")]
+            for at in range(0, len(new), 4000):
+                some = new[at : at + 4000]
+                self.stems.update(zip(some, self._letters(some), strict=True))
+            others = []
+            for word, stem, end in zip(fresh, stems, ends, strict=True):
+                ids = self.stems.get(stem)
+                if ids is None:
+                    others.append(word)
+                else:
+                    self.known[word] = ids + self.marks[end]
+        self.known.update(zip(others, self._ids(others), strict=True))
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """The ids of each text and the end id, ``width`` bytes each."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        fresh = list(set().union(*split) - self.known.keys())
-        for word, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, self.width).tobytes()
+        if len(self.stems) > REMEMBERED:
+            self.stems.clear()
+        self._learn(list(set().union(*split) - self.known.keys()))
         end = np.array([end_id], self.width).tobytes()
         return [b"".join(map(self.known.__getitem__, words)) + end for words in split]
 
