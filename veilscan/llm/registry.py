@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import html_extract, license_scan, ngram_join, quality_rules, sharding, source_mix, substring_dedup, token_output, url_filter
+from . import decontaminate, html_extract, license_scan, ngram_join, quality_rules, sharding, source_mix, substring_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
     "op2_source_mix": source_mix.query,
     "op3_html_extract": html_extract.query,
     "op4_token_output": token_output.query,
+    "op5_decontaminate": decontaminate.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_sharding": sharding.query,
     "op8_license_scan": license_scan.query,
