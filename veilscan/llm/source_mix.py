@@ -177,7 +177,7 @@ def mixed_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", so
     numbers = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / block))
     parts = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, numbers)))
     inside = parts.withColumns({"low": F.greatest(F.col("start") - F.col("block") * block, F.lit(0)), "high": F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))})
-    met = inside.join(filled, ["source", "block"], "left").withColumn("words", F.greatest(F.least("high", F.coalesce("words", F.lit(0))) - F.col("low"), F.lit(0)))
+    met = inside.join(filled.hint("shuffle_merge"), ["source", "block"], "left").withColumn("words", F.greatest(F.least("high", F.coalesce("words", F.lit(0))) - F.col("low"), F.lit(0)))
     return met.withColumn("from", F.col("low") + F.col("block") * block - F.col("start")).drop("low", "high")
 
 
