@@ -73,7 +73,7 @@ def shingle_hashes(word_hashes: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return word_hashes
     k = min(k, n)
-    out = np.full(n - k + 1, np.uint64(k) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+    out = np.full(n - k + 1, k, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for i in range(k):
         out = out * np.uint64(0x9FB21C651E98DF25) + mixed(word_hashes[i : n - k + 1 + i])
     return mixed(out)

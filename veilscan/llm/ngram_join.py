@@ -5,7 +5,8 @@ similarity of 0.8 or more of their sets of word shingles.
 
 * Documents with equal sets are one class; only classes are compared.
 * All tokens (hashes of shingles) have one order: those that are not known to be
-  frequent by their hash, then the ``FREQUENT`` most frequent ones by their count.
+  frequent by their hash, then the ``FREQUENT`` most frequent ones by their count
+  (of all that ``COUNTED`` texts or more of some piece of input have).
   Any order gives the same result. A linked pair shares a token within the first
   n - ceil(0.8 n) + 1 of each set, the prefix, so only prefixes are dealt out as
   inverted lists, and lists of one class end there.
@@ -40,14 +41,18 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WordHashes, mixed, pieces, shingle_hashes, stored
 from .components import components
 
 #: Tokens in the frequency table, in how many documents of a piece one must stand to be counted, and the pairs a member may have in a list before pivots are used.
-FREQUENT, COUNTED, DENSE = 1 << 18, 4, 4
+FREQUENT, COUNTED, DENSE = 1 << 20, 2, 4
+#: Bytes of text whose texts are counted together.
+COUNTED_BYTES = 32 << 20
 #: Bits of the map of wanted documents that spares moving others, and candidates in one search.
 WANTED_BITS, SEARCHED = 1 << 25, 256
 #: DivideSkip's weight of a long list.
@@ -113,7 +118,7 @@ KNOWN = "kind int, doc_id long, n long, class long, token long"
 def _known(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and one for each token that several texts of a piece have."""
     known = WordHashes()
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", COUNTED_BYTES):
         sets = token_sets(batch.column("text").to_pylist(), k, known)
         classes = [class_of(s) if len(s) else 0 for s in sets]
         n = len(sets)
@@ -239,8 +244,14 @@ def _lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Dense lists, sorted by token, with the label of each member: the candidate pairs with two labels, but for the pivot's."""
     held: list[np.ndarray] = []
+    pairs: list[np.ndarray] = []
+
+    def emitted() -> pa.RecordBatch:
+        both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        pairs.clear()
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["q", "c"])
 
-    def done(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def done(x: np.ndarray) -> None:
         _, q, c, n, pos, label = x
         for i in range(len(c) - 1):
             if c[i] == q[i] or (label[i] == label).all():
@@ -248,7 +259,7 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             j = np.arange(i + 1, len(c))
             j = j[(label[j] != label[i]) & (c[j] != q[j]) & _possible(n[i], pos[i], n[j], pos[j])]
             if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c[i], c[j])), pa.array(np.maximum(c[i], c[j]))], ["q", "c"])
+                pairs.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], 1))
 
     for batch in batches:
         if not batch.num_rows:
@@ -256,45 +267,55 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "q", "c", "n", "pos", "label")])
         for part in np.split(x, np.flatnonzero(np.diff(x[0])) + 1, axis=1):
             if held and held[0][0, 0] != part[0, 0]:
-                yield from done(np.concatenate(held, axis=1))
+                done(np.concatenate(held, axis=1))
                 held = []
+                if len(pairs) > 50_000:
+                    yield emitted()
             held.append(part)
     if held:
-        yield from done(np.concatenate(held, axis=1))
+        done(np.concatenate(held, axis=1))
+    yield emitted()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as packed bytes: a fraction of the size of their tokens."""
+    pack = zstandard.ZstdCompressor(level=1)
     for batch in pieces(batches, "text"):
-        sets = token_sets(batch.column("text").to_pylist(), k, known)
-        yield pa.RecordBatch.from_arrays([pa.array(map(class_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "tokens"])
+        rows = [pack.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], ["doc_id", "packed"])
+
 
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows in order of (q, block), the query's own before its candidates'."""
-    query, key, found = [], None, []
+    query, key, found, known = [], None, [], WordHashes()
+    unpack = zstandard.ZstdDecompressor()
     candidates: dict[int, list] = {}
 
     def done() -> None:
-        if candidates:
+        if query and candidates:
             need = {c: -(-4 * (len(query) + len(t)) // 9) for c, t in candidates.items()}
             found.extend((key[0], c) for c in divide_skip(query, candidates, need))
 
     for batch in batches:
-        for q, block, own, c, tokens in zip(*(batch.column(x).to_pylist() for x in ("q", "block", "own", "c", "tokens")), strict=True):
+        for q, block, own, c, packed in zip(*(batch.column(x).to_pylist() for x in ("q", "block", "own", "c", "packed")), strict=True):
             if (q, block) != key:
                 done()
                 key, query, candidates = (q, block), [], {}
-            got = np.frombuffer(tokens, np.uint64).tolist()
+            got = token_sets([unpack.decompress(packed, max_output_size=1 << 31).decode("utf-8", "surrogatepass")], k, known)[0]
+            if class_of(got) != c:  # a row of the same id with another text
+                continue
             if own:
-                query = got
+                query = got.tolist()
             else:
-                candidates[c] = got
+                candidates[c] = got.tolist()
         if len(found) > 10_000:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], LINK)
             found.clear()
     done()
-    yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], LINK)
 
 
 def _wanted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -307,15 +328,15 @@ def _wanted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return joined.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_b % 8 as int))")) != 0).drop("_b", "part", "bits")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, k: int, parts: int) -> DataFrame:
     """Of candidate pairs (q, c), the links (a, b)."""
     pairs = stored(pairs)
     sizes = pairs.groupBy("q").agg(F.ceil(F.count("*") / SEARCHED).cast("int").alias("blocks"))
     dealt = pairs.join(sizes, "q").select("q", "c", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"))
-    own = sizes.join(sets, sizes.q == sets["class"]).select("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("own"), F.col("q").alias("c"), "tokens")
-    others = dealt.join(sets, dealt.c == sets["class"]).select("q", "block", F.lit(False).alias("own"), "c", "tokens")
+    own = sizes.join(texts, sizes.q == texts["class"]).select("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("own"), F.col("q").alias("c"), "packed")
+    others = dealt.join(texts, dealt.c == texts["class"]).select("q", "block", F.lit(False).alias("own"), "c", "packed")
     rows = own.unionByName(others).repartition(parts, "q", "block").sortWithinPartitions("q", "block", F.desc("own"))
-    return rows.mapInArrow(_search, "a long, b long")
+    return rows.mapInArrow(partial(_search, k=k), "a long, b long")
 
 
 def join(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -334,18 +355,17 @@ def join(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text"
     lists = stored(linked.mapInArrow(partial(_prefixes, k=k, frequent=frequent, buckets=buckets), "bucket int, members binary, entries binary").repartition(buckets, "bucket").mapInArrow(_lists_of, LISTS))
     pairs = lists.filter("not dense").select("q", "c").distinct()
     dense = lists.filter("dense")
-    first = pairs
     classes = pairs.select(F.explode(F.array("q", "c")).alias("class")).unionByName(dense.select(F.col("c").alias("class"))).distinct()
     of_class = members.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     chosen = stored(classes.join(of_class, "class"))
-    text_rows = _wanted(linked, chosen.select("doc_id"), "doc_id").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = stored(text_rows.mapInArrow(partial(_sets, k=k), "class long, tokens binary").dropDuplicates(["class"]))
-    links = stored(verified(first, sets, parts))
+    texts = _wanted(linked, chosen.select("doc_id"), "doc_id").mapInArrow(_packed, "doc_id long, packed binary")
+    texts = stored(texts.join(chosen, "doc_id").select("class", "packed"))
+    links = stored(verified(pairs, texts, k, parts))
     if dense.limit(1).count():
         labels = components(links)
         more = dense.join(labels, dense.c == labels.v, "left").select("token", "q", "c", "n", "pos", F.coalesce("label", "c").alias("label"))
         second = more.repartition(parts, "token").sortWithinPartitions("token", "pos", "c").mapInArrow(_second, "q long, c long").distinct()
-        links = stored(links.unionByName(verified(second, sets, parts)))
+        links = stored(links.unionByName(verified(second, texts, k, parts)))
     labels = components(links).withColumnRenamed("v", "class")
     placed = of_class.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
@@ -354,6 +374,19 @@ def join(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text"
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` (with doc_id and text) without near duplicates: one of each component, all that are linked to nothing.
+
+    Of rows that repeat id and text one stays; rows without words or id all stay.
+    """
+    found = join(docs, k).filter("doc_id = component_id and class is not null").select(F.col("doc_id").alias("_id")).distinct()
+    h = F.xxhash64("text")
+    lone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    one = docs.join(found, docs.doc_id == found._id, "left_semi").filter(~lone)
+    one = one.withColumn("_h", h).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("doc_id"))).filter("_n = 1").drop("_h", "_n")
+    return one.unionByName(docs.filter(lone))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """All ``documents``: five words, a similarity of 0.8."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
