@@ -125,18 +125,38 @@ def cutoffs(held: DataFrame, alpha: float = 0.005, delta: float = 0.05) -> DataF
     return safe.groupBy("stratum").agg(*[F.max_by(F.when(F.col("rule") == r, F.col("cutoff")), F.when(F.col("rule") == r, F.struct(F.col("tp") - 10 * F.col("fp"), F.col("cutoff")))).alias(f"cut_{r}") for r in RULES])
 
 
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
-    """Every row of ``docs`` judged: doc_id, stratum, the counts, base_failed, failed_rules array, kept."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(stratum)), F.lit("null")).alias("stratum"), F.col(text).alias("text"))
+_JUDGED = "_row"
+
+
+def _judged(rows: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """Rows of (_row, stratum, text) with the counts, base_failed, failed_rules and kept; _row is a struct with doc_id."""
     counted = stored(features(rows))
-    good = labels.select(F.col("doc_id"), F.col("quality")).filter("quality is not null").groupBy("doc_id").agg((F.max("quality") >= 1).alias("good"))
-    cuts = stored(cutoffs(counted.join(good, "doc_id"), alpha, delta))
+    good = labels.select(F.col("doc_id").alias("_id"), F.col("quality")).filter("quality is not null").groupBy("_id").agg((F.max("quality") >= 1).alias("good"))
+    held = counted.withColumn("_id", F.col("_row.doc_id")).drop(_JUDGED).join(good, "_id")
+    cuts = stored(cutoffs(held, alpha, delta))
     joined = counted.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts, "stratum", "left")
     failed = F.array_compact(F.array(*[F.when(v >= F.col(f"cut_{r}"), F.lit(r)) for r, v in _ratios().items()]))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return joined.withColumns({"base_failed": base, "failed_rules": failed}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(*[f"cut_{r}" for r in RULES])
 
 
+def _stratum(of: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(of)), F.lit("null")).alias("stratum")
+
+
+def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
+    """Every row of ``docs`` judged: doc_id, stratum, the counts, base_failed, failed_rules array, kept."""
+    rows = docs.select(F.struct(F.col(doc_id).alias("doc_id")).alias(_JUDGED), _stratum(stratum), F.col(text).alias("text"))
+    out = _judged(rows, labels, alpha, delta)
+    return out.select("_row.doc_id", *[c for c in out.columns if c != _JUDGED])
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` (with a doc_id) that are kept, with all their columns."""
+    rows = docs.select(F.struct("*").alias(_JUDGED), _stratum(stratum), F.col(text).alias("text"))
+    return _judged(rows, labels, alpha, delta).filter("kept").select("_row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """``documents`` judged against ``labels``, a stratum per language."""
     out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
