@@ -1,4 +1,5 @@
 """Registry of the engine's own queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
