@@ -5,39 +5,32 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import codec, document
 
 
-@F.pandas_udf("int")
-def hidden_severity(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: document.Reading(t).severity)
+RESULT = T.StructType([T.StructField("rank", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("severity", T.IntegerType()), T.StructField("count", T.IntegerType()), T.StructField("decoded", T.StringType())])
+#: Scalar functions by SQL name: what they return and how they read one text.
+SCALARS = {
+    "hidden_severity": (T.IntegerType(), lambda t: document.Reading(t).severity),
+    "visible_text": (T.StringType(), lambda t: document.Reading(t).visible_text),
+    "human_text": (T.StringType(), lambda t: document.Reading(t).human_text),
+    "sanitize_text": (T.StringType(), lambda t: document.sanitize(t)["text"]),
+    **{f"encode_{scheme.replace('-', '_')}": (T.StringType(), lambda t, encode=encode: None if t is None else encode(t)) for scheme, encode in codec.SCHEMES.items()},
+}
 
 
-@F.pandas_udf("string")
-def visible_text(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: document.Reading(t).visible_text)
+def scalar(name: str):
+    """One of SCALARS as a pandas UDF."""
+    kind, read = SCALARS[name]
 
-
-@F.pandas_udf("string")
-def human_text(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: document.Reading(t).human_text)
-
-
-@F.pandas_udf("string")
-def sanitize_text(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: document.sanitize(t)["text"])
-
-
-def _encoder(encode):
-    @F.pandas_udf("string")
     def udf(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: None if t is None else encode(t))
+        return text.map(read)
 
-    return udf
+    return F.pandas_udf(udf, kind)
 
 
-@F.udtf(returnType="rank int, id string, severity int, count int, decoded string")
 class HiddenFindings:
     """``SELECT * FROM hidden_findings(text)``, or LATERAL over a table."""
 
@@ -47,9 +40,6 @@ class HiddenFindings:
 
 
 def register(spark: SparkSession) -> None:
-    scalars = {"hidden_severity": hidden_severity, "visible_text": visible_text, "human_text": human_text, "sanitize_text": sanitize_text}
-    for scheme, encode in codec.SCHEMES.items():
-        scalars[f"encode_{scheme.replace('-', '_')}"] = _encoder(encode)
-    for name, udf in scalars.items():
-        spark.udf.register(name, udf)
-    spark.udtf.register("hidden_findings", HiddenFindings)
+    for name in SCALARS:
+        spark.udf.register(name, scalar(name))
+    spark.udtf.register("hidden_findings", F.udtf(HiddenFindings, returnType=RESULT))
