@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -111,3 +112,10 @@ def test_whole_table_matches_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = sorted(map(tuple, J.query(spark, d).collect()))
     assert got == sorted(brute(rows)) and any(r[0] != r[2] for r in got)
+
+
+def test_whole_table_matches_sql(spark):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{d}/documents.parquet'")
+    assert sorted(map(tuple, J.query(spark, d).collect())) == sorted(con.execute(J.SQL).fetchall())

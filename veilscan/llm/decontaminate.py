@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, pieces, shingle_hashes
+from .common import WordHashes, pieces, shingle_hashes, tidy
 
 SEED, THRESHOLD, BLOCK_SEEDS = 5, 0.6, 4_000_000
 _punctuation = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -168,6 +168,7 @@ FOUND = "doc_id long, item_id long, n_words long, covered long, coverage double,
 _found = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int64()), ("covered", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_word", pa.int64()), ("doc_word", pa.int64()), ("n", pa.int64())])))])
 
 
+@tidy
 def _find(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for batch in pieces(batches, "text"):
@@ -175,6 +176,7 @@ def _find(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, _found)
 
 
+@tidy
 def _keep(batches: Iterator[pa.RecordBatch], text: str, items) -> Iterator[pa.RecordBatch]:
     known = _Words()
     for batch in pieces(batches, text):

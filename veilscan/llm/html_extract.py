@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import Boosted
-from .common import pieces
+from .common import pieces, tidy
 from .html_tree import Tree, parse
 
 #: Generated pages that the model is trained on.
@@ -187,6 +187,7 @@ def trained() -> Boosted:
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
+@tidy
 def _extract(batches: Iterator[pa.RecordBatch], model: Boosted) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "html", 4 << 20):
         texts = extract(batch.column("html").to_pylist(), model)

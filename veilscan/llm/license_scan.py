@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, tidy
 
 #: Phrases of the base scan and their labels.
 BASE = (
@@ -175,6 +175,7 @@ RESULT = pa.schema([
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<word: long, label: string, kind: string>>, expressions array<string>, permissive boolean"
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         rows = [{"doc_id": key} | scan_text(text) for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)]

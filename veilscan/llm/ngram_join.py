@@ -46,13 +46,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, mixed, pieces, shingle_hashes, stored
+from .common import WordHashes, mixed, pieces, shingle_hashes, stored, tidy
 from .components import components
 
 #: Tokens in the frequency table, in how many documents of a piece one must stand to be counted, and the pairs a member may have in a list before pivots are used.
 FREQUENT, COUNTED, DENSE = 1 << 20, 2, 4
-#: Bytes of text whose texts are counted together.
-COUNTED_BYTES = 32 << 20
+#: Tokens that are counted together, 8 bytes each.
+COUNTED_TOKENS = 4_000_000
 #: Bits of the map of wanted documents that spares moving others, and candidates in one search.
 WANTED_BITS, SEARCHED = 1 << 25, 256
 #: DivideSkip's weight of a long list.
@@ -115,29 +115,49 @@ def divide_skip(query: list, documents: dict, need: dict) -> dict:
 KNOWN = "kind int, doc_id long, n long, class long, token long"
 
 
+@tidy
 def _known(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """A row for each document, and one for each token that several texts of a piece have."""
-    known = WordHashes()
-    for batch in pieces(batches, "text", COUNTED_BYTES):
+    known, held, classes_held, size = WordHashes(200_000), [], set(), 0
+    names = ["kind", "doc_id", "n", "class", "token"]
+
+    def counted() -> pa.RecordBatch:
+        """Sorts in place and copies only what repeats, as this is the most that a worker holds."""
+        tokens = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        held.clear()
+        tokens.sort()
+        again = tokens[1:][tokens[1:] == tokens[:-1]]
+        tokens, count = np.unique(again, return_counts=True)
+        count = count + 1
+        tokens, count = tokens[count >= COUNTED], count[count >= COUNTED]
+        zeros = np.zeros(len(tokens), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), pa.array(zeros), pa.array(count.astype(np.int64)), pa.array(zeros), pa.array(tokens.view(np.int64))], names)
+
+    for batch in pieces(batches, "text"):
         sets = token_sets(batch.column("text").to_pylist(), k, known)
         classes = [class_of(s) if len(s) else 0 for s in sets]
         n = len(sets)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(np.zeros(n, np.int64))], ["kind", "doc_id", "n", "class", "token"])
-        once = dict(zip(classes, sets, strict=True))
-        tokens, count = np.unique(np.concatenate(list(once.values())), return_counts=True) if once else (np.zeros(0, np.uint64), np.zeros(0, int))
-        many = count >= COUNTED
-        tokens, count = tokens[many], count[many]
-        n = len(tokens)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int64)), pa.array(count.astype(np.int64)), pa.array(np.zeros(n, np.int64)), pa.array(tokens.view(np.int64))], ["kind", "doc_id", "n", "class", "token"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(np.zeros(n, np.int64))], names)
+        for c, s in zip(classes, sets, strict=True):
+            if c not in classes_held:
+                classes_held.add(c)
+                held.append(s)
+                size += len(s)
+        if size > COUNTED_TOKENS:
+            yield counted()
+            classes_held.clear()
+            size = 0
+    yield counted()
 
 
 _entry = np.dtype([("t", "<u4"), ("t2", "<u2"), ("at", "<u2"), ("pos", "<u2")])
 _member = np.dtype([("class", "<i8"), ("n", "<u4")])
 
 
+@tidy
 def _prefixes(batches: Iterator[pa.RecordBatch], k: int, frequent, buckets: int) -> Iterator[pa.RecordBatch]:
     """Postings of prefixes, for each piece and bucket of tokens."""
-    known, (hot, rank) = WordHashes(), frequent.value
+    known, (hot, rank) = WordHashes(200_000), frequent.value
     for batch in pieces(batches, "text"):
         sets = {class_of(s): s for s in token_sets(batch.column("text").to_pylist(), k, known) if len(s)}
         if not sets:
@@ -183,6 +203,7 @@ def _list_rows(dense: bool, q: np.ndarray, c: np.ndarray, token: np.ndarray | No
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), dense)), *(pa.array((zeros if x is None else x).astype(np.int64)) for x in (q, c, token, n, pos))], _lists)
 
 
+@tidy
 def _lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of the lists of some buckets, and the dense lists with their pivots (q)."""
     parts = []
@@ -241,6 +262,7 @@ def _lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _list_rows(False, both[at : at + 100_000, 0], both[at : at + 100_000, 1])
 
 
+@tidy
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Dense lists, sorted by token, with the label of each member: the candidate pairs with two labels, but for the pivot's."""
     held: list[np.ndarray] = []
@@ -277,6 +299,7 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emitted()
 
 
+@tidy
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as packed bytes: a fraction of the size of their tokens."""
     pack = zstandard.ZstdCompressor(level=1)
@@ -288,6 +311,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+@tidy
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows in order of (q, block), the query's own before its candidates'."""
     query, key, found, known = [], None, [], WordHashes()
@@ -390,3 +414,24 @@ def representatives(docs: DataFrame, k: int = 5) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     """All ``documents``: five words, a similarity of 0.8."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+#: The query by brute force: all pairs that share a shingle, and all that is reached from each document.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), starts AS (
+  SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM w WHERE len(words) > 0
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s FROM starts
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reached(v, m) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT links.b, m FROM reached JOIN links ON links.a = v
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM (SELECT v AS doc_id, min(m) AS component_id FROM reached GROUP BY v) LEFT JOIN sizes USING (doc_id)
+"""

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mixed, pieces, stored
+from .common import mixed, pieces, stored, tidy
 
 #: Weights of the query's sources, in turn, the share of all words that they give, and how often a word may be given.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -126,6 +126,7 @@ def plan(sizes: list[int], wanted: list[float], block: int, slots: int, seed: in
 SLOT = "shard int, source int, pass int, block long, words long"
 
 
+@tidy
 def _fill(batches: Iterator[pa.RecordBatch], block: int, seed: int) -> Iterator[pa.RecordBatch]:
     """The block and the words of each slot."""
     for batch in batches:
@@ -207,6 +208,7 @@ def cut_text(text: str, parts: list[tuple[int, int]]) -> str:
     return "\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in merged)
 
 
+@tidy
 def _texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, text):
         made = [cut_text(t, [(p["from"], p["words"]) for p in parts]) for t, parts in zip(batch.column(text).to_pylist(), batch.column("_parts").to_pylist(), strict=True)]

@@ -43,11 +43,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, stored
+from .common import mixed, pieces, stored, tidy
 
 LENGTH, GRAM, SIDE = 100, 32, 34
 #: Bytes of text that are worked on at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 _place = 24  # bits of a place in a piece
 _anchor = np.dtype([("g", "<u4"), ("g2", "<u2"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<u2"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
 _doc = np.dtype([("id", "<i8"), ("h", "<i8")])
@@ -109,6 +109,7 @@ def anchors(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     return g[at], around, np.searchsorted(ends, at, side="right"), at, first, last
 
 
+@tidy
 def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     for buf, segments in _parts(batches):
         lengths = np.array([s[3] for s in segments])
@@ -148,6 +149,7 @@ def _found_rows(docs: np.ndarray, a: np.ndarray, settled: bool, key: np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(d["id"]), pa.array(d["h"]), pa.array(np.full(len(x), settled)), pa.array(k), pa.array(x["pos"].astype(np.int64)), pa.array(x["lo"].astype(np.int32)), pa.array(x["hi"].astype(np.int32))], _found)
 
 
+@tidy
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All anchors of some buckets: removes those with the surroundings of an earlier one, and reports those that stay open."""
     held_docs, held = [], []
@@ -176,6 +178,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _found_rows(d[open_], a[open_], False, gram[open_])
 
 
+@tidy
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as bytes, packed to move less."""
     pack = zstandard.ZstdCompressor(level=1)
@@ -187,6 +190,7 @@ def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SIDES = "key long, doc_id long, h long, start long, n int, bytes binary"
 
 
+@tidy
 def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around open anchors, under a key of their gram and one side of it."""
     unpack = zstandard.ZstdDecompressor()
@@ -235,6 +239,7 @@ def string_buckets(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
 SPANS = "doc_id long, h long, start long, stop long"
 
 
+@tidy
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come in key order: strings under one key are compared, and the spans of those that start earlier elsewhere are returned."""
     held: list[tuple] = []
@@ -275,6 +280,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RESULT = "doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, stop: long>>"
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))

@@ -37,13 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir
+from .common import pieces, shared_dir, tidy
 
 #: Fixed values of the frame format.
 MASK_DELTA = 0xA282EAD8
 LENGTH, CHECK, HEAD, INDEX = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?q"), struct.Struct("<QQ")
-#: Words, and words without case and marks, whose ids a worker remembers.
-REMEMBERED = 700_000
+#: Words, and words without case and marks, whose ids a worker remembers; the first are soon made again from the second.
+REMEMBERED, STEMS = 200_000, 500_000
 
 
 def masked(data: bytes) -> int:
@@ -117,7 +117,7 @@ class Encoder:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if len(self.stems) > REMEMBERED:
+        if len(self.stems) > STEMS:
             self.stems.clear()
         self._learn(list(set().union(*split) - self.known.keys()))
         end = np.array([end_id], self.width).tobytes()
@@ -136,6 +136,7 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 MANIFEST = pa.schema([("shard", pa.int64()), ("data", pa.string()), ("index", pa.string()), ("n_records", pa.int64()), ("n_tokens", pa.int64())])
 
 
+@tidy
 def _write_shard(batches: Iterator[pa.RecordBatch], tokenizer: str, target: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc, out, offsets, at, tokens = None, None, [], 0, 0
     name = f"{target}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
@@ -210,6 +211,7 @@ class ShardReader:
 RECORD = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+@tidy
 def _read_shards(batches: Iterator[pa.RecordBatch], width: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for entry in batch.to_pylist():

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: The rules of the query, as (action, host, path).
 RULES = (
     ("allow", "com", "/"),
@@ -55,6 +57,7 @@ def key_of(host: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01")))
 
 
+@tidy
 def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
     """Rows of one range in key order, rules before the urls of the same key."""
     stack: list[tuple] = []  # (key, longest first order, path, rule, action)
