@@ -51,9 +51,15 @@ def shard(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: str
         by_level = cells.select("cell", "bytes", "n", F.explode(F.sequence(F.lit(at), F.lit(at + STEP))).alias("depth"))
         sums = by_level.groupBy(F.substring("cell", F.lit(1), F.col("depth")).alias("shard"), "depth").agg(F.sum("bytes").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
         last = at + STEP == BITS
-        good = sums.filter((F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1) | (F.col("depth") == BITS))
-        chains = cells.select("cell", F.explode(F.sequence(F.lit(at), F.lit(at + STEP))).alias("depth")).withColumn("shard", F.substring("cell", F.lit(1), F.col("depth")))
-        leaf = stored(chains.join(good, ["shard", "depth"]).groupBy("cell").agg(F.min_by(F.struct("shard", "depth", "shard_bytes", "shard_docs"), "depth").alias("s")))
+        sums = stored(sums.withColumn("fits", (F.col("shard_bytes") <= limit) | (F.col("shard_docs") == 1) | (F.col("depth") == BITS)))
+        # a leaf fits and its parent does not; a parent has two children, so no key is hot
+        split = sums.filter(~F.col("fits")).select(F.col("shard").alias("parent"), (F.col("depth") + 1).alias("depth"))
+        parent = F.substring("shard", F.lit(1), F.col("depth") - 1)
+        leaves = sums.filter(F.col("fits") & (F.col("depth") > at)).withColumn("parent", parent).join(split, ["parent", "depth"], "left_semi").drop("parent")
+        leaves = stored(leaves.unionByName(sums.filter(F.col("fits") & (F.col("depth") == at))))
+        depths = sorted(r.depth for r in leaves.select("depth").distinct().collect())
+        chains = cells.select("cell", F.explode(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>")).alias("depth")).withColumn("shard", F.substring("cell", F.lit(1), F.col("depth")))
+        leaf = stored(chains.join(leaves.drop("fits"), ["shard", "depth"]).select("cell", F.struct("shard", "depth", "shard_bytes", "shard_docs").alias("s")))
         placed = left.withColumn("cell", prefix).join(leaf, "cell", "left")
         found.append(placed.filter("s is not null").select("doc_id", "bytes", "s.shard", "s.depth", "s.shard_bytes", "s.shard_docs"))
         if last or leaf.count() == cells.count():
