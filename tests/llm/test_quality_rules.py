@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from veilscan.llm import quality_rules as Q
@@ -77,3 +78,14 @@ def test_empty_tables_and_repeated_rows(spark):
     assert Q.judge(docs, labels).count() == 0
     docs = spark.createDataFrame([(1, "a", None), (1, "a", None), (None, None, None)], "doc_id long, text string, lang string")
     assert Q.judge(docs, labels).count() == 3
+
+
+def test_whole_table_matches_sql(spark):
+    for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        con = duckdb.connect()
+        for table in ("documents", "labels"):
+            con.execute(f"create view {table} as from '{d}/{table}.parquet'")
+        want = con.execute(Q.SQL)
+        names = [c[0] for c in want.description]
+        got = Q.query(spark, d).select(*names).collect()
+        assert sorted(map(tuple, got)) == sorted(want.fetchall())

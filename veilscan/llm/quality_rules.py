@@ -31,6 +31,8 @@ WINDOW = 8
 #: Terms of the binomial tail that are summed one by one; a geometric bound, never too small, stands for the rest.
 TERMS = 4000
 BROADCAST_ROWS = 20_000
+#: The share of good documents that a rule may reject, and the chance that some cutoff rejects more.
+ALPHA, DELTA = 0.005, 0.05
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -103,7 +105,7 @@ def _ratios() -> dict[str, Column]:
     }
 
 
-def cutoffs(held: DataFrame, alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
+def cutoffs(held: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """From labelled rows (stratum, good boolean, the counts of ``features``): a row per stratum with one cutoff per rule, null for none.
 
     Of the safe cutoffs, the one with most rejected bad documents less ten times
@@ -144,14 +146,14 @@ def _stratum(of: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(of)), F.lit("null")).alias("stratum")
 
 
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Every row of ``docs`` judged: doc_id, stratum, the counts, base_failed, failed_rules array, kept."""
     rows = docs.select(F.struct(F.col(doc_id).alias("doc_id")).alias(_JUDGED), _stratum(stratum), F.col(text).alias("text"))
     out = _judged(rows, labels, alpha, delta)
     return out.select("_row.doc_id", *[c for c in out.columns if c != _JUDGED])
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of ``docs`` (with a doc_id) that are kept, with all their columns."""
     rows = docs.select(F.struct("*").alias(_JUDGED), _stratum(stratum), F.col(text).alias("text"))
     return _judged(rows, labels, alpha, delta).filter("kept").select("_row.*")
@@ -161,3 +163,45 @@ def query(spark, sf_dir: str) -> DataFrame:
     """``documents`` judged against ``labels``, a stratum per language."""
     out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+
+_ratio_sql = {"symbols": "n_symbols / greatest(n_words, 1)", "bangs": "n_bangs / greatest(n_words, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)"}
+#: The query, with the binomial tail summed term by term.
+SQL = f"""
+WITH w AS (
+  SELECT doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents
+), starts AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w
+), again AS (
+  SELECT doc_id, i FROM starts QUALIFY count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + {WINDOW - 1}], ' ')) > 1
+), covered AS (
+  SELECT doc_id, sum(least({WINDOW}, coalesce(later - i, {WINDOW})))::BIGINT AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS later FROM again) GROUP BY doc_id
+), c AS (
+  SELECT w.doc_id, stratum, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    length(text) - length(replace(text, '!', '')) AS n_bangs, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN covered USING (doc_id)
+), ratio AS (
+  {" UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {v} AS v FROM c" for r, v in _ratio_sql.items())}
+), labelled AS (
+  SELECT doc_id, max(quality) >= 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+), held AS (
+  SELECT * FROM ratio JOIN labelled USING (doc_id)
+), tests AS (
+  SELECT stratum, rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND v >= cutoff) AS fp, count(*) FILTER (WHERE NOT good AND v >= cutoff) AS tp
+  FROM held, (SELECT unnest({list(GRID)}::DOUBLE[]) AS cutoff) GROUP BY ALL
+), safe AS (
+  SELECT * FROM tests WHERE tp > 10 * fp AND fp < n * {ALPHA} AND list_sum(list_transform(range(0, fp + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))))
+    <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM held) * {len(RULES) * len(GRID)})
+), best AS (
+  SELECT * FROM safe QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY tp - 10 * fp DESC, cutoff DESC) = 1
+), failed AS (
+  SELECT DISTINCT doc_id FROM ratio JOIN best USING (stratum, rule) WHERE v >= cutoff
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND doc_id NOT IN (FROM failed) AS kept
+FROM c
+"""
