@@ -54,8 +54,7 @@ def stripped_text(text: Column) -> Column:
 
 def points(text: Column, kind: str) -> Column:
     """Codepoints of one kind, in order."""
-    inside = lambda c: F.lit(False) if not spans_by_kind()[kind] else _within(F.ascii(c), kind)
-    return F.transform(F.filter(chars(text), inside), lambda c: F.ascii(c))
+    return F.transform(F.filter(chars(text), lambda c: _within(F.ascii(c), kind)), lambda c: F.ascii(c))
 
 
 def _within(cp: Column, kind: str) -> Column:
@@ -67,10 +66,10 @@ def _within(cp: Column, kind: str) -> Column:
 
 def kind_of(ch: Column) -> Column:
     """The kind of a character; null for one of no note."""
-    out = None
+    cp = F.ascii(ch)
+    out = F.when(cp.between(0x20, 0x7E), F.lit(None).cast("string"))
     for kind in spans_by_kind():
-        hit = ch.rlike(f"^[{class_of(kind)}]$")
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+        out = out.when(_within(cp, kind), kind)
     return out
 
 
