@@ -2,7 +2,8 @@
 
 A native prefilter parts the texts that cannot hold a finding from the others;
 only the others leave the JVM, in Arrow batches, so that neither a shuffle nor
-Python touches plain text. All functions are row by row and legal on streams.
+Python touches plain text. Where the text itself is not returned, one pass over
+the source does it. All functions are row by row and legal on streams.
 """
 
 from __future__ import annotations
@@ -49,6 +50,30 @@ def _read(batches: Iterator[pa.RecordBatch], text: str, ignore: frozenset) -> It
             yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *(k for k, _ in kinds)])
 
 
+def _read_suspects(batches: Iterator[pa.RecordBatch], ignore: frozenset) -> Iterator[pa.RecordBatch]:
+    """Rows with _t, null for a plain text, and _n, its length."""
+    kinds = [("severity", pa.int32()), ("findings", pa.list_(_finding)), *((s, pa.int64()) for s in STATS)]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            plain = dict.fromkeys(STATS, 0) | {"severity": -1, "findings": []}
+            rows = [plain | dict.fromkeys(STATS[:4], n) if t is None else read_row(t, ignore) for t, n in zip(part.column("_t").to_pylist(), part.column("_n").to_pylist(), strict=True)]
+            kept = part.drop_columns(["_t", "_n"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([r[k] for r in rows], kind) for k, kind in kinds)], [*kept.schema.names, *(k for k, _ in kinds)])
+
+
+def _labelled(df: DataFrame) -> DataFrame:
+    at = F.greatest("severity", F.lit(0))
+    return df.withColumns({"label": F.get(F.array(*map(F.lit, VERDICTS)), at), "line": F.get(F.array(*map(F.lit, VERDICT_LINES)), at)})
+
+
+def scan_keys(df: DataFrame, *keep: str, text: str = "text", ignore: tuple[str, ...] = ()) -> DataFrame:
+    """As ``scan``, with the columns ``keep`` and without the text: one pass over the source, in which plain texts go to Python as nulls."""
+    base = df.select(*keep, native.codepoints(F.col(text)).alias("_n"), F.when(native.suspect(F.col(text)), F.col(text)).alias("_t"))
+    schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep) + ROW
+    return _labelled(base.mapInArrow(partial(_read_suspects, ignore=frozenset(ignore)), schema))
+
+
 def scan(df: DataFrame, text: str = "text", ignore: tuple[str, ...] = (), keep: tuple[str, ...] | None = None) -> DataFrame:
     """Every row of ``df`` (or the columns ``keep``) with severity, label, line, findings and statistics. Findings named in ``ignore`` are left out of both findings and verdict."""
     base = df.select(*keep, text) if keep is not None else df
@@ -59,22 +84,20 @@ def scan(df: DataFrame, text: str = "text", ignore: tuple[str, ...] = (), keep:
     quiet = base.filter(~native.suspect(F.col(text))).select(
         "*", F.lit(-1).cast("int").alias("severity"), F.array().cast(f"array<{FINDING}>").alias("findings"), n.alias("codepoints"), n.alias("units"), n.alias("bytes"), n.alias("visible"), *[zero.alias(s) for s in STATS[4:]]
     )
-    out = noisy.unionByName(quiet)
-    lines = F.get(F.array(*map(F.lit, VERDICT_LINES)), F.greatest("severity", F.lit(0)))
-    return out.withColumns({"label": F.get(F.array(*map(F.lit, VERDICTS)), F.greatest("severity", F.lit(0))), "line": lines})
+    return _labelled(noisy.unionByName(quiet))
 
 
 def findings(df: DataFrame, key: str = "doc_id", text: str = "text", ignore: tuple[str, ...] = ()) -> DataFrame:
     """A row for each finding: the key, its rank in its text, and the finding's fields."""
-    return scan(df, text, ignore, (key,)).select(key, F.posexplode("findings").alias("rank", "f")).select(key, "rank", "f.*")
+    return scan_keys(df, key, text=text, ignore=ignore).select(key, F.posexplode("findings").alias("rank", "f")).select(key, "rank", "f.*")
 
 
 def verdicts(df: DataFrame, key: str = "doc_id", text: str = "text", ignore: tuple[str, ...] = ()) -> DataFrame:
-    return scan(df, text, ignore, (key,)).select(key, "severity", "label", "line", *STATS)
+    return scan_keys(df, key, text=text, ignore=ignore).select(key, "severity", "label", "line", *STATS)
 
 
 def worst(df: DataFrame, text: str = "text", ignore: tuple[str, ...] = ()) -> int:
-    return scan(df, text, ignore, ()).agg(F.max("severity")).first()[0]
+    return scan_keys(df, text=text, ignore=ignore).agg(F.max("severity")).first()[0]
 
 
 def gate(df: DataFrame, text: str = "text", fail_on: str = "HIGH", ignore: tuple[str, ...] = ()) -> bool:
@@ -174,5 +197,5 @@ def compare(pairs: DataFrame, a: str = "text_a", b: str = "text_b") -> DataFrame
 
 def rollup(df: DataFrame, *by: str, text: str = "text") -> DataFrame:
     """Texts by verdict, with subtotals over ``by``."""
-    read = scan(df, text, (), by)
+    read = scan_keys(df, *by, text=text)
     return read.rollup(*by).agg(F.count("*").alias("n_docs"), F.count_if(F.col("severity") >= 0).alias("n_flagged"), F.max("severity").alias("worst"), F.sum("hidden").alias("hidden"))

@@ -330,7 +330,7 @@ def page_verdicts(spark, sf_dir):
 
 @query()
 def conversation_verdicts(spark, sf_dir):
-    return ops.scan(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "text", (), ("conv_id", "turn")).select("conv_id", "turn", "severity", "label", "hidden")
+    return ops.scan_keys(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn").select("conv_id", "turn", "severity", "label", "hidden")
 
 
 @query()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import SEVERITIES
-from ..operators.scan import scan
+from ..operators.scan import scan, scan_keys
 
 TOOL = "veilscan"
 #: SARIF levels, security severities and annotation commands by severity.
@@ -105,7 +105,7 @@ def json_rows(files: DataFrame, path: str = "path", text: str = "text", ignore:
         ),
     )
     stats = F.struct("codepoints", "units", "bytes", "visible", "hidden", F.col("benign_hidden").alias("benignHidden"), "confusables", F.col("n_findings").alias("findings"))
-    rows = scan(files, text, ignore, (path,))
+    rows = scan_keys(files, path, text=text, ignore=ignore)
     return rows.select(F.col(path).alias("path"), "severity", F.to_json(F.struct(F.col(path).alias("path"), F.col("label").alias("verdict"), stats.alias("stats"), found.alias("findings"))).alias("json"))
 
 
