@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import native
 from ..functions.dims import BIDI, CONFUSABLES, HIDDEN_KINDS, HOMOGLYPH_SCRIPTS, INTENTS, LINEBREAK, SPACE, STRIPPABLE_KINDS, ZERO_WIDTH, class_of, intent_pattern, spans_by_kind
@@ -43,15 +41,6 @@ _chars = ", cells AS (SELECT doc_id, lang, i, ch, unicode(ch) AS cp, i - 1 + coa
 _suspect_sql = f"regexp_matches(text, '[{class_of(*spans_by_kind())}]')"
 
 
-def _cells(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    """Characters of texts that hold one of ``kinds``: doc_id, lang, i, ch, cp, unit (place in UTF-16 units)."""
-    kinds = kinds or tuple(spans_by_kind())
-    some = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{class_of(*kinds)}]"))
-    cells = some.select("doc_id", "lang", F.posexplode(native.chars(F.col("text"))).alias("i", "ch"))
-    ahead = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return cells.withColumns({"cp": F.ascii("ch"), "unit": F.col("i") + F.coalesce(F.sum(F.when(F.ascii("ch") > 65535, 1).otherwise(0)).over(ahead), F.lit(0))})
-
-
 @query(f"""
 SELECT doc_id, length(text)::BIGINT AS codepoints, (length(text) + length(text) - length(regexp_replace(text, '[\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))::BIGINT AS units, strlen(text)::BIGINT AS bytes,
   {_n(*HIDDEN_KINDS)}::BIGINT AS hidden, (length(text) - length(regexp_replace(text, '[{_class(CONFUSABLES)}]', '', 'g')))::BIGINT AS lookalikes FROM inj""")
@@ -68,7 +57,10 @@ def kind_histogram(spark, sf_dir):
 
 @query(_chars.format(f"regexp_matches(text, '[{class_of(ZERO_WIDTH)}]')") + f" SELECT doc_id, (i - 1)::INT AS i, unit::BIGINT AS unit, cp::INT AS cp FROM cells WHERE regexp_matches(ch, '^[{class_of(ZERO_WIDTH)}]$')")
 def zero_width_positions(spark, sf_dir):
-    return _cells(spark, sf_dir, ZERO_WIDTH).filter(F.col("ch").rlike(f"^[{class_of(ZERO_WIDTH)}]$")).select("doc_id", "i", "unit", "cp")
+    """Places in characters and UTF-16 units, row by row: the text before a hit is measured, nothing is sorted."""
+    some = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{class_of(ZERO_WIDTH)}]"))
+    hits = some.select("doc_id", "text", F.posexplode(native.chars(F.col("text"))).alias("i", "ch")).filter(F.col("ch").rlike(f"^[{class_of(ZERO_WIDTH)}]$"))
+    return hits.select("doc_id", "i", native.utf16_units(F.substring("text", F.lit(1), F.col("i"))).alias("unit"), F.ascii("ch").alias("cp"))
 
 
 _said_sql = ", ".join(f"CASE WHEN regexp_matches(decoded, '{intent_pattern(p, 're2').replace(chr(39), chr(39) * 2)}') THEN '{label}' END" for label, p in INTENTS)
@@ -92,14 +84,15 @@ _rtl_sql = "[" + "".join(f"\\p{{{s}}}" for s in ("Arabic", "Hebrew", "Syriac", "
   FROM inj JOIN depths USING (doc_id)"""
 )
 def bidi_severity(spark, sf_dir):
-    cells = _cells(spark, sf_dir, BIDI)
-    step = F.when(F.col("ch").rlike(_opens), 1).when(F.col("ch").rlike(_closes), -1).otherwise(0)
-    depth = cells.withColumn("depth", F.sum(step).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
-    depths = depth.groupBy("doc_id").agg(F.min("depth").alias("low"), F.max_by("depth", "i").alias("last"))
+    """The depth of controls is folded within the row."""
     t = F.col("text")
+    rows = injected(spark, sf_dir).filter(t.rlike(f"[{class_of(BIDI)}]"))
+    step = lambda c: F.when(c.rlike(_opens), 1).when(c.rlike(_closes), -1).otherwise(0)
+    controls = F.regexp_extract_all("text", F.lit(f"[{class_of(BIDI)}]"), F.lit(0))
+    rows = rows.withColumn("d", F.aggregate(controls, F.struct(F.lit(0).alias("last"), F.lit(0).alias("low")), lambda a, c: F.struct((a["last"] + step(c)).alias("last"), F.least(a["low"], a["last"] + step(c)).alias("low"))))
     rtl = "[" + "".join(rf"\p{{script={s}}}" for s in ("Arabic", "Hebrew", "Syriac", "Thaana", "Nko", "Samaritan", "Mandaic", "Adlam")) + "]"
-    severity = F.when(t.rlike(r"[\x{202D}\x{202E}]"), 4).when(~t.rlike(rtl), 3).when((F.col("low") < 0) | (F.col("last") != 0), 3).when(~t.rlike(r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"), 1).otherwise(2)
-    return injected(spark, sf_dir).join(depths, "doc_id").select("doc_id", native.count_kind(t, BIDI).alias("n"), severity.alias("severity"))
+    severity = F.when(t.rlike(r"[\x{202D}\x{202E}]"), 4).when(~t.rlike(rtl), 3).when((F.col("d.low") < 0) | (F.col("d.last") != 0), 3).when(~t.rlike(r"[\x{202A}-\x{202E}\x{2066}-\x{2069}]"), 1).otherwise(2)
+    return rows.select("doc_id", native.count_kind(t, BIDI).alias("n"), severity.alias("severity"))
 
 
 @query("SELECT doc_id, " + ", ".join(f"{_n(k)}::BIGINT AS n_{k.replace('-', '_')}" for k in _KINDS) + f" FROM inj WHERE {_suspect_sql}")
