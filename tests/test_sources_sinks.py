@@ -155,3 +155,33 @@ def test_sql_names(spark):
     assert spark.sql("select f.id, f.severity from d, lateral hidden_findings(text) f").first()[:] == ("tags-block", 4)
     assert spark.sql("select hidden_severity(text), visible_text(text) = sanitize_text(text) from d").first()[:] == (4, True)
     assert spark.sql("select visible_text(encode_zero_width('x')), hidden_severity(encode_tags('hi')) from d").first()[:] == ("", 4)
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from veilscan.__main__ import main
+
+    write(tmp_path, "d/a.md", "hi" + TAGS)
+    write(tmp_path, "d/b.md", "plain")
+    write(tmp_path, "d/w.txt", "wide​".encode("utf-16"))
+    write(tmp_path, "d/bin.txt", b"a\0b")
+    root = str(tmp_path / "d")
+    assert main([root], spark) == 1
+    out, err = capsys.readouterr()
+    assert "3 files scanned, 2 with findings" in out and "b.md" not in out and "not scanned (binary)" in err
+    assert main([root, "--json", "--all", "--ignore", "tags-block"], spark) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["worst"] == "LOW" and len(report["files"]) == 3
+    assert main([root, "--sarif", str(tmp_path / "x.sarif")], spark) == 0 and main([root, "--sarif", str(tmp_path / "x.sarif"), "--fail-on", "critical"], spark) == 1
+    assert json.loads((tmp_path / "x.sarif").read_text())["version"] == "2.1.0"
+    capsys.readouterr()
+    assert main([root, "--annotations", "--exclude", f"{root}/w.txt", "--fail-on", "critical"], spark) == 1 and "::error file=" in capsys.readouterr().out
+    assert main(["--compare", f"{root}/a.md", f"{root}/b.md"], spark) == 0 and main(["--compare", f"{root}/a.md", write(tmp_path, "c.md", "hi")], spark) == 1
+    for bad in (["--fail-on", "severe"], ["--compare", "x"], ["--nonsense"]):
+        try:
+            main(bad, spark)
+        except SystemExit as e:
+            assert e.code == 2
+    assert main([root, "--fix"], spark) == 1
+    assert open(f"{root}/a.md").read() == "hi" and open(f"{root}/w.txt", "rb").read() == "wide".encode("utf-16")
+    spark.catalog.clearCache()
+    assert main([root], spark) == 0

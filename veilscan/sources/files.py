@@ -139,3 +139,17 @@ def readable(path: Column) -> Column:
     return name.isin(*sorted(NAMES)) | name.rlike(r"(?i)^\.env(?:\.|\z)") | _suffix(path).isin(*sorted(ENDINGS))
 
 
+
+
+def pair(spark: SparkSession, a: str, b: str) -> DataFrame:
+    """Two files as the copies of one text (path_a, path_b, text_a, text_b), both read as UTF-8."""
+    texts = []
+    for path in (a, b):
+        with open(path, "rb") as f:
+            texts.append(f.read().decode("utf-8", "replace"))
+    return spark.createDataFrame([(a, b, *texts)], "path_a string, path_b string, text_a string, text_b string")
+
+
+def differs_from_index(repository: str, path: str) -> bool:
+    """Whether the working copy of a staged file has other changes, which a rewrite would mix with the staged ones."""
+    return subprocess.run(["git", "-C", repository, "diff", "--quiet", "--", path]).returncode != 0

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import SEVERITIES
-from ..operators.scan import scan, scan_keys
+from ..operators.scan import sanitized, scan, scan_keys
 
 TOOL = "veilscan"
 #: SARIF levels, security severities and annotation commands by severity.
@@ -179,3 +179,17 @@ def rewrite(path: str, text: str, encoding: str) -> None:
     with open(temporary, "wb") as f:
         f.write(MARKS[encoding] + text.encode(encoding))
     os.replace(temporary, path)
+
+
+def fix(files: DataFrame, refuse=lambda path: False, **options) -> tuple[list[str], list[str]]:
+    """Rewrite in place what sanitizing changes in (path, encoding, text); returns the paths that were rewritten and those that ``refuse`` names."""
+    clean = sanitized(files, "path", **options).select("path", "sanitized")
+    changed = files.join(clean, "path").filter(~F.col("text").eqNullSafe(F.col("sanitized")))
+    done, refused = [], []
+    for row in changed.select("path", "encoding", "sanitized").toLocalIterator():
+        if refuse(row.path):
+            refused.append(row.path)
+        else:
+            rewrite(row.path, row.sanitized, row.encoding)
+            done.append(row.path)
+    return sorted(done), sorted(refused)
