@@ -239,3 +239,19 @@ def test_source_is_ascii():
 
 def test_pictographs_come_from_the_property():
     assert document._pictograph.match("\u2705") and not document._pictograph.match("a") and unicodedata.unidata_version
+
+
+def test_what_the_prefilter_lets_pass_holds_nothing():
+    plain = [c for c in map(chr, range(0x110000 - 1)) if not 0xD800 <= ord(c) < 0xE000 and regex_suspect(c) is None]
+    assert len(plain) > 150
+    for c in plain:
+        r = Reading(c * 2 + "a")
+        assert r.severity == -1 and r.stats()["confusables"] == 0 and r.stats()["units"] == 3, hex(ord(c))
+
+
+def regex_suspect(text):
+    import re
+
+    from veilscan.functions.native import SUSPECT
+
+    return re.search(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SUSPECT), text)

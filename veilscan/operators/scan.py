@@ -51,14 +51,14 @@ def _read(batches: Iterator[pa.RecordBatch], text: str, ignore: frozenset) -> It
 
 
 def _read_suspects(batches: Iterator[pa.RecordBatch], ignore: frozenset) -> Iterator[pa.RecordBatch]:
-    """Rows with _t, null for a plain text, and _n, its length."""
+    """Rows with _t, null for a plain text, and _n and _b, its length and bytes."""
     kinds = [("severity", pa.int32()), ("findings", pa.list_(_finding)), *((s, pa.int64()) for s in STATS)]
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
             plain = dict.fromkeys(STATS, 0) | {"severity": -1, "findings": []}
-            rows = [plain | dict.fromkeys(STATS[:4], n) if t is None else read_row(t, ignore) for t, n in zip(part.column("_t").to_pylist(), part.column("_n").to_pylist(), strict=True)]
-            kept = part.drop_columns(["_t", "_n"])
+            rows = [plain | {"codepoints": n, "units": n, "bytes": b, "visible": n} if t is None else read_row(t, ignore) for t, n, b in zip(*(part.column(c).to_pylist() for c in ("_t", "_n", "_b")), strict=True)]
+            kept = part.drop_columns(["_t", "_n", "_b"])
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([r[k] for r in rows], kind) for k, kind in kinds)], [*kept.schema.names, *(k for k, _ in kinds)])
 
 
@@ -69,7 +69,7 @@ def _labelled(df: DataFrame) -> DataFrame:
 
 def scan_keys(df: DataFrame, *keep: str, text: str = "text", ignore: tuple[str, ...] = ()) -> DataFrame:
     """As ``scan``, with the columns ``keep`` and without the text: one pass over the source, in which plain texts go to Python as nulls."""
-    base = df.select(*keep, native.codepoints(F.col(text)).alias("_n"), F.when(native.suspect(F.col(text)), F.col(text)).alias("_t"))
+    base = df.select(*keep, native.codepoints(F.col(text)).alias("_n"), native.utf8_bytes(F.col(text)).alias("_b"), F.when(native.suspect(F.col(text)), F.col(text)).alias("_t"))
     schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep) + ROW
     return _labelled(base.mapInArrow(partial(_read_suspects, ignore=frozenset(ignore)), schema))
 
@@ -82,7 +82,7 @@ def scan(df: DataFrame, text: str = "text", ignore: tuple[str, ...] = (), keep:
     n = native.codepoints(F.col(text))
     zero = F.lit(0).cast("long")
     quiet = base.filter(~native.suspect(F.col(text))).select(
-        "*", F.lit(-1).cast("int").alias("severity"), F.array().cast(f"array<{FINDING}>").alias("findings"), n.alias("codepoints"), n.alias("units"), n.alias("bytes"), n.alias("visible"), *[zero.alias(s) for s in STATS[4:]]
+        "*", F.lit(-1).cast("int").alias("severity"), F.array().cast(f"array<{FINDING}>").alias("findings"), n.alias("codepoints"), n.alias("units"), native.utf8_bytes(F.col(text)).alias("bytes"), n.alias("visible"), *[zero.alias(s) for s in STATS[4:]]
     )
     return _labelled(noisy.unionByName(quiet))
 
