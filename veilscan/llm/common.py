@@ -40,7 +40,7 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it: lineage ends there,
     so a lost executor costs nothing that came before."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -100,7 +100,7 @@ def tidy(f):
     return run
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in slices of about ``most_bytes`` of ``column``; a longer row is a slice of its own."""
     for batch in batches:
         sizes = batch.column(column)
