@@ -254,7 +254,11 @@ def _lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs += few
             else:
                 pairs.append(few[0])
-                yield _list_rows(True, np.full(m, cls[head]), cls[some], token[some], n[some], pos[some])
+                # a member too far from the token to link even with the shortest one is done with
+                some = some[9 * (n[some] - pos[some]) >= 4 * (n[some] + n[some].min())]
+                for at in range(0, len(some), 100_000):
+                    part = some[at : at + 100_000]
+                    yield _list_rows(True, np.full(len(part), cls[head]), cls[part], token[part], n[part], pos[part])
     if pairs:
         a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -363,8 +367,8 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, parts: int) -> DataFram
     return rows.mapInArrow(partial(_search, k=k), "a long, b long")
 
 
-def join(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row of ``docs``: doc_id, n_shingles, class (of equal sets; null for none), component_id (the smallest doc_id reachable by links)."""
+def _linked(docs: DataFrame, k: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """A row for each row of ``docs`` (doc_id, n, class), and one for each class (class, doc_id, component_id)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(4, parts // 2)
@@ -390,11 +394,19 @@ def join(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text"
         more = dense.join(labels, dense.c == labels.v, "left").select("token", "q", "c", "n", "pos", F.coalesce("label", "c").alias("label"))
         second = more.repartition(parts, "token").sortWithinPartitions("token", "pos", "c").mapInArrow(_second, "q long, c long").distinct()
         links = stored(links.unionByName(verified(second, texts, k, parts)))
-    labels = components(links).withColumnRenamed("v", "class")
-    placed = of_class.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_class = placed.join(least, "label").select("class", "component_id")
-    out = members.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(by_class, "class", "left")
+    # vertices in the order of their smallest id, so that a component's label holds its id
+    vertex = of_class.select("class", F.struct("doc_id", "class").alias("v"))
+    ends = links.join(vertex.select(F.col("class").alias("a"), F.col("v").alias("va")), "a").join(vertex.select(F.col("class").alias("b"), F.col("v").alias("vb")), "b")
+    labels = components(ends.select(F.col("va").alias("a"), F.col("vb").alias("b")))
+    found = labels.select("v.class", F.col("label.doc_id").alias("component_id"))
+    by_class = of_class.join(found, "class", "left").select("class", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return members.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")), by_class
+
+
+def join(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Every row of ``docs``: doc_id, n_shingles, class (of equal sets; null for none), component_id (the smallest doc_id reachable by links)."""
+    members, by_class = _linked(docs, k, doc_id, text)
+    out = members.join(by_class.drop("doc_id"), "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
@@ -403,7 +415,8 @@ def representatives(docs: DataFrame, k: int = 5) -> DataFrame:
 
     Of rows that repeat id and text one stays; rows without words or id all stay.
     """
-    found = join(docs, k).filter("doc_id = component_id and class is not null").select(F.col("doc_id").alias("_id")).distinct()
+    _, by_class = _linked(docs, k, "doc_id", "text")
+    found = by_class.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     h = F.xxhash64("text")
     lone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     one = docs.join(found, docs.doc_id == found._id, "left_semi").filter(~lone)
