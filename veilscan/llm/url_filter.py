@@ -21,7 +21,9 @@ equal urls are judged alike; with no rules every url gets the default verdict.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,6 +59,22 @@ def key_of(host: Column) -> Column:
     return F.when(host == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01")))
 
 
+def _number_of(cuts: list[tuple[str, int]]):
+    """For a (key, h) struct: how many of the sorted cuts are not greater, by their chunk's first and then within the chunk."""
+    if not cuts:
+        return lambda x: F.lit(0)
+    struct = lambda c: F.struct(F.lit(c[0]).alias("key"), F.lit(c[1]).cast("long").alias("h"))
+    wide = math.isqrt(len(cuts) - 1) + 1
+    chunks = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    heads, inside = F.array(*[struct(c[0]) for c in chunks]), F.array(*[F.array(*map(struct, c)) for c in chunks])
+
+    def number(x: Column) -> Column:
+        chunk = F.size(F.filter(heads, lambda c: c <= x)) - 1
+        return F.when(chunk < 0, F.lit(0)).otherwise(chunk * wide + F.size(F.filter(F.get(inside, chunk), lambda c: c <= x)))
+
+    return number
+
+
 @tidy
 def _sweep(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
     """Rows of one range in key order, rules before the urls of the same key."""
@@ -86,8 +104,7 @@ def filter_urls(urls: DataFrame, rules: DataFrame, row_id: str = "page_id", url:
     share = min(1.0, SAMPLED * ranges / max(1, rows.count()))
     seen = sorted(tuple(r) for r in rows.select("key", "h").sample(share, seed=7).collect())
     cuts = sorted({seen[len(seen) * i // ranges] for i in range(1, ranges)}) if seen else []
-    bound = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(h).cast("long").alias("h")) for k, h in cuts]) if cuts else None
-    at = lambda x: F.size(F.filter(bound, lambda c: c <= x)) if cuts else F.lit(0)
+    at = _number_of(cuts)
     first = F.struct(F.col("key"), F.lit(-(1 << 63)).cast("long").alias("h"))
     last = F.struct(F.concat(F.col("key"), F.lit("\U0010ffff")).alias("key"), F.lit(-(1 << 63)).cast("long").alias("h"))
     named = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("action", "host", "path")]
@@ -96,8 +113,6 @@ def filter_urls(urls: DataFrame, rules: DataFrame, row_id: str = "page_id", url:
     ruled = ruled.withColumn("range", F.explode(F.sequence(at(first), at(last))))
     both = rows.withColumn("range", at(place)).unionByName(ruled)
     dealt = both.repartitionByRange(len(cuts) + 1, "range") if cuts else both.coalesce(1)
-    from functools import partial
-
     return dealt.sortWithinPartitions("range", "key", "is_url").drop("range").mapInArrow(partial(_sweep, default=default), SCHEMA).withColumn("id", F.col("id").cast(urls.schema[row_id].dataType)).withColumnRenamed("id", row_id)
 
 
