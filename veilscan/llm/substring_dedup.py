@@ -47,7 +47,7 @@ from .common import mixed, pieces, stored, tidy
 
 LENGTH, GRAM, SIDE = 100, 32, 34
 #: Bytes of text that are worked on at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _place = 24  # bits of a place in a piece
 _anchor = np.dtype([("g", "<u4"), ("g2", "<u2"), ("c", "<u4"), ("c2", "<u2"), ("doc", "<u2"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
 _doc = np.dtype([("id", "<i8"), ("h", "<i8")])
