@@ -32,6 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,8 +43,8 @@ from .common import pieces, shared_dir, tidy
 #: Fixed values of the frame format.
 MASK_DELTA = 0xA282EAD8
 LENGTH, CHECK, HEAD, INDEX = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?q"), struct.Struct("<QQ")
-#: Words, and words without case and marks, whose ids a worker remembers; the first are soon made again from the second.
-REMEMBERED, STEMS = 200_000, 500_000
+#: Words whose ids a worker remembers.
+REMEMBERED = 600_000
 
 
 def masked(data: bytes) -> int:
@@ -60,7 +61,8 @@ class Encoder:
     """Ids of texts by a tokenizer whose rules never join or part text across a space or line feed.
 
     The ids of a text are then those of its words in turn, and each distinct
-    word is encoded once.
+    word is encoded once. ``plain`` says whether the tokenizer knows no case,
+    parts marks from letters and ends each word with an id of its own.
     """
 
     def __init__(self, path: str):
@@ -70,21 +72,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if suffix:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-        big, small, mark = self._ids(["STRASSÉ.", "strassé", "."])
+        big, small, mark = self._ids(["STRASS\u00c9.", "strass\u00e9", "."])
         self.plain = bool(suffix) and big == small + mark
-        self.marks = {"": b""} | dict(zip(".,", self._ids([".", ","]), strict=True))
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.width).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of Latin-1 letters. Each ends with the first id that ends a word, so they go to the tokenizer as one text."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, self.width)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.width)
         stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(stops) != len(words) or stops[-1] != len(ids):
             return self._ids(words)
@@ -92,36 +92,37 @@ class Encoder:
         return [raw[a * size : b * size] for a, b in zip([0, *stops], stops, strict=False)]
 
     def _learn(self, fresh: list[str]) -> None:
-        """Latin-1 letters, with a full stop or comma after them or not, are encoded without case; all other words one by one.
-
-        That needs a tokenizer that knows no case, parts marks from letters and ends words with ids of their own (``plain``)."""
-        others = fresh
-        if self.plain:
-            ends = [word[-1:] if word[-1:] in self.marks else "" for word in fresh]
-            stems = [(word[:-1] if end else word).lower() for word, end in zip(fresh, ends, strict=True)]
-            new = [s for s in set(stems) - self.stems.keys() if s.isalpha() and (s.isascii() or max(s) <= "\xff")]
-            for at in range(0, len(new), 4000):
-                some = new[at : at + 4000]
-                self.stems.update(zip(some, self._letters(some), strict=True))
-            others = []
-            for word, stem, end in zip(fresh, stems, ends, strict=True):
-                ids = self.stems.get(stem)
-                if ids is None:
-                    others.append(word)
-                else:
-                    self.known[word] = ids + self.marks[end]
+        plain = [w for w in fresh if self.plain and w.isalpha() and (w.isascii() or max(w) <= "\xff")]
+        for at in range(0, len(plain), 4000):
+            some = plain[at : at + 4000]
+            self.known.update(zip(some, self._letters(some), strict=True))
+        others = [w for w in fresh if w not in self.known]
         self.known.update(zip(others, self._ids(others), strict=True))
 
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        """The ids of each text and the end id, ``width`` bytes each."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    def _words(self, texts: pa.Array) -> pa.ListArray:
+        """The words of each text. For a ``plain`` tokenizer texts of Latin-1 go without case, and a full stop or comma that ends a word of letters is a word of its own."""
+        if self.plain:
+            texts = pc.if_else(pc.match_substring_regex(texts, r"[^\x{00}-\x{FF}]"), texts, pc.utf8_lower(texts))
+            texts = pc.replace_substring_regex(texts, r"([a-z\x{DF}-\x{F6}\x{F8}-\x{FF}])([.,])([ \n]|\z)", r"\1 \2\3")
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+    def encode(self, texts: list[str | None] | pa.Array, end_id: int) -> list[bytes]:
+        """The ids of each text and the end id, ``width`` bytes each. Words are told apart by Arrow; Python sees each distinct one once a call."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        words = self._words(texts)
+        flat = words.flatten().dictionary_encode()
+        distinct, number = flat.dictionary.to_pylist(), flat.indices.to_numpy()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if len(self.stems) > STEMS:
-            self.stems.clear()
-        self._learn(list(set().union(*split) - self.known.keys()))
+        self._learn([w for w in distinct if w not in self.known])
+        ids = [self.known[w] for w in distinct]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width.itemsize
+        start, length = np.cumsum(size) - size, size[number]
+        before = np.cumsum(length) - length
+        made = np.frombuffer(b"".join(ids), self.width)[np.repeat(start[number] - before, length) + np.arange(length.sum())].tobytes()
+        ends = np.append(before, length.sum())[words.offsets.to_numpy() - words.offsets[0].as_py()] * self.width.itemsize
         end = np.array([end_id], self.width).tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) + end for words in split]
+        return [made[a:b] + end for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 @functools.lru_cache(1)
@@ -146,7 +147,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], tokenizer: str, target: str,
             where, path = _open(name)
             where.create_dir(os.path.dirname(path), recursive=True)
             out = where.open_output_stream(f"{path}.rec", compression=None, buffer_size=1 << 20)
-        for key, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist(), end_id), strict=True):
+        for key, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text"), end_id), strict=True):
             data = frame(HEAD.pack(key is not None, key or 0) + ids)
             out.write(data)
             offsets.append((at, len(data)))
