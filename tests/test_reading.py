@@ -255,3 +255,15 @@ def regex_suspect(text):
     from veilscan.functions.native import SUSPECT
 
     return re.search(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", SUSPECT), text)
+
+
+def test_plain_characters_are_of_no_note():
+    import re
+
+    from veilscan.functions.native import PLAIN
+
+    plain = re.compile("[" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", PLAIN) + "]")
+    for cp in range(0x300):
+        if plain.match(chr(cp)):
+            assert dims.describe(cp) is None and cp not in dims.CONFUSABLES, hex(cp)
+    assert not plain.match("\u200b") and plain.match("\u00e9")

@@ -22,12 +22,21 @@ def chars(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
 
 
+#: Characters that are of no note and drawn like no other: a short class, so that one quick pass leaves little for the long ones.
+PLAIN = r"\t\n\r\x20-\x7e\x{A1}-\x{AC}\x{AE}-\x{1BF}"
+
+
+def noted(text: Column) -> Column:
+    """The characters of a text that may be of note."""
+    return F.regexp_replace(text, f"[{PLAIN}]++", "")
+
+
 def count_kind(text: Column, *kinds: str) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(f"[{class_of(*kinds)}]")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(noted(text), F.lit(f"[{class_of(*kinds)}]")), F.lit(0)).cast("long")
 
 
 def without_kind(text: Column, *kinds: str) -> Column:
-    return F.regexp_replace(text, f"[{class_of(*kinds)}]", "")
+    return F.when(text.rlike(f"[^{PLAIN}]"), F.regexp_replace(text, f"[{class_of(*kinds)}]", "")).otherwise(text)
 
 
 def codepoints(text: Column) -> Column:
@@ -109,7 +118,7 @@ def fingerprint(cps: Column) -> Column:
 def confusable_count(text: Column) -> Column:
     """Characters of the table of lookalikes."""
     inside = "".join(f"\\x{{{cp:X}}}" for cp in sorted(CONFUSABLES))
-    return F.coalesce(F.regexp_count(text, F.lit(f"[{inside}]")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(noted(text), F.lit(f"[{inside}]")), F.lit(0)).cast("long")
 
 
 def severity_label(severity: Column) -> Column:
