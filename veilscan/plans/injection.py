@@ -54,8 +54,14 @@ def inject(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.withColumn(text, out.otherwise(t))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, dealt out anew only if it comes in fewer parts than there are cores, as small files of one row group do."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inject(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return inject(table(spark, sf_dir, "documents"))
 
 
 def sql_text(text: str) -> str:

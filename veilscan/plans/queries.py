@@ -51,7 +51,7 @@ def doc_codepoint_stats(spark, sf_dir):
 
 @query(_chars.format(_suspect_sql) + f" SELECT {_kind_case} AS kind, count(*) AS n_chars, count(DISTINCT doc_id) AS n_docs, min(cp)::INT AS least, max(cp)::INT AS greatest FROM cells WHERE {_kind_case} IS NOT NULL GROUP BY 1")
 def kind_histogram(spark, sf_dir):
-    cells = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{class_of(*spans_by_kind())}]")).select("doc_id", F.explode(native.chars(F.col("text"))).alias("ch"))
+    cells = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{class_of(*spans_by_kind())}]")).select("doc_id", F.explode(native.chars(native.noted(F.col("text")))).alias("ch"))
     return cells.withColumn("kind", native.kind_of(F.col("ch"))).filter("kind is not null").groupBy("kind").agg(F.count("*").alias("n_chars"), F.countDistinct("doc_id").alias("n_docs"), F.min(F.ascii("ch")).alias("least"), F.max(F.ascii("ch")).alias("greatest"))
 
 
@@ -151,7 +151,7 @@ _dim_sql = ", dim(cp, target, script) AS (VALUES " + ", ".join(f"({cp}, '{to.rep
 def confusable_histogram(spark, sf_dir):
     """The join of characters with the dimension of lookalikes, a broadcast of a fixed table."""
     dim = spark.createDataFrame([(cp, to, s) for cp, (to, s) in CONFUSABLES.items()], "cp int, target string, script string")
-    chars = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{_class(CONFUSABLES)}]")).select("doc_id", F.explode(native.chars(F.col("text"))).alias("ch")).withColumn("cp", F.ascii("ch"))
+    chars = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{_class(CONFUSABLES)}]")).select("doc_id", F.explode(native.chars(native.noted(F.col("text")))).alias("ch")).withColumn("cp", F.ascii("ch"))
     return chars.join(F.broadcast(dim), "cp").groupBy("script", "target").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -180,7 +180,7 @@ def intent_by_lang(spark, sf_dir):
 @query("WITH c AS (SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->') AS found FROM pages) SELECT page_id, len(found)::BIGINT AS n_comments, coalesce(list_sum(list_transform(found, lambda x: length(x))), 0)::BIGINT AS n_chars FROM c")
 def html_comment_count(spark, sf_dir):
     found = F.regexp_extract_all("html", F.lit(r"(?s)<!--.*?-->"), 0)
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.size(found).cast("long").alias("n_comments"), F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
+    return injection.table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("n_comments"), F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
 _shared_sql = "(" + ", ".join(f"'{s}'" for s in sorted(SHARED_SUFFIXES)) + ")"
@@ -193,7 +193,7 @@ _last = lambda n: f"array_to_string(parts[-{n}:], '.')"
     f"sites AS (SELECT page_id, host, CASE WHEN {_last(3)} IN {_shared_sql} THEN {_last(4)} WHEN {_last(2)} IN {_shared_sql} THEN {_last(3)} ELSE {_last(2)} END AS site FROM split) SELECT page_id, host, {_owner_sql} AS site FROM sites"
 )
 def page_hosts(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", native.host_of(F.col("url")).alias("host"))
+    pages = injection.table(spark, sf_dir, "pages").select("page_id", native.host_of(F.col("url")).alias("host"))
     return pages.withColumn("site", native.registrable(F.col("host")))
 
 
@@ -257,7 +257,7 @@ _shown = lambda of: f"regexp_replace({of}, '[{class_of(*HIDDEN_KINDS)}]', '', 'g
 @query(f"SELECT d.doc_id, CASE WHEN inj.text = d.text THEN 'identical' WHEN {_shown('inj.text')} <> {_shown('d.text')} THEN 'edited' ELSE 'marked' END AS relation, {_n(*HIDDEN_KINDS).replace('text', 'inj.text')}::BIGINT AS hidden FROM inj JOIN documents d USING (doc_id)")
 def copy_relations(spark, sf_dir):
     """Each document and its copy with payloads, as two copies of one text."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = injection.table(spark, sf_dir, "documents")
     both = injection.inject(d.withColumn("original", F.col("text"))).select("doc_id", "original", "text")
     relation = F.when(F.col("text") == F.col("original"), "identical").when(native.visible_text(F.col("text")) != native.visible_text(F.col("original")), "edited").otherwise("marked")
     return both.select("doc_id", relation.alias("relation"), native.count_kind(F.col("text"), *HIDDEN_KINDS).alias("hidden"))
@@ -318,12 +318,12 @@ def scan_verdicts(spark, sf_dir):
 
 @query()
 def page_verdicts(spark, sf_dir):
-    return ops.verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+    return ops.verdicts(injection.table(spark, sf_dir, "pages"), "page_id", "html")
 
 
 @query()
 def conversation_verdicts(spark, sf_dir):
-    return ops.scan_keys(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn").select("conv_id", "turn", "severity", "label", "hidden")
+    return ops.scan_keys(injection.table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "severity", "label", "hidden")
 
 
 @query()
@@ -363,7 +363,7 @@ def mark_alignment(spark, sf_dir):
 
 @query()
 def compared_copies(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.col("text").alias("text_a"))
+    d = injection.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("text_a"))
     return ops.compare(injection.inject(d).withColumnRenamed("text", "text_b")).drop("text_a", "text_b")
 
 
