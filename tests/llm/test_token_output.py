@@ -20,6 +20,12 @@ def test_word_by_word_ids_equal_whole_text_ids():
     assert [np.frombuffer(x, enc.width).tolist() for x in enc.encode(TEXTS, 1)] == brute(TEXTS)
 
 
+def test_added_tokens_are_told_by_case():
+    texts = ["a <|ENDOFTEXT|> b", "a <|EndOfText|>.", "x<|STARTOFTEXT|>y Z.", "HELLO, <|endoftext|>. YES. <|ENDOFTEXT|>", "<|ENDOFTEXT|> \u00c9\u00c9. \u0391", "<|END OF TEXT|>", "plain A."]
+    enc = T.Encoder(PATH)
+    assert [np.frombuffer(x, enc.width).tolist() for x in enc.encode(texts, 1)] == brute(texts)
+
+
 def test_round_trip(spark):
     rows = [(9 - i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "null id", "x"), (3, "again", "x"), (3, "again", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -78,6 +79,9 @@ class Encoder:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         big, small, mark = self._ids(["STRASS\u00c9.", "strass\u00e9", "."])
         self.plain = bool(suffix) and big == small + mark
+        # added tokens are found in the text as written: case tells them from words
+        added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cased = "|".join([r"[^\x{00}-\x{FF}]", *(f"(?i:{token})" for token in added)])
 
     def _ids(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.width).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -100,9 +104,9 @@ class Encoder:
         self.known.update(zip(others, self._ids(others), strict=True))
 
     def _words(self, texts: pa.Array) -> pa.ListArray:
-        """The words of each text. For a ``plain`` tokenizer texts of Latin-1 go without case, and a full stop or comma that ends a word of letters is a word of its own."""
+        """The words of each text. For a ``plain`` tokenizer texts of Latin-1 that hold no added token, in whatever case, go without case, and a full stop or comma that ends a word of letters is a word of its own."""
         if self.plain:
-            texts = pc.if_else(pc.match_substring_regex(texts, r"[^\x{00}-\x{FF}]"), texts, pc.utf8_lower(texts))
+            texts = pc.if_else(pc.match_substring_regex(texts, self.cased), texts, pc.utf8_lower(texts))
             texts = pc.replace_substring_regex(texts, r"([a-z\x{DF}-\x{F6}\x{F8}-\x{FF}])([.,])([ \n]|\z)", r"\1 \2\3")
         return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
 
