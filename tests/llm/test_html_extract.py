@@ -54,6 +54,25 @@ def test_reader():
     assert H.text_of(parse(deep), [True] * 3001) == "x"
 
 
+def test_a_head_that_is_not_closed_ends_where_the_body_begins():
+    read = lambda html: H.text_of(t := parse(html), [True] * len(t.tag))
+    head = "<html><head>\n<meta charset=utf-8><link rel=x><script>s</script><style>s</style><title>t</title>\n"
+    for rest in ("<body><p>a</p></body></html>", "<p>a", "<b>a</b>", "<img src=x>a", "<br>a", "<textarea>x</textarea>a", "a", "</head><body>a", "<header>a</header>", "<x-y>a</x-y>", "<head><body>a", "<noscript><p>n<body>a", "<basefont><p>a"):
+        assert read(head + rest) == "a", rest
+    assert parse(head + "<body><p>a").parent == [-1, 0, 1, 1, 3]
+    # what a noscript, a template or a closed head holds stays unseen
+    for rest in ("<noscript><img src=x><p>n</p></noscript>", "<template><body><p>n</p></body></template>", "<noscript><iframe>n</iframe>n</noscript><!-- c -->"):
+        assert read(head + rest + "<body>a") == read(head + rest + "</head><body>a") == "a", rest
+    assert read("<body><svg><head><p>n</p></head></svg>a") == "a"
+
+
+def test_pages_without_the_end_tag_of_the_head():
+    made = [page(10**7 + i) for i in range(100)]
+    assert all("</head>" in h for h, _ in made)
+    got = H.extract([h.replace("</head>", "") for h, _ in made], H.trained())
+    assert got == H.extract([h for h, _ in made], H.trained())
+
+
 def test_odd_tables(spark):
     rows = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<article><p>" + "word, " * 50_000 + "</article>"), (2, "u", ""), (3, "u", "< a > & <"), (4, "u", "<article></article>")], "page_id long, url string, html string")
     got = H.main_text(rows.withColumn("text", rows.html)).collect()

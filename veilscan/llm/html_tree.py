@@ -10,6 +10,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 UNSEEN = frozenset("head template noscript svg iframe object canvas math audio video map datalist".split())
 RAW = frozenset("script style xmp noembed noframes textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that may stand in a head; the start of any other, or text, ends it.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Start tags that end an open paragraph, and elements that end their like.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_LIKE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",), "p": ENDS_P - {"p"}}
@@ -45,16 +47,21 @@ def parse(html: str | None) -> Tree:
     tag, parent, depth, tokens, pieces, controls, links = tree.tag, tree.parent, tree.depth, tree.tokens, tree.pieces, tree.controls, tree.links
     open_: list[tuple[str, int]] = [("#root", 0)]
     at, unseen, in_link, html = 0, 0, 0, html or ""
+    head = 0  # place of the open head in open_, 0 for none
 
     def close(upto: int) -> None:
-        nonlocal unseen, in_link
+        nonlocal unseen, in_link, head
         while len(open_) > upto:
             name, _ = open_.pop()
             unseen -= name in UNSEEN
             in_link -= name == "a"
+        if head >= upto:
+            head = 0
         pieces.append((-1, "", False))
 
     def text(raw: str) -> None:
+        if head and unseen == 1 and raw.strip(" \t\n\f\r"):
+            close(head)
         if raw and not unseen:
             pieces.append((open_[-1][1], unescape(raw) if "&" in raw else raw, in_link > 0))
 
@@ -81,6 +88,9 @@ def parse(html: str | None) -> Tree:
                 if name in INLINE and open_[i][0] not in INLINE:
                     break
             continue
+        # what stands in an element of the head that is not shown does not end the head, but for a body outside templates
+        if head and (name not in HEAD if unseen == 1 else name == "body" and all(x != "template" for x, _ in open_[head:])):
+            close(head)
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(html, at)
             at = stop.start() if stop else len(html)
@@ -118,6 +128,8 @@ def parse(html: str | None) -> Tree:
         links.append(0)
         pieces.append((-1, "", False))
         unseen += name in UNSEEN
+        if name == "head" and not head:
+            head = len(open_)
         open_.append((name, node))
     text(html[at:])
     return tree
