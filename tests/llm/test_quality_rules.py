@@ -89,3 +89,42 @@ def test_whole_table_matches_sql(spark):
         names = [c[0] for c in want.description]
         got = Q.query(spark, d).select(*names).collect()
         assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_whole_table_with_active_cutoffs_matches_brute_force(spark):
+    d = "/root/testdata/sf0.1"
+    good = {}
+    for r in spark.read.parquet(f"{d}/labels.parquet").filter("quality is not null").collect():
+        good[r.doc_id] = good.get(r.doc_id, False) or r.quality >= 1
+    ratios, base, langs = {}, {}, {}
+    for r in spark.read.parquet(f"{d}/documents.parquet").collect():
+        words, _, symbols, dup, repeats = brute(r.text)
+        lines = sum(bool(SPACE.sub("", x)) for x in (r.text or "").split("\n"))
+        some = max(words, 1)
+        ratios[r.doc_id] = (symbols / some, (r.text or "").count("!") / some, dup / max(lines, 1), repeats / some)
+        base[r.doc_id], langs[r.doc_id] = words < 20 or 100 * repeats > 30 * words, r.lang
+    strata = {langs[i] for i in good if i in langs}
+    cuts = {}
+    for lang in strata:
+        held = [i for i in good if langs.get(i) == lang]
+        n = sum(good[i] for i in held)
+        for rule in range(len(Q.RULES)):
+            safe = []
+            for cutoff in Q.GRID:
+                hit = [good[i] for i in held if ratios[i][rule] >= cutoff]
+                fp, tp = sum(hit), len(hit) - sum(hit)
+                tail = math.fsum(math.comb(n, k) * Q.ALPHA**k * (1 - Q.ALPHA) ** (n - k) for k in range(fp + 1)) if fp < n * Q.ALPHA else 1
+                if tail <= Q.DELTA / (len(strata) * len(Q.RULES) * len(Q.GRID)) and tp > 10 * fp:
+                    safe.append((tp - 10 * fp, cutoff))
+            if safe:
+                cuts[lang, rule] = max(safe)[1]
+    assert {lang for lang, _ in cuts} == {"en"} and len(cuts) == len(Q.RULES)
+    # as README says, another language has too few good labels for any cutoff
+    needed = math.log(Q.DELTA / (len(strata) * len(Q.RULES) * len(Q.GRID))) / math.log(1 - Q.ALPHA)
+    assert all((sum(good[i] for i in good if langs.get(i) == lang) >= needed) == (lang == "en") for lang in strata)
+    got = Q.query(spark, d).collect()
+    assert len(got) == len(langs)
+    for r in got:
+        failed = any(ratios[r.doc_id][rule] >= cuts.get((langs[r.doc_id], rule), math.inf) for rule in range(len(Q.RULES)))
+        assert r.base_failed == base[r.doc_id] and r.kept == (not r.base_failed and not failed)
+    assert sum(not r.kept and not r.base_failed for r in got) > 100
