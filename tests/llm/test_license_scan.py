@@ -45,6 +45,19 @@ def test_tags_add_labels():
     assert r["labels"] == "apache,mit" and r["base_labels"] == "" and r["expressions"] == ["(MIT OR Apache-2.0)"] and r["permissive"] and r["score"] > 0.9
 
 
+def test_the_leading_part_of_a_line_is_read():
+    for line, lead in {
+        "Apache-2.0 Copyright 2021 X": "Apache-2.0", "MIT (see LICENSE)": "MIT", "MIT.": "MIT", "MIT. With thanks": "MIT", "(MIT OR X).": "(MIT OR X)", "(MIT) x)": "(MIT)", "MIT)": "MIT", " MIT <br>": "MIT",
+        "GPL-2.0 WITH Classpath-exception-2.0 foo": "GPL-2.0 WITH Classpath-exception-2.0", "MIT OR (GPL-2.0 AND ISC) é": "MIT OR (GPL-2.0 AND ISC)",
+    }.items():
+        assert L.leading(line) == lead, line
+    for bad in ("", "...", "MIT OR", "MIT OR OR X", "OR MIT", "(MIT OR X", "(MIT.", "MIT AND .", "MIT AND (GPL", "MIT AND (GPL OR", "é MIT"):
+        with pytest.raises(ValueError):
+            L.leading(bad)
+    r = L.scan_text("SPDX-License-Identifier: Apache-2.0 Copyright 2021 X\nSPDX-License-Identifier: GPL-2.0.\nSPDX-License-Identifier: ISC (see LICENSE)")
+    assert r["labels"] == "apache,gpl,isc" and r["expressions"] == ["Apache-2.0", "GPL-2.0", "ISC"] and r["permissive"] is False and r["n_base"] == 0
+
+
 def test_whole_table_matches_brute_force(spark):
     d = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}

@@ -3,14 +3,16 @@
 Every text is lower-cased in A-Z and reduced to its words with one space
 between, so that the automaton finds a phrase wherever its words stand
 consecutively, whatever parts them. Where it finds an identifier tag, the
-expression after the tag in the original text goes through a shunting-yard
-parser (``with`` binds before ``and``, ``and`` before ``or``) and its postfix
+expression after the tag in the original text, which is the longest leading part
+of the line that is one, goes through a shunting-yard parser (``with`` binds before ``and``, ``and`` before ``or``) and its postfix
 form is evaluated: the labels of all its licenses, and whether the licensee can
 comply by permissive terms alone (``and``: both sides, ``or``: either side,
 ``with``: as its license).
 
 Defined cases: a null text is an empty one; phrases may overlap and each place
-counts; a malformed expression gives no labels but its tag counts for the score;
+counts; a malformed expression, one that breaks off after an operator among them, gives
+no labels but its tag counts for the score; a full stop after an identifier ends
+the expression; a word after ``and`` or ``or`` is taken for an identifier;
 rows with null or equal ids are scanned like others. Other columns are not read.
 """
 
@@ -98,6 +100,38 @@ def postfix(expression: str) -> list[str]:
     return out + held[::-1]
 
 
+def leading(line: str) -> str:
+    """The longest leading part of ``line`` that is an expression; ValueError if there is none or an operator follows it."""
+    at, depth, operand, end = 0, 0, True, 0
+    while m := _token.match(line, at):
+        token = m[1]
+        name = token.rstrip(".")
+        if token == "(":
+            if not operand:
+                break
+            depth += 1
+        elif token == ")":
+            if operand or not depth:
+                break
+            depth -= 1
+        elif token.lower() in BINDS:
+            if operand:
+                break
+            operand = True
+        else:
+            if not operand or not name:
+                break
+            operand = False
+        at = m.end() - len(token) + len(name)
+        if not depth and not operand:
+            end = at
+        if name != token:
+            break
+    if not end or at > end:
+        raise ValueError(line)
+    return line[:end].strip()
+
+
 def family(identifier: str) -> str:
     low = identifier.lower()
     return next((f for f in FAMILIES if low == f or low.startswith(f + "-")), low)
@@ -149,6 +183,7 @@ def scan_text(text: str | None) -> dict:
     for m in _tag.finditer(text) if tagged else ():
         written = _ends.split(m[1])[0].strip()
         try:
+            written = leading(written)
             labels, fine = evaluate(written)
         except ValueError:
             sure["", "broken"] = SURE_BROKEN
