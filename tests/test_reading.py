@@ -166,6 +166,19 @@ def test_places_are_utf16_units():
     assert r.visible_text == "hi" and r.stats()["hidden"] == 6
 
 
+def test_many_controls_on_the_first_lines_hide_no_later_line():
+    text = "a" + "\u200e" * 6000 + "\nb\u200e\r\nc\rd\u200e\u200e\n\ne\u200e\nf\u200e\ng\u200e"
+    f = found(text)["bidi"]
+    assert f.samples == [f"line {n}" for n in (1, 2, 4, 6, 7)] and f.count == 6006
+
+
+@pytest.mark.parametrize("between", ["\U000e0041" * 5000, "\U000e0101" * 4096, "\u200b" * 4095, "\u200b"])
+def test_a_payload_of_any_length_does_not_part_a_stack(between):
+    f = found("e" + "\u0301" * 4 + between + "\u0301" * 9)["combining-stack"]
+    assert f.count == 13 and f.severity == dims.HIGH
+    assert "combining-stack" not in found("e" + "\u0301" * 4 + between + "e" + between + "\u0301" * 4)
+
+
 def test_one_finding_for_one_cause():
     assert found("http://p\u0430yp\u0430l.com").keys() == {"homograph-url"}
     assert "combining-stack" not in found(codec.encode_variation_selectors("a fairly long payload here", "\u2705"))
