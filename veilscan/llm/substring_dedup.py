@@ -1,4 +1,4 @@
-"""Exact removal of repeated 100-byte strings by bucket-pointer refinement.
+"""Exact removal of repeated 100-byte strings by radix refinement on fixed fingerprints.
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts earlier (in a
 document of a smaller id, or further up in the same document).
@@ -14,15 +14,18 @@ places, and each string belongs to one anchor. Then buckets are refined:
    earliest are removed whole. This is done within each piece of input first, so
    a passage that a third of all documents share is dealt out once a piece.
 2. Grams under which there are still different surroundings are refined by the
-   bucket next to them: 34 bytes to the left for the strings that reach so far,
+   bytes next to them: 34 to the left for the strings that reach so far,
    or to the right for the others. What shares a bucket comes together with its
    bytes, once.
-3. There the strings are refined to their full length by the buckets of later
-   offsets: sorting pairs of 32-byte buckets gives buckets of 64 bytes, and
-   pairs of these, 36 apart, buckets of 100; a bucket made at one offset serves
-   all strings that run over it. Buckets of one string are left alone.
-
-Buckets of up to 32 bytes are 64-bit fingerprints and wider ones pairs of these.
+3. There the strings are refined to their full length, most significant part
+   first: buckets of the first 32 bytes are parted by the fixed fingerprints of
+   the 32 bytes at offset 32, then at 64, then at 68. This is a radix refinement:
+   a refined bucket is parted further but is never itself the key of another
+   offset, as it would be in bucket-pointer refinement. Buckets of one string are
+   left alone.
+
+Buckets of up to 32 bytes are 64-bit fingerprints and wider ones numbers of
+tuples of these.
 
 Defined cases: a null text is empty; a null id is the smallest; rows that repeat
 id and text are one document, whose result each of them gets; rows that repeat
