@@ -1,32 +1,105 @@
-import html
 import itertools
-import re
 
+import duckdb
 import numpy as np
+import pytest
 
 from veilscan.llm import html_extract as H
-from veilscan.llm.html_pages import page
+from veilscan.llm.html_pages import LAYOUTS, page
 from veilscan.llm.html_tree import parse
 
 
-def test_generated_pages_that_the_model_never_saw():
-    made = [page(10**7 + i) for i in range(300)]
+# Layouts that no training page has.
+
+
+def _definitions(m):
+    return "<dl>" + "".join(f"<dt>{m.said(1, 4)}<dd>{m.said(8, 60)}" for _ in range(m.r.randint(3, 8))) + "</dl>"
+
+
+def _old(m):
+    return f"<center><h2>{m.said(2, 6)}</h2></center><font size=2>" + "".join(f"<p align=justify>{m.said(15, 90)}" for _ in range(m.r.randint(2, 8))) + "</font>"
+
+
+def _chapters(m):
+    return "<main>" + "".join(f"<section><h2>{m.said(1, 6)}</h2><p>{m.said(10, 80)}</p><p>{m.said(10, 80)}</p></section>" for _ in range(m.r.randint(2, 5))) + "</main>"
+
+
+def _deep(m):
+    return "<div><div><section><div><div>" + "".join(f"<div><p>{m.said(10, 80)}</p></div>" for _ in range(m.r.randint(2, 6))) + "</div></div></section></div></div>"
+
+
+def _framed(m):
+    return f"<table width=100%><tr><td><table><tr><td>{m.links(3, 6)}</td></tr></table></td><td><table><tr><td>{''.join(f'<p>{m.said(10, 70)}</p>' for _ in range(m.r.randint(2, 6)))}</td></tr></table></td></tr></table>"
+
+
+def _list(m):
+    return "<ol>" + "".join(f"<li><p>{m.said(10, 60)}</p></li>" for _ in range(m.r.randint(3, 9))) + "</ol>"
+
+
+HELD_OUT = {"definitions": _definitions, "old": _old, "chapters": _chapters, "deep": _deep, "framed": _framed, "list": _list}
+
+
+def agreement(layouts, count=150):
+    made = [page(10**7 + i, layouts=layouts) for i in range(count)]
     got = H.extract([h for h, _ in made], H.trained())
-    assert np.mean([g == t for g, (_, t) in zip(got, made, strict=True)]) >= 0.97
+    return np.mean([g == t for g, (_, t) in zip(got, made, strict=True)])
+
+
+@pytest.mark.parametrize("kind", LAYOUTS)
+def test_generated_pages_that_the_model_never_saw(kind):
+    assert agreement({kind: LAYOUTS[kind]}) >= 0.95
+
+
+@pytest.mark.parametrize("kind", HELD_OUT)
+def test_layouts_that_the_model_never_saw(kind):
+    assert agreement({kind: HELD_OUT[kind]}) >= 0.85
+
+
+def test_nodes_of_pages_that_the_model_never_saw():
     x, y, _ = H.training_rows(10**8, 100)
     assert np.mean((H.trained().score(x) > 0) == (y > 0)) >= 0.98
 
 
-def test_whole_table_matches_the_article(spark):
-    d = "/root/testdata/sf0.01"
-    rows = {r.page_id: r for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
-    got = H.query(spark, d).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        source = rows[r.page_id].html
-        inside = source[source.index("<article>") + 9 : source.index("</article>")]
-        want = " ".join(html.unescape(re.sub(r"</?(p|h1|br)>", " ", inside).replace("<b>", "").replace("</b>", "")).split())
-        assert r.text == want and r.n_chars == len(want) and r.url == rows[r.page_id].url
+SAID = "Some words stand here, and they go on for a while, so that a reader has a sentence to read. More of it follows here."
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<html><body>{''.join(f'<p>{SAID}</p>' for _ in range(8))}</body></html>",
+        f"<html><body>{''.join(f'<div>{SAID}</div>' for _ in range(8))}</body></html>",
+        f"<html><body>{'<br>'.join([SAID] * 8)}</body></html>",
+        f"<html><body><pre>{chr(10).join([SAID] * 8)}</pre></body></html>",
+        f"<html><body><table><tr><td>{' '.join([SAID] * 8)}</td></tr></table></body></html>",
+        " ".join([SAID] * 8),
+        f"<html><body><article>{''.join(f'<p>{SAID}</p>' for _ in range(8))}</article></body></html>",
+        f"<html><body><div class=content>{''.join(f'<p>{SAID}</p>' for _ in range(8))}</div></body></html>",
+        f"<html><body><nav><a href=/a>Home</a> <a href=/b>News</a></nav>{''.join(f'<p>{SAID}</p>' for _ in range(8))}<div class=ad>Buy now</div><footer>All rights reserved</footer></body></html>",
+    ],
+)
+def test_pages_with_and_without_a_wrapper(html):
+    assert H.extract([html], H.trained()) == [" ".join([SAID] * 8)]
+
+
+def test_short_pages():
+    assert H.extract(["hello world", "<p>hello world", "", None, "<nav><ul><li><a href=/a>Home</a><li><a href=/b>About us</a></ul></nav><footer>All rights reserved</footer>"], H.trained()) == ["hello world", "hello world", "", "", ""]
+
+
+def test_whole_table_matches_sql(spark):
+    """The SQL reads no HTML: it makes the articles from the documents that they are."""
+    for d in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        con = duckdb.connect()
+        for table in ("documents", "pages"):
+            con.execute(f"create view {table} as from '{d}/{table}.parquet'")
+        got = H.query(spark, d).select("page_id", "url", "text", "n_chars").collect()
+        assert sorted(map(tuple, got)) == sorted(con.execute(H.SQL).fetchall())
+
+
+def test_a_page_of_many_nodes_is_scored_in_slices(monkeypatch):
+    html = "<html><body>" + f"<p>{SAID}</p>" * 500 + "</body></html>"
+    whole = H.extract([html, "<p>x y z"], H.trained())
+    monkeypatch.setattr(H, "ROWS", 37)
+    assert H.extract([html, "<p>x y z"], H.trained()) == whole and len(whole[0]) == 500 * (len(SAID) + 1) - 1
 
 
 def test_decoding_is_the_best_consistent_labelling():
@@ -36,8 +109,7 @@ def test_decoding_is_the_best_consistent_labelling():
         parent = [-1] + [int(rng.integers(0, i)) for i in range(1, n)]
         odds, weight = rng.normal(size=n), rng.random(n)
         best, best_sum = None, -np.inf
-        for states in itertools.product(range(3), repeat=n - 1):
-            s = (0, *states)
+        for s in itertools.product(range(3), repeat=n):
             if all(s[i] >= s[parent[i]] for i in range(1, n)):
                 total = sum(odds[i] * weight[i] for i in range(n) if s[i] == 1)
                 if total > best_sum:
@@ -67,10 +139,9 @@ def test_a_head_that_is_not_closed_ends_where_the_body_begins():
 
 
 def test_pages_without_the_end_tag_of_the_head():
-    made = [page(10**7 + i) for i in range(100)]
-    assert all("</head>" in h for h, _ in made)
-    got = H.extract([h.replace("</head>", "") for h, _ in made], H.trained())
-    assert got == H.extract([h for h, _ in made], H.trained())
+    made = [h for h, _ in (page(10**7 + i) for i in range(200)) if "</head>" in h]
+    assert len(made) > 50
+    assert H.extract([h.replace("</head>", "") for h in made], H.trained()) == H.extract(made, H.trained())
 
 
 def test_odd_tables(spark):

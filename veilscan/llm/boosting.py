@@ -8,7 +8,9 @@ import numpy as np
 class Boosted:
     """Complete binary trees of one depth, so that a whole batch walks down together."""
 
-    def __init__(self, trees: int = 50, depth: int = 4, rate: float = 0.2, bins: int = 24, ridge: float = 2.0, least: float = 4.0):
+    def __init__(self, trees: int = 50, depth: int = 4, rate: float = 0.2, bins: int = 24, ridge: float = 2.0, least: float = 4.0, columns: float = 1.0):
+        """``columns``: the share of the features that each tree may use, drawn from a fixed seed."""
+        self.columns = columns
         self.trees, self.depth, self.rate, self.bins, self.ridge, self.least = trees, depth, rate, bins, ridge, least
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boosted:
@@ -22,7 +24,9 @@ class Boosted:
         self.leaf = np.zeros((self.trees, 1 << self.depth))
         self.base = float(np.log((weight @ y + 1) / (weight @ (1 - y) + 1)))
         total = np.full(n, self.base)
+        rng = np.random.default_rng(0)
         for t in range(self.trees):
+            used = [f for f in range(width) if len(edges[f]) and (self.columns == 1 or rng.random() < self.columns)]
             p = 1 / (1 + np.exp(-total))
             g, h = weight * (y - p), weight * p * (1 - p)
             at = np.zeros(n, np.int64)
@@ -31,9 +35,7 @@ class Boosted:
                 best, which, where = np.full(nodes, 1e-6), np.zeros(nodes, np.int64), np.full(nodes, -1)
                 sum_g, sum_h = np.bincount(at, g, nodes), np.bincount(at, h, nodes)
                 whole = sum_g**2 / (sum_h + self.ridge)
-                for f in range(width):
-                    if not len(edges[f]):
-                        continue
+                for f in used:
                     cell = at * most + binned[:, f]
                     left_g, left_h = (np.bincount(cell, v, nodes * most).reshape(nodes, most).cumsum(1) for v in (g, h))
                     right_g, right_h = sum_g[:, None] - left_g, sum_h[:, None] - left_h

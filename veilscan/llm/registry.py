@@ -14,4 +14,4 @@ QUERIES = {
     "op9_url_filter": url_filter.query,
     "op10_quality_rules": quality_rules.query,
 }
-ORACLES: dict[str, str] = {"op1_ngram_join": ngram_join.SQL, "op7_sharding": sharding.SQL, "op9_url_filter": url_filter.SQL, "op10_quality_rules": quality_rules.SQL}
+ORACLES: dict[str, str] = {"op1_ngram_join": ngram_join.SQL, "op3_html_extract": html_extract.SQL, "op7_sharding": sharding.SQL, "op9_url_filter": url_filter.SQL, "op10_quality_rules": quality_rules.SQL}
