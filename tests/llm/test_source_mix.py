@@ -77,19 +77,73 @@ def test_shards_mix_all_sources(spark):
     assert met.groupBy("source", "pass", "block").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
 
 
+def words_by(rows_, *names):
+    out = {}
+    for r in rows_:
+        key = tuple(r[n] for n in names)
+        out[key] = out.get(key, 0) + (size(r["text"]) if "text" in r else r["taken"])
+    return {k: v for k, v in out.items() if v}
+
+
 def test_documents_of_the_mix(spark):
     df, data = rows(spark)
-    df = df.filter("doc_id is not null and doc_id <> 5")
-    out = M.mixed_documents(df, block=16)
-    assert out.columns == df.columns
-    taken = {r.doc_id: r.taken for r in M.digest(df, block=16).collect()}
-    got = {}
-    for r in out.collect():
-        got[r.doc_id] = got.get(r.doc_id, 0) + size(r.text)
-    assert got == {k: v for k, v in taken.items() if v}
+    for some in (df, df.filter("doc_id is not null")):
+        out = M.mixed_documents(some, block=16)
+        assert out.columns == df.columns
+        taken = words_by((r.asDict() for r in M.digest(some, block=16).collect()), "doc_id")
+        assert words_by((r.asDict() for r in out.collect()), "doc_id") == taken and len(taken) > 10
     assert M.cut_text(" a b  c\nd e", [(3, 1), (0, 2)]) == "a b\nd" and M.cut_text(" a b ", [(1, 1), (0, 1)]) == " a b "
 
 
+def test_repeated_rows_give_what_the_digest_says(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    equal = spark.createDataFrame([(7, text, "a", 1)] * 3 + [(8, " ".join(f"v{i}" for i in range(50)), "a", 1)], "doc_id long, text string, source string, row int")
+    for block in (16, 128):
+        got = M.mixed_documents(equal, block=block).collect()
+        digest = M.digest(equal, block=block).collect()
+        assert sum(size(r.text) for r in got if r.doc_id == 7) == sum(r.taken for r in digest if r.doc_id == 7) <= 2 * 1200
+        assert all(size(r.text) <= 400 for r in got)
+    # one id and text in two sources, and rows that differ elsewhere
+    two = spark.createDataFrame([(7, text, "a", 1), (7, text, "b", 2), (7, text, "b", 3), (9, text + " x", None, 4)], "doc_id long, text string, source string, row int")
+    by = {(r.source, r.row): 0 for r in two.collect()}
+    for r in M.mixed_documents(two).collect():
+        by[r.source, r.row] += size(r.text)
+    taken = sorted(r.taken for r in M.digest(two).collect())
+    assert sorted(by.values()) == taken and all(v <= 2 * 401 for v in taken)
+
+
+def test_clashing_and_odd_columns(spark):
+    df, _ = rows(spark)
+    odd = df.withColumns({c: F.lit(n) for n, c in enumerate(("_parts", "pass", "_key", "_h", "_id", "h", "key", "nth", "row", "parts", "name", "start", "shard"))}).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    out = M.mixed_documents(odd, block=16)
+    assert out.columns == odd.columns
+    assert words_by((r.asDict() for r in out.collect()), "doc_id") == words_by((r.asDict() for r in M.digest(odd, block=16).collect()), "doc_id")
+    assert {(r.h, r.nth, r.m["a"]) for r in out.collect()} == {(5, 7, 1)}
+
+
+def test_shard_counts_add_up_whoever_asks():
+    owed = np.array([1000, 0, 37, 5], np.int64)
+    whole = list(M.shard_counts(owed, 64, 1, 0, 17))
+    assert [s for s, _, _ in whole] == list(range(17)) and sum(c for _, _, c in whole).tolist() == owed.tolist()
+    at = np.zeros(4, np.int64)
+    for shard, first, count in whole:
+        assert first.tolist() == at.tolist() and count.sum() == min(64, 1042 - 64 * shard)
+        [(again, first_, count_)] = M.shard_counts(owed, 64, 1, shard, shard + 1)
+        assert (again, first_.tolist(), count_.tolist()) == (shard, first.tolist(), count.tolist())
+        at = at + count
+    assert list(M.shard_counts(np.zeros(3, np.int64), 64, 1, 0, 5)) == []
+    # a hundred billion slots: the tasks of one shard draw few numbers
+    big = list(M.shard_counts(np.array([6 * 10**10, 4 * 10**10], np.int64), 1 << 16, 1, 777, 778))
+    assert len(big) == 1 and big[0][2].sum() == 1 << 16 and abs(big[0][2][0] / (1 << 16) - 0.6) < 0.05
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    df, _ = rows(spark)
+    monkeypatch.setattr(M, "SOURCES", 1)
+    with pytest.raises(ValueError):
+        M.digest(df)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.digest(df).count() == 0
