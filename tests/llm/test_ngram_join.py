@@ -3,6 +3,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilscan.llm import ngram_join as J
 from veilscan.llm.components import components
@@ -119,3 +120,49 @@ def test_whole_table_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view documents as from '{d}/documents.parquet'")
     assert sorted(map(tuple, J.query(spark, d).collect())) == sorted(con.execute(J.SQL).fetchall())
+
+
+@pytest.mark.parametrize("limits", [{"LONG": 3, "PART": 3}, {"PART": 2, "DENSE": 1, "POSTINGS": 5, "SEARCHED_TOKENS": 30, "SEARCHED": 2}])
+def test_long_lists_small_parts_and_small_buckets_give_the_same(spark, monkeypatch, limits):
+    """Limits that only large inputs reach, set so low that this one does."""
+    for name, value in limits.items():
+        monkeypatch.setattr(J, name, value)
+    rng = random.Random(7)
+    rows, shared = [], [f"s{i}" for i in range(30)]
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(40)] + shared
+        rows += [(len(rows) + i, t) for i, t in enumerate(near_copies(rng, base, 25, 3))]
+    rows += [(len(rows) + i, " ".join(shared + [f"u{i}x{j}" for j in range(rng.randint(0, 9))])) for i in range(40)]
+    rng.shuffle(rows)
+    check(spark, rows)
+
+
+def test_a_hub_and_a_hot_class(spark, monkeypatch):
+    from veilscan.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    star = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(20)]
+    got = {r.v: r.label for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(60)} | {i: 100 for i in range(100, 121)}
+    check(spark, [(i, "one two three four five six") for i in range(50)] + [(60 + i, None) for i in range(20)] + [(None, "a b")] * 9)
+
+
+def test_meet(spark, monkeypatch):
+    from veilscan.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 9 + [2] * 9 + [3, 4, None, None])], "k int, i int")
+    unique = spark.createDataFrame([(1, "a"), (3, "c"), (5, "e")], "k int, x string")
+    for how in ("inner", "left"):
+        assert sorted(map(str, common.meet(rows, unique, "k", how).collect())) == sorted(map(str, rows.join(unique, "k", how).collect()))
+
+
+def test_representatives_keep_columns_of_any_name_and_one_row_of_each_group(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(5, a, 1), (5, a, 2), (3, a.upper(), 3), (5, b, 4), (7, b + " ", 5), (8, None, 6), (8, "", 7), (None, a, 8), (9, "lone words", 9), (3, a, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _n int").withColumns({"_h": F.lit(1), "h": F.lit(2), "class": F.lit(3), "row": F.lit(4), "nth": F.lit(5), "_id": F.lit(6)})
+    out = J.representatives(df)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id, r.text) for r in out.filter("doc_id is not null and doc_id <> 8").collect())
+    assert len(got) == 3 and got[1:] == [(5, b), (9, "lone words")] and got[0][0] == 3
+    assert {r._n for r in out.collect()} >= {6, 7, 8} and {(r._h, r.h, r["class"], r.row, r.nth, r._id) for r in out.collect()} == {(1, 2, 3, 4, 5, 6)}

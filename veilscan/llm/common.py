@@ -16,32 +16,85 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 _own_dir: list[str] = []
+_stored: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset,
-    as in tests, a folder of this machine takes its place.
+    ``spark.checkpoint.dir`` names it. Only a session whose tasks run in the
+    driver's own process may do without, as tests do: a folder of this machine
+    takes its place there. On a cluster an unset one is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="veilscan-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return "file://" + _own_dir[0]
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder; it is deleted by ``delete``, or else when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _stored[path] = spark
+    return path
+
+
+def delete(path: str) -> None:
+    spark = _stored.pop(path)
+    of = spark._jvm.org.apache.hadoop.fs.Path(path)
+    of.getFileSystem(spark._jsc.hadoopConfiguration()).delete(of, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_stored.items()):
+        if spark.sparkContext._jsc is not None:  # a stopped session has no file system to ask
+            delete(path)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it: lineage ends there,
     so a lost executor costs nothing that came before."""
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession, "stored")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for ``tables``, once nothing that is still to be run reads them."""
+    for table in tables:
+        delete(table.stored_at)
+
+
+#: Keys that ``meet`` broadcasts at most, and rows of a key from which it may be one of them.
+HOT_KEYS, HOT_ROWS = 100_000, 64
+
+
+def meet(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined by ``key`` (inner or left) with ``unique``, which has each key once, whatever share of the rows one key holds.
+
+    The ``HOT_KEYS`` keys with most rows, of those with more than ``HOT_ROWS``,
+    meet by a broadcast of that many rows at most; no other key brings more than
+    one in ``HOT_KEYS`` of the rows to a task. Both tables are read more than
+    once, so they should be stored. Rows with a null key meet nothing and stay in
+    a left join.
+    """
+    none, rows = rows.filter(F.col(key).isNull()), rows.filter(F.col(key).isNotNull())
+    hot = rows.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS).orderBy(F.desc("_rows")).limit(HOT_KEYS).select(key)
+    out = rows.join(F.broadcast(hot), key, "left_anti").join(unique, key, how)
+    out = rows.join(F.broadcast(hot.join(unique, key, how)), key).select(*out.columns).unionByName(out)
+    return out.unionByName(none, allowMissingColumns=True) if how == "left" else out
 
 
 class WordHashes(dict):

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, meet, stored
 
 
 def components(links: DataFrame) -> DataFrame:
     """From links (a, b): (v, label) for every linked vertex, label being the smallest vertex that it reaches.
 
     Each round joins every edge's end to the least neighbour; sums are combined
-    before they move and all edges of a vertex are never gathered. The number of
-    rounds grows with the logarithm of the longest chain.
+    before they move, edges of a vertex with many meet its neighbour by a
+    broadcast of bounded size, and all edges of a vertex are never gathered. The
+    number of rounds grows with the logarithm of the longest chain. Tables of a
+    round are deleted when the next one is written.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    same = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    was = same(edges)
     while True:
-        before = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = stored(meet(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         # small star: a vertex's smaller neighbours and itself meet at the smallest of them
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = stored(large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
-        same = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if same(before) == same(edges):
+        ends = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        after = stored(meet(large, down, "u").select(ends).select("e.u", "e.v").filter("u <> v").distinct())
+        discard(edges, large)
+        edges, before, was = after, was, same(after)
+        if before == was:
             return edges.select(F.col("u").alias("v"), F.col("v").alias("label")).unionByName(edges.select("v", F.col("v").alias("label")).distinct())

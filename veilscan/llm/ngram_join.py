@@ -14,20 +14,25 @@ similarity of 0.8 or more of their sets of word shingles.
   can reach the required overlap. A list with more candidate pairs than ``DENSE``
   for each member first compares its members to its pivot alone, the member
   nearest to the list's token; what is then in one component need not be
-  compared, and all other pairs are candidates of the second round.
+  compared, and all other pairs are candidates of the second round, in which a
+  list is cut into parts of ``PART`` members that are compared two and two.
+* Buckets of lists hold ``POSTINGS`` each, however many that makes. The list of
+  a token that stands in more than ``LONG`` texts is in no bucket: its members
+  are dealt out by their class, and meet its pivot by a join.
 * The candidates of a query document are one T-occurrence search: the inverted
   lists of its tokens over the candidates are divided, the short ones are merged
   with a heap, and documents that can still reach the overlap are probed in the
-  long ones by binary search. Searches with many candidates go to several tasks.
+  long ones by binary search. Searches with many candidates, or candidates with
+  many tokens, go to several tasks.
 
 The frequent tokens are the only thing that is broadcast; their number is fixed.
 Tokens are 64-bit hashes, and classes are known by a 64-bit hash of their set.
 
 Defined cases: a null text, or one without words, has no shingles and links to
 nothing; with fewer than ``k`` words the whole sequence is the only shingle; a
-null id is never linked; rows that repeat an id are texts of their own, each in
-the component of its text; an empty table gives no rows. Other columns are not
-read.
+null id is never linked; ids are integers, or strings that are read as such;
+rows that repeat an id are texts of their own, each in the component of its text;
+an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,19 +47,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHashes, mixed, pieces, shingle_hashes, stored, tidy
+from .common import WordHashes, discard, meet, mixed, pieces, shingle_hashes, stored, tidy
 from .components import components
 
 #: Tokens in the frequency table, in how many documents of a piece one must stand to be counted, and the pairs a member may have in a list before pivots are used.
 FREQUENT, COUNTED, DENSE = 1 << 20, 2, 4
 #: Tokens that are counted together, 8 bytes each.
 COUNTED_TOKENS = 4_000_000
-#: Bits of the map of wanted documents that spares moving others, and candidates in one search.
-WANTED_BITS, SEARCHED = 1 << 25, 256
+#: Postings in a bucket, and texts from which a token's list is not gathered in one but dealt over all buckets.
+POSTINGS, LONG = 400_000, 20_000
+#: Members of a part of a dense list; parts are compared two and two.
+PART = 2000
+#: Bits of the map of wanted documents that spares moving others, and candidates in one search and their tokens.
+WANTED_BITS, SEARCHED, SEARCHED_TOKENS = 1 << 25, 256, 1_000_000
 #: DivideSkip's weight of a long list.
 MU = 0.0085
 
@@ -117,7 +126,7 @@ KNOWN = "kind int, doc_id long, n long, class long, token long"
 
 @tidy
 def _known(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and one for each token that several texts of a piece have."""
+    """A row for each document, with the hash of its text for a token, and one for each token that several texts of a piece have."""
     known, held, classes_held, size = WordHashes(200_000), [], set(), 0
     names = ["kind", "doc_id", "n", "class", "token"]
 
@@ -137,7 +146,7 @@ def _known(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         sets = token_sets(batch.column("text").to_pylist(), k, known)
         classes = [class_of(s) if len(s) else 0 for s in sets]
         n = len(sets)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(np.zeros(n, np.int64))], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), batch.column("h")], names)
         for c, s in zip(classes, sets, strict=True):
             if c not in classes_held:
                 classes_held.add(c)
@@ -155,28 +164,34 @@ _member = np.dtype([("class", "<i8"), ("n", "<u4")])
 
 
 @tidy
-def _prefixes(batches: Iterator[pa.RecordBatch], k: int, frequent, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Postings of prefixes, for each piece and bucket of tokens."""
+def _prefixes(batches: Iterator[pa.RecordBatch], k: int, frequent, buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Postings of prefixes, for each piece and bucket of tokens; those of tokens with long lists go to buckets of classes instead."""
     known, (hot, rank) = WordHashes(200_000), frequent.value
     for batch in pieces(batches, "text"):
         sets = {class_of(s): s for s in token_sets(batch.column("text").to_pylist(), k, known) if len(s)}
         if not sets:
             continue
-        tokens, owner, place = [], [], []
+        tokens, owner, place, count = [], [], [], []
         for i, s in enumerate(sets.values()):
             n = len(s)
+            often = np.zeros(n, np.int64)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                s = s[np.lexsort((s, np.where(hot[at] == s, rank[at], 0)))]
+                often = np.where(hot[at] == s, rank[at], 0)
+                order = np.lexsort((s, often))
+                s, often = s[order], often[order]
             size = n - (4 * n + 4) // 5 + 1
             tokens.append(s[:size])
+            count.append(often[:size])
             owner.append(np.full(size, i))
             place.append(np.arange(size))
-        tokens, owner, place = (np.concatenate(x) for x in (tokens, owner, place))
+        tokens, owner, place, count = (np.concatenate(x) for x in (tokens, owner, place, count))
         members = np.array([(c, len(s)) for c, s in sets.items()], _member)
         entries = np.zeros(len(tokens), _entry)
         entries["t"], entries["t2"], entries["pos"] = tokens & np.uint64(0xFFFFFFFF), tokens >> np.uint64(32) & np.uint64(0xFFFF), np.minimum(place, 65_535)
-        bucket = (mixed(tokens & np.uint64(0xFFFFFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+        long = count > most
+        spread = np.where(long, members["class"][owner].view(np.uint64), tokens & np.uint64(0xFFFFFFFFFFFF))
+        bucket = 2 * (mixed(spread) % np.uint64(buckets)).astype(np.int64) + long
         order = np.lexsort((owner, bucket))
         rows = []
         for some in np.split(order, np.flatnonzero(np.diff(bucket[order], prepend=-1))[1:]):
@@ -194,23 +209,28 @@ def _possible(nx: np.ndarray, px: np.ndarray, ny: np.ndarray, py: np.ndarray) ->
     return 9 * np.minimum(nx - px, ny - py) >= 4 * (nx + ny)
 
 
-LISTS = "dense boolean, q long, c long, token long, n long, pos long"
-_lists = ["dense", "q", "c", "token", "n", "pos"]
+#: kind 0: a candidate pair (q, c) with c's size; 1: a member c of a dense list with its pivot q; 2: a member of a long list, whose pivot is not known yet.
+LISTS = "kind int, q long, c long, token long, n long, pos long"
+_lists = ["kind", "q", "c", "token", "n", "pos"]
 
 
-def _list_rows(dense: bool, q: np.ndarray, c: np.ndarray, token: np.ndarray | None = None, n: np.ndarray | None = None, pos: np.ndarray | None = None) -> pa.RecordBatch:
-    zeros = np.zeros(len(q), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), dense)), *(pa.array((zeros if x is None else x).astype(np.int64)) for x in (q, c, token, n, pos))], _lists)
+def _list_rows(kind: int, q: np.ndarray | None, c: np.ndarray, token: np.ndarray | None = None, n: np.ndarray | None = None, pos: np.ndarray | None = None) -> pa.RecordBatch:
+    zeros = np.zeros(len(c), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), kind, np.int32)), *(pa.array((zeros if x is None else x).astype(np.int64)) for x in (q, c, token, n, pos))], _lists)
 
 
 @tidy
 def _lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the lists of some buckets, and the dense lists with their pivots (q)."""
+    """Candidate pairs of the lists of some buckets, and the dense lists with their pivots (q). Odd buckets hold members of long lists, which go on as they are."""
     parts = []
     for batch in batches:
-        for members, entries in zip(batch.column("members").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+        for bucket, members, entries in zip(*(batch.column(c).to_pylist() for c in ("bucket", "members", "entries")), strict=True):
             e, m = np.frombuffer(entries, _entry), np.frombuffer(members, _member)
-            parts.append((e["t"].astype(np.int64) | e["t2"].astype(np.int64) << 32, m["class"][e["at"]], m["n"][e["at"]].astype(np.int64), e["pos"].astype(np.int64)))
+            made = (e["t"].astype(np.int64) | e["t2"].astype(np.int64) << 32, m["class"][e["at"]], m["n"][e["at"]].astype(np.int64), e["pos"].astype(np.int64))
+            if bucket % 2:
+                yield _list_rows(2, None, made[1], made[0], made[2], made[3])
+            else:
+                parts.append(made)
     if not parts:
         return
     token, cls, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -228,7 +248,14 @@ def _lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     token, cls, n, pos = (x[~twice] for x in (token, cls, n, pos))
     begin = np.flatnonzero(np.diff(token, prepend=-1))
     length = np.diff(np.append(begin, len(token)))
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def paired(x: np.ndarray, y: np.ndarray) -> None:
+        """The smaller class asks."""
+        swap = cls[x] > cls[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        pairs.append((cls[x], cls[y], n[y]))
+
     for m in np.unique(length):
         if m < 2:
             continue
@@ -238,7 +265,7 @@ def _lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in range(i + 1, m):
                     x, y = heads + i, heads + j
                     good = _possible(n[x], pos[x], n[y], pos[y])
-                    pairs.append((cls[x[good]], cls[y[good]]))
+                    paired(x[good], y[good])
             continue
         for head in heads:
             some = np.arange(head, head + m)
@@ -246,58 +273,58 @@ def _lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(m - 1):
                 x, y = head + i, some[i + 1 :]
                 y = y[_possible(n[x], pos[x], n[y], pos[y])]
-                few.append((np.full(len(y), cls[x]), cls[y]))
+                few.append((np.full(len(y), x), y))
                 found += len(y)
                 if i and found > DENSE * m:
                     break
             if found <= DENSE * m:
-                pairs += few
+                for x, y in few:
+                    paired(x, y)
             else:
-                pairs.append(few[0])
+                x, y = few[0]  # the pivot asks
+                pairs.append((cls[x], cls[y], n[y]))
                 # a member too far from the token to link even with the shortest one is done with
                 some = some[9 * (n[some] - pos[some]) >= 4 * (n[some] + n[some].min())]
                 for at in range(0, len(some), 100_000):
                     part = some[at : at + 100_000]
-                    yield _list_rows(True, np.full(len(part), cls[head]), cls[part], token[part], n[part], pos[part])
+                    yield _list_rows(1, np.full(len(part), cls[head]), cls[part], token[part], n[part], pos[part])
     if pairs:
-        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        both = np.unique(np.stack([np.concatenate(x) for x in zip(*pairs, strict=True)], 1), axis=0)
         for at in range(0, len(both), 100_000):
-            yield _list_rows(False, both[at : at + 100_000, 0], both[at : at + 100_000, 1])
+            q, c, size = both[at : at + 100_000].T
+            yield _list_rows(0, q, c, n=size)
 
 
 @tidy
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Dense lists, sorted by token, with the label of each member: the candidate pairs with two labels, but for the pivot's."""
+    """Parts of dense lists, two and two, with the label of each member: the candidate pairs with two labels, but for the pivot's."""
     held: list[np.ndarray] = []
     pairs: list[np.ndarray] = []
 
     def emitted() -> pa.RecordBatch:
-        both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        both = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 3), np.int64)
         pairs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["q", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in both.T.copy()], ["q", "c", "n"])
 
     def done(x: np.ndarray) -> None:
-        _, q, c, n, pos, label = x
-        for i in range(len(c) - 1):
-            if c[i] == q[i] or (label[i] == label).all():
-                continue
-            j = np.arange(i + 1, len(c))
+        _, low, high, part, q, c, n, pos, label = x
+        for i in np.flatnonzero((part == low) & (c != q)):
+            j = np.arange(i + 1, len(c)) if low[0] == high[0] else np.flatnonzero(part == high)
             j = j[(label[j] != label[i]) & (c[j] != q[j]) & _possible(n[i], pos[i], n[j], pos[j])]
             if len(j):
-                pairs.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], 1))
+                pairs.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j]), np.where(c[j] > c[i], n[j], n[i])], 1))
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "q", "c", "n", "pos", "label")])
-        for part in np.split(x, np.flatnonzero(np.diff(x[0])) + 1, axis=1):
-            if held and held[0][0, 0] != part[0, 0]:
+        x = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("token", "low", "high", "part", "q", "c", "n", "pos", "label")])
+        for some in np.split(x, np.flatnonzero(np.diff(x[:3]).any(axis=0)) + 1, axis=1):
+            if held and (held[0][:3, 0] != some[:3, 0]).any():
                 done(np.concatenate(held, axis=1))
                 held = []
-                if len(pairs) > 50_000:
+                if sum(map(len, pairs)) > 50_000:
                     yield emitted()
-            held.append(part)
+            held.append(some)
     if held:
         done(np.concatenate(held, axis=1))
     yield emitted()
@@ -357,71 +384,108 @@ def _wanted(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, parts: int) -> DataFrame:
-    """Of candidate pairs (q, c), the links (a, b)."""
+    """Of candidate pairs (q, c, and c's size n), the links (a, b)."""
     pairs = stored(pairs)
-    sizes = pairs.groupBy("q").agg(F.ceil(F.count("*") / SEARCHED).cast("int").alias("blocks"))
-    dealt = pairs.join(sizes, "q").select("q", "c", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"))
+    blocks = F.greatest(F.ceil(F.count("*") / SEARCHED), F.ceil(F.sum("n") / SEARCHED_TOKENS)).cast("int").alias("blocks")
+    sizes = pairs.groupBy("q").agg(blocks)
+    dealt = meet(pairs, sizes, "q").select("q", "c", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"))
     own = sizes.join(texts, sizes.q == texts["class"]).select("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("own"), F.col("q").alias("c"), "packed")
     others = dealt.join(texts, dealt.c == texts["class"]).select("q", "block", F.lit(False).alias("own"), "c", "packed")
     rows = own.unionByName(others).repartition(parts, "q", "block").sortWithinPartitions("q", "block", F.desc("own"))
-    return rows.mapInArrow(partial(_search, k=k), "a long, b long")
+    links = stored(rows.mapInArrow(partial(_search, k=k), "a long, b long"))
+    discard(pairs)
+    return links
+
+
+def _possible_pair(n: str, pos: str, m: str, at: str) -> Column:
+    return 9 * F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) >= 4 * (F.col(n) + F.col(m))
+
+
+def _with_pivots(long: DataFrame) -> DataFrame:
+    """Members of long lists with their list's pivot: q, and its size and place m and at."""
+    long = stored(long.select("token", "c", "n", "pos").distinct())
+    pivots = long.groupBy("token").agg(F.min(F.struct("pos", "n", "c")).alias("p"), F.min("n").alias("least"))
+    met = meet(long, pivots, "token").filter(9 * (F.col("n") - F.col("pos")) >= 4 * (F.col("n") + F.col("least")))
+    out = stored(met.select("token", F.col("p.c").alias("q"), "c", "n", "pos", F.col("p.n").alias("m"), F.col("p.pos").alias("at")))
+    discard(long)
+    return out
+
+
+def _parted(dense: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of dense lists with more than one label, under each two parts (low, high) of their list of which they are in one."""
+    more = stored(dense.join(labels, dense.c == labels.v, "left").select("token", "q", "c", "n", "pos", F.coalesce("label", "c").alias("label")))
+    sizes = more.groupBy("token").agg(F.ceil(F.count("*") / PART).cast("int").alias("of"), F.min("label").alias("one"), F.max("label").alias("other"))
+    sizes = sizes.filter("one <> other").select("token", "of")
+    part = F.pmod(F.xxhash64("c"), F.col("of")).cast("int").alias("part")
+    met = meet(more, sizes, "token").select("token", "q", "c", "n", "pos", "label", part, F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("with"))
+    return met.select("token", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "q", "c", "n", "pos", "label")
 
 
 def _linked(docs: DataFrame, k: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """A row for each row of ``docs`` (doc_id, n, class), and one for each class (class, doc_id, component_id)."""
+    """A row for each row of ``docs`` (doc_id, n, class), and one for each class: class, its first row by doc_id and the hash h of its text, and the same of its component, as component_id and root (a class)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4, parts // 2)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seen = stored(rows.mapInArrow(partial(_known, k=k), KNOWN))
+    seen = stored(rows.withColumn("h", F.xxhash64("text")).mapInArrow(partial(_known, k=k), KNOWN))
     top = seen.filter("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     hot = top.column("token").to_numpy().view(np.uint64)
     order = np.argsort(hot)
     frequent = spark.sparkContext.broadcast((hot[order], top.column("n").to_numpy()[order]))
     members = seen.filter("kind = 0")
+    # a fifth of a set and one more are its prefix
+    postings = members.agg(F.sum(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)).first()[0] or 0
+    tasks = max(4, parts // 2, -(-postings // POSTINGS))
     linked = rows.filter("doc_id is not null")
-    lists = stored(linked.mapInArrow(partial(_prefixes, k=k, frequent=frequent, buckets=buckets), "bucket int, members binary, entries binary").repartition(buckets, "bucket").mapInArrow(_lists_of, LISTS))
-    pairs = lists.filter("not dense").select("q", "c").distinct()
-    dense = lists.filter("dense")
+    dealt = linked.mapInArrow(partial(_prefixes, k=k, frequent=frequent, buckets=4 * tasks, most=LONG), "bucket int, members binary, entries binary")
+    lists = stored(dealt.repartition(tasks, "bucket").mapInArrow(_lists_of, LISTS))
+    pairs, dense = lists.filter("kind = 0").select("q", "c", "n"), lists.filter("kind = 1").select("token", "q", "c", "n", "pos")
+    long = None
+    if not lists.filter("kind = 2").isEmpty():
+        long = _with_pivots(lists.filter("kind = 2"))
+        pairs = pairs.unionByName(long.filter(_possible_pair("n", "pos", "m", "at") & (F.col("c") != F.col("q"))).select("q", "c", "n"))
+        dense = dense.unionByName(long.drop("m", "at"))
+    pairs = pairs.distinct()
     classes = pairs.select(F.explode(F.array("q", "c")).alias("class")).unionByName(dense.select(F.col("c").alias("class"))).distinct()
-    of_class = members.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    chosen = stored(classes.join(of_class, "class"))
+    first = F.min(F.struct("doc_id", F.col("token").alias("h"))).alias("f")
+    of_class = stored(members.filter("n > 0 and doc_id is not null").groupBy("class").agg(first).select("class", "f.*"))
+    chosen = stored(classes.join(of_class.drop("h"), "class"))
     texts = _wanted(linked, chosen.select("doc_id"), "doc_id").mapInArrow(_packed, "doc_id long, packed binary")
     texts = stored(texts.join(chosen, "doc_id").select("class", "packed"))
-    links = stored(verified(pairs, texts, k, parts))
-    if dense.limit(1).count():
+    links = verified(pairs, texts, k, parts)
+    if not dense.isEmpty():
         labels = components(links)
-        more = dense.join(labels, dense.c == labels.v, "left").select("token", "q", "c", "n", "pos", F.coalesce("label", "c").alias("label"))
-        second = more.repartition(parts, "token").sortWithinPartitions("token", "pos", "c").mapInArrow(_second, "q long, c long").distinct()
+        second = _parted(dense, labels).repartition(parts, "token", "low", "high").sortWithinPartitions("token", "low", "high", "pos", "c").mapInArrow(_second, "q long, c long, n long").distinct()
         links = stored(links.unionByName(verified(second, texts, k, parts)))
+    discard(lists, chosen, texts, *([long] if long is not None else []))
     # vertices in the order of their smallest id, so that a component's label holds its id
     vertex = of_class.select("class", F.struct("doc_id", "class").alias("v"))
     ends = links.join(vertex.select(F.col("class").alias("a"), F.col("v").alias("va")), "a").join(vertex.select(F.col("class").alias("b"), F.col("v").alias("vb")), "b")
     labels = components(ends.select(F.col("va").alias("a"), F.col("vb").alias("b")))
-    found = labels.select("v.class", F.col("label.doc_id").alias("component_id"))
-    by_class = of_class.join(found, "class", "left").select("class", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return members.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")), by_class
+    found = labels.select("v.class", "label")
+    by_class = of_class.join(found, "class", "left").select("class", "doc_id", "h", F.coalesce("label.doc_id", "doc_id").alias("component_id"), F.coalesce("label.class", "class").alias("root"))
+    return members.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")), stored(by_class)
 
 
 def join(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs``: doc_id, n_shingles, class (of equal sets; null for none), component_id (the smallest doc_id reachable by links)."""
     members, by_class = _linked(docs, k, doc_id, text)
-    out = members.join(by_class.drop("doc_id"), "class", "left")
+    out = meet(members, by_class.select("class", "component_id"), "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of ``docs`` (with doc_id and text) without near duplicates: one of each component, all that are linked to nothing.
+def representatives(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one of each component, all that are linked to nothing.
 
-    Of rows that repeat id and text one stays; rows without words or id all stay.
+    It is the row of the smallest id; of rows that repeat id and text, or id and
+    set, one stays; rows without words or id all stay. Columns of any name are kept.
     """
-    _, by_class = _linked(docs, k, "doc_id", "text")
-    found = by_class.filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    h = F.xxhash64("text")
-    lone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    one = docs.join(found, docs.doc_id == found._id, "left_semi").filter(~lone)
-    one = one.withColumn("_h", h).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("doc_id"))).filter("_n = 1").drop("_h", "_n")
-    return one.unionByName(docs.filter(lone))
+    _, by_class = _linked(docs, k, doc_id, text)
+    found = by_class.filter("class = root").select("doc_id", "h")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("said"))
+    lone = F.col("doc_id").isNull() | ~F.col("said")
+    one = rows.filter(~lone).join(found, ["doc_id", "h"], "left_semi")
+    one = one.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("doc_id"))).filter("nth = 1")
+    return one.select("row.*").unionByName(rows.filter(lone).select("row.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
