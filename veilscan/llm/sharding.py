@@ -1,7 +1,7 @@
 """Sharding by extendible hashing.
 
-A document's key is 128 bits: 64 of a hash of its id (and 64 of a hash of its
-row, for ids that repeat). The directory starts with one bucket; a bucket that
+A document's key is 128 bits: 64 of a hash of its id, and 64 of a hash of its
+text and of its number among the rows that repeat both. The directory starts with one bucket; a bucket that
 is larger than the byte limit is split on the next bit, and only it, until every
 bucket fits. A shard is named by its bits.
 
@@ -11,7 +11,7 @@ do not fit at its last bit go on to the next step. Bytes are pre-aggregated in
 the map tasks, so a hot prefix costs no more than another.
 
 Defined cases: a null text has no bytes; a null id hashes like the empty string;
-rows that repeat an id part on the bits of their row's hash; a document larger
+rows that repeat an id part on the bits of their text and number, and the shards are the same however the rows are dealt out; a document larger
 than the limit ends as a shard of its own at the first bit that parts it from
 all others, or at the last bit; an empty table has no shards. Other columns are
 not read.
@@ -21,10 +21,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored
 
 STEP, BITS = 16, 128
+#: Parts in which rows of one id and text are counted.
+WAYS = 256
 LIMIT = 1 << 20
 
 
@@ -39,11 +42,31 @@ def _row_bits(*of: Column) -> Column:
     return F.lpad(F.conv(F.hex(F.xxhash64(*of)), 16, 2), 64, "0")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with nth, which tells apart those of one id and text and is 0 for all others.
+
+    Such rows are counted in ``WAYS`` parts each, and a part's numbers go on
+    where those of the parts before it end.
+    """
+    again = rows.groupBy("k", "h").agg(F.count("*").alias("n")).filter("n > 1").select("k", "h")
+    if again.isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    again = stored(again.withColumn("again", F.lit(True)))
+    marked = rows.join(again, ["k", "h"], "left").withColumn("way", F.pmod("m", F.lit(WAYS)).cast("int"))
+    some = marked.filter("again")
+    sizes = some.groupBy("k", "h", "way").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("k", "h").orderBy("way")) - F.col("n")).drop("n")
+    inside = F.row_number().over(Window.partitionBy("k", "h", "way").orderBy("m"))
+    counted = some.withColumn("inside", inside).join(before, ["k", "h", "way"]).withColumn("nth", F.col("before") + F.col("inside") - 1)
+    return marked.filter("again is null").withColumn("nth", F.lit(0).cast("long")).select(*rows.columns, "nth").unionByName(counted.select(*rows.columns, "nth"))
+
+
 def shard(docs: DataFrame, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs``: doc_id, bytes, shard (its bits), depth, shard_bytes, shard_docs, fits."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("m"))
+    rows = docs.select(F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.col(doc_id).alias("doc_id"), key_bits(F.col(doc_id)).alias("k"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("m"))
     # the row number is fixed by writing it before it is used
-    left = stored(rows.select("doc_id", "bytes", F.concat(key_bits(F.col("doc_id")), _row_bits(F.col("h"), F.col("m"))).alias("bits")))
+    left = _numbered(stored(rows))
+    left = stored(left.select("doc_id", "bytes", F.concat("k", _row_bits(F.col("h"), F.col("nth"))).alias("bits")))
     found = []
     for at in range(0, BITS, STEP):
         prefix = F.substring("bits", 1, at + STEP)
