@@ -1,13 +1,18 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule rejects a document whose ratio reaches a cutoff. The cutoff of each
-rule and stratum is chosen on labelled documents: for every cutoff of a fixed
-grid, the hypothesis "this cutoff rejects more than ``alpha`` of the good
-documents of the stratum" is tested with the exact binomial tail
-P(Bin(n, alpha) <= k), k of n good holdout documents being rejected. Cutoffs
-whose tail is at most ``delta`` over the number of all tests (strata x rules x
-grid, Bonferroni) are safe, whichever of them is then taken; a rule without a
-safe cutoff in a stratum rejects nothing there.
+A rule rejects a document whose ratio reaches a cutoff, and a stratum has one
+cutoff for all rules, so that one bound holds for what they reject together. It
+is chosen on labelled documents. The cutoffs of a fixed grid are tested from the
+largest down, as a smaller one rejects all that a larger one does: the hypothesis
+"the rules reject more than ``alpha`` of the good documents of the stratum" falls
+if the exact binomial tail P(Bin(n, alpha) <= k), k of n good holdout documents
+being rejected, is at most ``delta`` over the number of strata (Bonferroni). The
+first hypothesis that stands ends the sequence, for which reason its tests need
+no correction among themselves. All cutoffs before that are safe, whichever is
+taken: with probability 1 - ``delta`` at least, no stratum rejects more than
+``alpha`` of its good documents by them. A stratum without a safe cutoff rejects
+by the base rules alone; that is so with fewer than ln(delta / strata) /
+ln(1 - alpha) good labels, 217 for four strata.
 
 Defined cases: a null text has no words; a null stratum is a stratum of its own;
 a document labelled more than once counts as good if any label says so; null
@@ -23,16 +28,17 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, stored
+from .common import WORD_SPACE, meet, stored
 
 RULES = ("symbols", "bangs", "dup_lines", "repeats")
 GRID = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0, 1.5, 2.0)
 WINDOW = 8
 #: Terms of the binomial tail that are summed one by one; a geometric bound, never too small, stands for the rest.
 TERMS = 4000
+#: Strata whose cutoffs are broadcast at most; more meet their documents by ``meet``.
 BROADCAST_ROWS = 20_000
-#: The share of good documents that a rule may reject, and the chance that some cutoff rejects more.
-ALPHA, DELTA = 0.005, 0.05
+#: The share of a stratum's good documents that the rules may reject together, and the chance that they reject more in some stratum.
+ALPHA, DELTA = 0.02, 0.05
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
@@ -106,25 +112,23 @@ def _ratios() -> dict[str, Column]:
 
 
 def cutoffs(held: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """From labelled rows (stratum, good boolean, the counts of ``features``): a row per stratum with one cutoff per rule, null for none.
+    """From labelled rows (stratum, good boolean, the counts of ``features``): (stratum, cutoff) for each stratum that has a safe one.
 
     Of the safe cutoffs, the one with most rejected bad documents less ten times
-    the rejected good ones; of equal ones the largest.
+    the rejected good ones, if that is more than nothing; of equal ones the largest.
     """
     grid = F.array(*map(F.lit, GRID))
-    value = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), v.alias("v")) for r, v in _ratios().items()])).alias("x")
-    at = held.select("stratum", "good", value).select("stratum", "good", "x.rule", F.size(F.filter(grid, lambda c: c <= F.col("x.v"))).alias("g"))
-    counts = at.groupBy("stratum", "rule", "g").agg(F.count_if("good").alias("fp"), F.count_if(~F.col("good")).alias("tp"))
-    by_rule = counts.groupBy("stratum", "rule").agg(F.collect_list(F.struct("g", "fp", "tp")).alias("c"), F.sum("fp").alias("n"))
+    top = F.greatest(*_ratios().values())
+    counts = held.select("stratum", "good", F.size(F.filter(grid, lambda c: c <= top)).alias("g")).groupBy("stratum", "g").agg(F.count_if("good").alias("fp"), F.count_if(~F.col("good")).alias("tp"))
+    by_stratum = counts.groupBy("stratum").agg(F.collect_list(F.struct("g", "fp", "tp")).alias("c"), F.sum("fp").alias("n"))
     reached = lambda k: F.aggregate(F.filter("c", lambda x: x["g"] >= F.col("j")), F.lit(0).cast("long"), lambda a, x: a + x[k])
-    tests = by_rule.select("stratum", "rule", "n", F.explode(F.sequence(F.lit(1), F.lit(len(GRID)))).alias("j"), "c").select(
-        "stratum", "rule", "n", F.get(grid, F.col("j") - 1).alias("cutoff"),
-        *[reached(k).alias(k) for k in ("fp", "tp")],
-    )
-    strata = held.select("stratum").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("n_strata"))
-    level = F.log(F.lit(delta) / (F.col("n_strata") * len(RULES) * len(GRID)))
-    safe = tests.crossJoin(F.broadcast(strata)).filter(binomial_tail(F.col("fp"), F.col("n"), alpha) <= level).filter(F.col("tp") > 10 * F.col("fp"))
-    return safe.groupBy("stratum").agg(*[F.max_by(F.when(F.col("rule") == r, F.col("cutoff")), F.when(F.col("rule") == r, F.struct(F.col("tp") - 10 * F.col("fp"), F.col("cutoff")))).alias(f"cut_{r}") for r in RULES])
+    tests = by_stratum.select("stratum", "n", F.explode(F.sequence(F.lit(1), F.lit(len(GRID)))).alias("j"), "c").select("stratum", "n", F.get(grid, F.col("j") - 1).alias("cutoff"), *[reached(k).alias(k) for k in ("fp", "tp")])
+    strata = by_stratum.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_strata"))
+    falls = binomial_tail(F.col("fp"), F.col("n"), alpha) <= F.log(F.lit(delta) / F.col("n_strata"))
+    gain = F.col("tp") - 10 * F.col("fp")
+    tested = tests.crossJoin(F.broadcast(strata)).groupBy("stratum").agg(F.max(F.when(~falls, F.col("cutoff"))).alias("stands"), F.collect_list(F.struct(gain.alias("gain"), F.col("cutoff"))).alias("t"))
+    safe = F.filter("t", lambda x: (x["gain"] > 0) & (x["cutoff"] > F.coalesce(F.col("stands"), F.lit(0.0))))
+    return tested.select("stratum", F.array_max(safe)["cutoff"].alias("cutoff")).filter("cutoff is not null")
 
 
 _JUDGED = "_row"
@@ -136,10 +140,10 @@ def _judged(rows: DataFrame, labels: DataFrame, alpha: float, delta: float) -> D
     good = labels.select(F.col("doc_id").alias("_id"), F.col("quality")).filter("quality is not null").groupBy("_id").agg((F.max("quality") >= 1).alias("good"))
     held = counted.withColumn("_id", F.col("_row.doc_id")).drop(_JUDGED).join(good, "_id")
     cuts = stored(cutoffs(held, alpha, delta))
-    joined = counted.join(F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts, "stratum", "left")
-    failed = F.array_compact(F.array(*[F.when(v >= F.col(f"cut_{r}"), F.lit(r)) for r, v in _ratios().items()]))
+    joined = counted.join(F.broadcast(cuts), "stratum", "left") if cuts.count() <= BROADCAST_ROWS else meet(counted, cuts, "stratum", "left")
+    failed = F.array_compact(F.array(*[F.when(v >= F.col("cutoff"), F.lit(r)) for r, v in _ratios().items()]))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return joined.withColumns({"base_failed": base, "failed_rules": failed}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop(*[f"cut_{r}" for r in RULES])
+    return joined.withColumns({"base_failed": base, "failed_rules": failed}).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("cutoff")
 
 
 def _stratum(of: str) -> Column:
@@ -165,7 +169,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-
 _ratio_sql = {"symbols": "n_symbols / greatest(n_words, 1)", "bangs": "n_bangs / greatest(n_words, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)"}
 #: The query, with the binomial tail summed term by term.
 SQL = f"""
@@ -185,21 +188,23 @@ WITH w AS (
     length(text) - length(replace(text, '!', '')) AS n_bangs, len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN covered USING (doc_id)
 ), ratio AS (
-  {" UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {v} AS v FROM c" for r, v in _ratio_sql.items())}
+  SELECT doc_id, stratum, greatest({", ".join(_ratio_sql.values())}) AS v FROM c
 ), labelled AS (
   SELECT doc_id, max(quality) >= 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
 ), held AS (
   SELECT * FROM ratio JOIN labelled USING (doc_id)
 ), tests AS (
-  SELECT stratum, rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND v >= cutoff) AS fp, count(*) FILTER (WHERE NOT good AND v >= cutoff) AS tp
+  SELECT stratum, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND v >= cutoff) AS fp, count(*) FILTER (WHERE NOT good AND v >= cutoff) AS tp
   FROM held, (SELECT unnest({list(GRID)}::DOUBLE[]) AS cutoff) GROUP BY ALL
+), tested AS (
+  SELECT *, fp < n * {ALPHA} AND list_sum(list_transform(range(0, fp + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))))
+    <= {DELTA} / (SELECT count(DISTINCT stratum) FROM held) AS falls FROM tests
 ), safe AS (
-  SELECT * FROM tests WHERE tp > 10 * fp AND fp < n * {ALPHA} AND list_sum(list_transform(range(0, fp + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))))
-    <= {DELTA} / ((SELECT count(DISTINCT stratum) FROM held) * {len(RULES) * len(GRID)})
+  SELECT * FROM (SELECT *, bool_and(falls) OVER (PARTITION BY stratum ORDER BY cutoff DESC) AS reached FROM tested) WHERE reached AND tp > 10 * fp
 ), best AS (
-  SELECT * FROM safe QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY tp - 10 * fp DESC, cutoff DESC) = 1
+  SELECT * FROM safe QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY tp - 10 * fp DESC, cutoff DESC) = 1
 ), failed AS (
-  SELECT DISTINCT doc_id FROM ratio JOIN best USING (stratum, rule) WHERE v >= cutoff
+  SELECT DISTINCT doc_id FROM ratio JOIN best USING (stratum) WHERE v >= cutoff
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND doc_id NOT IN (FROM failed) AS kept
