@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from veilscan.llm import substring_dedup as S
 
@@ -79,3 +80,21 @@ def test_whole_table_matches_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.query(spark, d).collect()}
     assert got == brute(rows)
+
+
+def adversarial(rng):
+    """One gram with many surroundings, and one string of 66 bytes that goes on in many ways."""
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    gram, long = text(40), text(90)
+    rows = [(i, text(rng.randint(0, 90)) + gram + text(rng.randint(0, 90))) for i in range(60)]
+    ways = [text(30) for _ in range(5)]
+    rows += [(100 + i, text(60) + long + rng.choice(ways) + text(rng.randint(0, 60))) for i in range(80)]
+    return rows + [(300 + i, text(20) + rows[rng.randrange(len(rows))][1] + text(20)) for i in range(40)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"SPREAD": 1}, {"SPREAD": 2, "GROUP": 1}, {"SETTLED": 2000, "SPREAD": 3, "GROUP": 4000}])
+def test_frequent_grams_and_large_groups(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(S, name, value)
+    want = check(spark, adversarial(random.Random(5)))
+    assert sum(v[1] for v in want.values()) > 5000

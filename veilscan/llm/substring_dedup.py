@@ -1,4 +1,4 @@
-"""Exact removal of repeated 100-byte strings by radix refinement on fixed fingerprints.
+"""Exact removal of repeated 100-byte strings by bucket-pointer refinement.
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts earlier (in a
 document of a smaller id, or further up in the same document).
@@ -17,15 +17,19 @@ places, and each string belongs to one anchor. Then buckets are refined:
    bytes next to them: 34 to the left for the strings that reach so far,
    or to the right for the others. What shares a bucket comes together with its
    bytes, once.
-3. There the strings are refined to their full length, most significant part
-   first: buckets of the first 32 bytes are parted by the fixed fingerprints of
-   the 32 bytes at offset 32, then at 64, then at 68. This is a radix refinement:
-   a refined bucket is parted further but is never itself the key of another
-   offset, as it would be in bucket-pointer refinement. Buckets of one string are
-   left alone.
+3. There the strings are refined to their full length by bucket pointers: places
+   start in buckets of 25 bytes, which are sorted on the buckets that places 25
+   further on point to, and these again on themselves 50 further on. Buckets of
+   one place are left alone.
 
-Buckets of up to 32 bytes are 64-bit fingerprints and wider ones numbers of
-tuples of these.
+No task holds more than its share: buckets of step 1 get ``SETTLED`` bytes of
+text each, however many that makes; anchors of a gram that is frequent with
+different surroundings are spread over all of them and stay open; and groups of
+step 3 of more than ``GROUP`` bytes are not gathered, but their strings are
+counted by 128-bit fingerprints, of which all but the first place go.
+
+Buckets are known by 64-bit fingerprints of 25 bytes, four for a string, and by
+48 bits each of a gram and its surroundings.
 
 Defined cases: a null text is empty; a null id is the smallest; rows that repeat
 id and text are one document, whose result each of them gets; rows that repeat
@@ -46,9 +50,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, stored, tidy
+from .common import HOT_KEYS, meet, mixed, pieces, stored, tidy
 
-LENGTH, GRAM, SIDE = 100, 32, 34
+LENGTH, GRAM, SIDE, QGRAM = 100, 32, 34, 25
+#: Bytes of text whose anchors one task settles, different surroundings of a gram in a piece from which they are dealt over all tasks, and bytes of a group that one task refines.
+SETTLED, SPREAD, GROUP = 1 << 25, 8, 1 << 23
 #: Bytes of text that are worked on at once.
 PIECE = 1 << 19
 _place = 24  # bits of a place in a piece
@@ -57,13 +63,15 @@ _doc = np.dtype([("id", "<i8"), ("h", "<i8")])
 _bytes = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def grams(buf: np.ndarray) -> np.ndarray:
-    """Fingerprints of the 32 bytes from every place on."""
-    out = _bytes[buf]
-    for i in range(5):
-        step = 1 << i
-        out = out[:-step] * np.uint64(0xD6E8FEB86659FD93 + 2 * i) + out[step:]
+def grams(buf: np.ndarray, of: int = GRAM) -> np.ndarray:
+    """Fingerprints of the ``of`` bytes from every place on: of 1, 2, 4 and so on, and at last of two runs that may overlap."""
+    out, width = _bytes[buf], 1
+    while width < of:
+        step = min(width, of - width)
+        i = width.bit_length() - 1
+        out = out[: len(out) - step] * np.uint64(0xD6E8FEB86659FD93 + 2 * i) + out[step:]
         out = out ^ (out >> np.uint64(29 + i))
+        width += step
     return mixed(out)
 
 
@@ -112,8 +120,19 @@ def anchors(buf: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     return g[at], around, np.searchsorted(ends, at, side="right"), at, first, last
 
 
+#: Kinds of anchors: met by gram, met by gram and surroundings, and settled within their piece.
+ANCHOR, OFTEN, AGAIN = range(3)
+
+
 @tidy
-def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], buckets: int, spread: int) -> Iterator[pa.RecordBatch]:
+    """Anchors of each piece by bucket.
+
+    A gram with ``spread`` different surroundings or more in a piece may be one
+    that no task can hold, so its anchors are dealt out by gram and surroundings,
+    and a witness, which has no strings (lo > hi), goes where those of other
+    pieces meet, so that these stay open too.
+    """
     for buf, segments in _parts(batches):
         lengths = np.array([s[3] for s in segments])
         gram, around, seg, at, first, last = anchors(buf, lengths)
@@ -128,17 +147,26 @@ def _deal(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         records["g"], records["g2"] = gram & np.uint64(0xFFFFFFFF), gram >> np.uint64(32)
         records["c"], records["c2"] = around & np.uint64(0xFFFFFFFF), around >> np.uint64(32)
         records["pos"], records["lo"], records["hi"] = at + base[seg], at - last, at - first
+        new = np.append(True, gram[1:] != gram[:-1])[: len(gram)]
+        of = np.cumsum(new) - 1
+        often = (np.bincount(of, ~again) >= spread)[of] & ~again if len(gram) else again
         # what is settled here already needs no other place than its document's
-        bucket = np.where(again, mixed(docs["h"][seg].astype(np.uint64)) % np.uint64(buckets), mixed(gram) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((seg, again, bucket))
-        cuts = np.flatnonzero(np.diff(bucket[order] * 2 + again[order], prepend=-1))
+        kind = np.where(again, AGAIN, np.where(often, OFTEN, ANCHOR))
+        key = np.where(again, docs["h"][seg].astype(np.uint64), np.where(often, gram ^ (around << np.uint64(16)), gram))
+        witness = np.flatnonzero(often & np.append(True, ~often[:-1] | new[1:])[: len(often)])
+        told = records[witness]
+        told["lo"], told["hi"] = 1, 0
+        records, kind, key, seg = np.concatenate([records, told]), np.append(kind, np.full(len(told), ANCHOR)), np.append(key, gram[witness]), np.append(seg, seg[witness])
+        bucket = (mixed(key) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((seg, kind, bucket))
+        cuts = np.flatnonzero(np.diff(bucket[order] * 3 + kind[order], prepend=-1))
         rows = []
         for some in np.split(order, cuts[1:]):
             used, local = np.unique(seg[some], return_inverse=True)
             part = records[some]
             part["doc"] = local
-            rows.append({"bucket": int(bucket[some[0]]), "again": bool(again[some[0]]), "docs": docs[used].tobytes(), "anchors": part.tobytes()})
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("again", pa.bool_()), ("docs", pa.binary()), ("anchors", pa.binary())]))
+            rows.append({"bucket": int(bucket[some[0]]), "kind": int(kind[some[0]]), "docs": docs[used].tobytes(), "anchors": part.tobytes()})
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("docs", pa.binary()), ("anchors", pa.binary())]))
 
 
 FOUND = "doc_id long, h long, settled boolean, key long, pos long, lo int, hi int"
@@ -154,31 +182,32 @@ def _found_rows(docs: np.ndarray, a: np.ndarray, settled: bool, key: np.ndarray
 
 @tidy
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All anchors of some buckets: removes those with the surroundings of an earlier one, and reports those that stay open."""
-    held_docs, held = [], []
+    """All anchors of some buckets: removes those with the surroundings of an earlier one, and reports those that stay open, as those of frequent grams all do."""
+    held: dict[int, list] = {ANCHOR: [], OFTEN: []}
     for batch in batches:
-        for again, docs, raw in zip(*(batch.column(c).to_pylist() for c in ("again", "docs", "anchors")), strict=True):
+        for kind, docs, raw in zip(*(batch.column(c).to_pylist() for c in ("kind", "docs", "anchors")), strict=True):
             a = np.frombuffer(raw, _anchor)
             d = np.frombuffer(docs, _doc)[a["doc"]]
-            if again:
+            if kind == AGAIN:
                 yield from _found_rows(d, a, True)
             else:
-                held.append(a)
-                held_docs.append(d)
-    if not held:
-        return
-    a, d = np.concatenate(held), np.concatenate(held_docs)
-    gram = a["g"].astype(np.uint64) | a["g2"].astype(np.uint64) << np.uint64(32)
-    around = a["c"].astype(np.uint64) | a["c2"].astype(np.uint64) << np.uint64(32)
-    order = np.lexsort((a["pos"], d["h"], d["id"], around, a["hi"], a["lo"], gram))
-    a, d, gram, around = a[order], d[order], gram[order], around[order]
-    same_gram = gram[1:] == gram[:-1]
-    again = np.append(False, same_gram & (around[1:] == around[:-1]) & (a["lo"][1:] == a["lo"][:-1]) & (a["hi"][1:] == a["hi"][:-1]))
-    yield from _found_rows(d[again], a[again], True)
-    a, d, gram = a[~again], d[~again], gram[~again]
-    same = gram[1:] == gram[:-1]
-    open_ = np.append(same, False) | np.append(False, same)
-    yield from _found_rows(d[open_], a[open_], False, gram[open_])
+                held[kind].append((a, d))
+    for kind, parts in held.items():
+        if not parts:
+            continue
+        a, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        gram = a["g"].astype(np.uint64) | a["g2"].astype(np.uint64) << np.uint64(32)
+        around = a["c"].astype(np.uint64) | a["c2"].astype(np.uint64) << np.uint64(32)
+        order = np.lexsort((a["pos"], d["h"], d["id"], around, a["hi"], a["lo"], gram))
+        a, d, gram, around = a[order], d[order], gram[order], around[order]
+        again = np.append(False, (gram[1:] == gram[:-1]) & (around[1:] == around[:-1]) & (a["lo"][1:] == a["lo"][:-1]) & (a["hi"][1:] == a["hi"][:-1]))
+        real = a["lo"] <= a["hi"]
+        yield from _found_rows(d[again & real], a[again & real], True)
+        a, d, gram, real = a[~again], d[~again], gram[~again], real[~again]
+        same = gram[1:] == gram[:-1]
+        open_ = real & ((kind == OFTEN) | np.append(same, False) | np.append(False, same))
+        yield from _found_rows(d[open_], a[open_], False, gram[open_])
 
 
 @tidy
@@ -214,29 +243,41 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def string_buckets(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Bucket numbers of the 100-byte strings at ``starts``: equal for equal strings, -1 for those that are alone."""
-    b32 = grams(buf)
-    out = np.full(len(starts), -1, np.int64)
-    live = np.arange(len(starts))
-
-    def refined(now: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sort by (bucket, bucket at a later offset): new bucket numbers, and which are shared."""
-        order = np.lexsort((later, now))
-        a, b = now[order], later[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(new) - 1
-        return number, np.bincount(number)[number] > 1
-
-    # 100 = 32 + 32 + 32 + 4: the last bucket overlaps the one before
-    number = b32[starts].astype(np.int64)
-    for offset in (32, 64, LENGTH - GRAM):
-        number, shared = refined(number, b32[starts[live] + offset].astype(np.int64))
-        live, number = live[shared], number[shared]
-        if not len(live):
-            return out
-    out[live] = number
-    return out
+    """Bucket numbers of the 100-byte strings at ``starts``: equal for equal strings, -1 for those that are alone.
+
+    Bucket-pointer refinement: every place of ``buf`` points to its bucket, first
+    that of its ``QGRAM`` bytes. A bucket of several places is refined by sorting
+    them on the bucket that the place one bucket width further on points to, and
+    places point to the refined buckets from then on, so each step sorts on what
+    the step before it has refined and buckets grow from 25 bytes to 50 and 100.
+    Buckets of one place are left alone.
+    """
+    pointer = np.unique(grams(buf, QGRAM), return_inverse=True)[1].astype(np.int64)
+    width = QGRAM
+    while width < LENGTH:
+        reach, above = len(pointer) - width, int(pointer.max(initial=0)) + 1
+        shared = np.flatnonzero(np.bincount(pointer)[pointer[:reach]] > 1)
+        refined = np.unique(pointer[shared] * above + pointer[shared + width], return_inverse=True)[1]
+        pointer = pointer[:reach].copy()
+        pointer[shared] = above + refined
+        width *= 2
+    number = np.unique(pointer[starts], return_inverse=True)[1]
+    return np.where(np.bincount(number)[number] > 1, number, -1)
+
+
+STRINGS = "string binary, doc_id long, h long, start long"
+
+
+@tidy
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each string of groups that are too large for one task, by a 128-bit fingerprint."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            out = []
+            for row in batch.slice(at, 2000).to_pylist():
+                out += [(hashlib.blake2b(row["bytes"][i : i + LENGTH], digest_size=16).digest(), row["doc_id"], row["h"], row["start"] + i) for i in range(row["n"])]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["string", "doc_id", "h", "start"])
 
 
 SPANS = "doc_id long, h long, start long, stop long"
@@ -311,16 +352,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of bytes."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4, parts // 2)
     smallest = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), smallest).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("text"))
-    dealt = rows.mapInArrow(partial(_deal, buckets=buckets), "bucket int, again boolean, docs binary, anchors binary")
-    found = stored(dealt.repartition(buckets, "bucket").mapInArrow(_settle, FOUND))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(4, parts // 2, -(-size // SETTLED))
+    dealt = rows.mapInArrow(partial(_deal, buckets=buckets, spread=SPREAD), "bucket int, kind int, docs binary, anchors binary")
+    found = stored(dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_settle, FOUND))
     packed = rows.mapInArrow(_zip, "doc_id long, h long, z binary")
     open_ = found.filter("not settled").groupBy("doc_id", "h").agg(F.collect_set(F.struct("key", "pos", "lo", "hi")).alias("open"))
     once = packed.dropDuplicates(["doc_id", "h"])
-    sides = once.join(open_, ["doc_id", "h"]).mapInArrow(_sides, SIDES)
-    refined = sides.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_refine, SPANS)
+    sides = stored(once.join(open_, ["doc_id", "h"]).mapInArrow(_sides, SIDES))
+    large = sides.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size")).filter(F.col("size") > GROUP).orderBy(F.desc("size")).limit(HOT_KEYS).select("key")
+    few = sides.join(F.broadcast(large), "key", "left_anti")
+    refined = few.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_refine, SPANS)
+    if not large.isEmpty():
+        many = stored(sides.join(F.broadcast(large), "key").select(*sides.columns).mapInArrow(_strings, STRINGS))
+        first = many.groupBy("string").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"))
+        later = meet(many, first, "string").filter(F.struct("doc_id", "h", "start") != F.col("first"))
+        refined = refined.unionByName(later.select("doc_id", "h", "start", (F.col("start") + LENGTH).alias("stop")))
     settled = found.filter("settled").select("doc_id", "h", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + LENGTH).alias("stop"))
     spans = settled.unionByName(refined).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     out = packed.join(spans, ["doc_id", "h"], "left").mapInArrow(_cut, RESULT)
