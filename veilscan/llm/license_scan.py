@@ -36,24 +36,81 @@ BASE = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-#: Further notices, labels, and how sure each is.
+#: Names and sentences of further licenses and notices, their labels, and how sure each is.
 NOTICES = (
     ("gnu lesser general public license", "lgpl", 0.8),
+    ("gnu library general public license", "lgpl", 0.8),
     ("gnu affero general public license", "agpl", 0.8),
+    ("gnu free documentation license", "gfdl", 0.8),
+    ("this program is free software you can redistribute it and or modify", "gpl", 0.7),
+    ("this library is free software you can redistribute it and or modify", "lgpl", 0.7),
     ("mozilla public license", "mpl", 0.8),
+    ("subject to the terms of the mozilla public license", "mpl", 0.9),
     ("eclipse public license", "epl", 0.8),
+    ("eclipse distribution license", "bsd", 0.7),
+    ("common development and distribution license", "cddl", 0.8),
+    ("common public license", "cpl", 0.7),
+    ("european union public licence", "eupl", 0.8),
+    ("academic free license", "afl", 0.7),
+    ("open software license", "osl", 0.6),
+    ("artistic license", "artistic", 0.7),
+    ("boost software license", "bsl", 0.8),
+    ("python software foundation license", "python", 0.8),
+    ("php license", "php", 0.5),
+    ("ruby license", "ruby", 0.5),
+    ("zlib license", "zlib", 0.6),
     ("isc license", "isc", 0.6),
     ("bsd license", "bsd", 0.6),
-    ("permission is hereby granted free of charge", "mit", 0.7),
-    ("redistribution and use in source and binary forms", "bsd", 0.7),
+    ("2 clause bsd", "bsd", 0.7),
+    ("3 clause bsd", "bsd", 0.7),
+    ("the unlicense", "unlicense", 0.6),
+    ("do what the fuck you want to public license", "wtfpl", 0.9),
+    ("microsoft public license", "ms-pl", 0.8),
+    ("microsoft reciprocal license", "ms-rl", 0.8),
+    ("sil open font license", "ofl", 0.8),
+    ("open data commons open database license", "odbl", 0.8),
+    ("open database license", "odbl", 0.7),
     ("creative commons attribution", "cc-by", 0.6),
+    ("creative commons attribution sharealike", "cc-by-sa", 0.8),
+    ("creative commons attribution share alike", "cc-by-sa", 0.8),
+    ("creative commons attribution noncommercial", "cc-by-nc", 0.8),
+    ("creative commons attribution noderivatives", "cc-by-nd", 0.8),
+    ("creative commons zero", "cc0", 0.7),
+    ("cc0 1 0 universal", "cc0", 0.9),
+    ("cc by sa", "cc-by-sa", 0.7),
+    ("cc by nc", "cc-by-nc", 0.7),
+    ("cc by nd", "cc-by-nd", 0.7),
+    ("dedicated to the public domain", "public-domain", 0.6),
     ("released into the public domain", "public-domain", 0.6),
+    ("free and unencumbered software released into the public domain", "unlicense", 0.9),
+    ("server side public license", "sspl", 0.8),
+    ("business source license", "busl", 0.8),
+    ("elastic license", "elastic", 0.6),
+    ("commons clause", "commons-clause", 0.6),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 0.8),
+    ("permission is hereby granted free of charge", "mit", 0.7),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", 0.8),
+    ("redistribution and use in source and binary forms", "bsd", 0.7),
+    ("licensed under the apache license version 2 0", "apache", 0.9),
+    ("you may not use this file except in compliance with the license", "apache", 0.5),
+    ("this software is provided as is without any express or implied warranty", "zlib", 0.5),
+    ("proprietary and confidential", "proprietary", 0.6),
+    ("unauthorized copying of this file", "proprietary", 0.6),
 )
 TAG = "spdx license identifier"
 SURE_BASE, SURE_TAG, SURE_BROKEN = 0.6, 0.9, 0.3
-#: Families of license identifiers, by how they begin, and those that are permissive.
-FAMILIES = ("agpl", "lgpl", "gpl", "apache", "mit", "bsd", "cc-by", "cc0", "mpl", "epl", "isc", "unlicense")
-PERMISSIVE = {"apache", "mit", "bsd", "cc-by", "cc0", "isc", "unlicense", "public-domain"}
+#: Families of license identifiers of the public list, by how they begin; the longest that fits is an identifier's family.
+FAMILIES = (
+    "0bsd", "aal", "afl", "agpl", "apache", "apl", "apsl", "artistic", "beerware", "blueoak", "bsd", "bsl", "busl", "bzip2", "catosl", "cc-by", "cc-by-nc", "cc-by-nc-nd", "cc-by-nc-sa", "cc-by-nd", "cc-by-sa", "cc0", "cddl", "cecill", "clartistic",
+    "cpal", "cpl", "curl", "ecl", "efl", "elastic", "epl", "eudatagrid", "eupl", "fair", "frameworx", "fsfap", "ftl", "gfdl", "gpl", "hpnd", "icu", "ijg", "imagemagick", "intel", "ipa", "ipl", "isc", "json", "lgpl", "libpng", "liliq", "lpl", "lppl", "miros",
+    "mit", "motosoto", "mpl", "ms-pl", "ms-rl", "mulanpsl", "multics", "nasa", "naumen", "ncsa", "ngpl", "nokia", "npl", "ntp", "oclc", "odbl", "odc-by", "ofl", "ogtsl", "oldap", "openssl", "oset-pl", "osl", "php", "postgresql", "psf", "python", "qpl", "rpl",
+    "rpsl", "rscpl", "ruby", "simpl", "sissl", "sleepycat", "spl", "sspl", "ucl", "unicode", "unlicense", "upl", "vim", "vsl", "w3c", "watcom", "wtfpl", "x11", "xnet", "zlib", "zpl",
+)
+#: Families under which any use is allowed that keeps the notice.
+PERMISSIVE = frozenset((
+    "0bsd", "aal", "afl", "apache", "artistic", "beerware", "blueoak", "bsd", "bsl", "bzip2", "cc-by", "cc0", "curl", "ecl", "efl", "fair", "fsfap", "ftl", "hpnd", "icu", "ijg", "imagemagick", "intel", "isc", "json", "libpng", "miros", "mit", "ms-pl", "mulanpsl", "multics",
+    "naumen", "ncsa", "ntp", "odc-by", "ofl", "oldap", "openssl", "php", "postgresql", "psf", "public-domain", "python", "ruby", "ucl", "unicode", "unlicense", "upl", "vim", "w3c", "wtfpl", "x11", "xnet", "zlib", "zpl",
+))
 BINDS = {"or": 1, "and": 2, "with": 3}
 
 _words = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -132,9 +189,14 @@ def leading(line: str) -> str:
     return line[:end].strip()
 
 
+_by_length = sorted(FAMILIES, key=len, reverse=True)
+
+
+@functools.lru_cache(4096)
 def family(identifier: str) -> str:
+    """The family of an identifier like GPL-2.0-or-later, itself in lower case if it is of none."""
     low = identifier.lower()
-    return next((f for f in FAMILIES if low == f or low.startswith(f + "-")), low)
+    return next((f for f in _by_length if low == f or low.startswith(f + "-")), low)
 
 
 def evaluate(expression: str) -> tuple[set[str], bool]:
@@ -178,7 +240,7 @@ def scan_text(text: str | None) -> dict:
         spans.append({"word": counted, "label": label, "kind": kind})
         if kind == "base":
             places.append((counted, label))
-        sure[label, kind] = weight
+        sure[label, kind] = max(weight, sure.get((label, kind), 0))
     expressions, permissive = [], None
     for m in _tag.finditer(text) if tagged else ():
         written = _ends.split(m[1])[0].strip()
