@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dims import BIDI, CONFUSABLES, HIDDEN_KINDS, INTENTS, LINEBREAK, SAME_SEVERITY_LABELS, SPACE, STRIPPABLE_KINDS, class_of, intent_pattern, spans_by_kind
-from .markup import SAME_OWNER, SHARED_SUFFIXES
+from .urls import SAME_OWNER, SHARED_SUFFIXES
 
 #: Texts that match none of this cannot hold a finding: they are ASCII and precomposed Latin letters, which have no twin and are stable in all normal forms, and no markup.
 SUSPECT = r"[^\t\n\x20-\x7e\x{C0}-\x{FF}\x{152}\x{153}]|<[a-zA-Z]|<!--|\]\(|\]:|(?i:(?:href|src|action)\s*=)|[A-Za-z0-9+/]{40}"

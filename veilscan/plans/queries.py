@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 from ..functions.dims import BIDI, CONFUSABLES, HIDDEN_KINDS, HOMOGLYPH_SCRIPTS, INTENTS, LINEBREAK, SPACE, STRIPPABLE_KINDS, ZERO_WIDTH, class_of, intent_pattern, spans_by_kind
-from ..functions.markup import CARRIERS, SAME_OWNER, SHARED_SUFFIXES
+from ..functions.markup import CARRIERS
+from ..functions.urls import SAME_OWNER, SHARED_SUFFIXES
 from ..operators import scan as ops
 from ..sources import files, sinks
 from . import injection
