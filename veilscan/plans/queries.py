@@ -10,7 +10,7 @@ from ..functions.markup import CARRIERS
 from ..functions.urls import SAME_OWNER, SHARED_SUFFIXES
 from ..operators import scan as ops
 from ..sources import files, sinks
-from . import injection
+from . import expected, injection
 from .injection import injected
 
 QUERIES: dict = {}
@@ -21,7 +21,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql if sql.lstrip().startswith("WITH") else f"{injection.SQL} {sql}"
+            ORACLES[f.__name__] = sql if sql.lstrip().startswith(("WITH", "SELECT page_id, -1", "SELECT conv_id")) else f"{injection.SQL} {sql}"
         return f
 
     return add
@@ -304,82 +304,91 @@ def file_type_predicate(spark, sf_dir):
     return d.select("doc_id", "path", files.readable(F.col("path")).alias("readable"))
 
 
-# Without SQL: the whole reading, tested against goldens and the row-by-row engine.
+# The whole reading, against what is expected of each class of payloads.
 
 
-@query()
+def _joined(column: str, by: str):
+    return F.array_join(F.col(column).cast("array<string>"), by).alias(column)
+
+
+def _with_path(rows):
+    return rows.withColumn("path", F.concat(F.lit("docs/"), F.col("doc_id")))
+
+
+@query(expected.FINDINGS_SQL)
 def scan_findings(spark, sf_dir):
-    return ops.findings(injected(spark, sf_dir)).select("doc_id", "rank", "id", "severity", "count", "positions", "decoded", "scheme", "samples")
+    labels = F.array_join(F.transform("intents", lambda x: x["label"]), "|").alias("intents")
+    return ops.findings(injected(spark, sf_dir)).select("doc_id", "rank", "id", "severity", "count", _joined("positions", ","), "decoded", "scheme", _joined("samples", "|"), labels)
 
 
-@query()
+@query(expected.VERDICTS_SQL)
 def scan_verdicts(spark, sf_dir):
     return ops.verdicts(injected(spark, sf_dir))
 
 
-@query()
+@query(expected.PAGES_SQL)
 def page_verdicts(spark, sf_dir):
     return ops.verdicts(injection.table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query()
+@query(expected.TURNS_SQL)
 def conversation_verdicts(spark, sf_dir):
     return ops.scan_keys(injection.table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "severity", "label", "hidden")
 
 
-@query()
+@query(expected.ROLLUP_SQL)
 def verdict_rollup(spark, sf_dir):
     return ops.rollup(injected(spark, sf_dir), "lang", "source")
 
 
-@query()
+@query(expected.CLEANED_SQL)
 def sanitized_texts(spark, sf_dir):
-    return ops.sanitized(injected(spark, sf_dir))
+    changes = F.array_join(F.transform("changes", lambda x: F.concat(x["label"], F.lit("="), x["count"])), "|").alias("changes")
+    return ops.sanitized(injected(spark, sf_dir)).select("doc_id", "sanitized", changes, "removed", "clean")
 
 
-@query()
+@query(expected.VIEWS_SQL)
 def text_views(spark, sf_dir):
     return ops.views(injected(spark, sf_dir))
 
 
-@query()
+@query(expected.CELLS_SQL)
 def noted_cells(spark, sf_dir):
     return ops.cells(injected(spark, sf_dir))
 
 
-@query()
+@query(expected.MARKS_SQL)
 def hidden_marks(spark, sf_dir):
-    return ops.marks(injected(spark, sf_dir))
+    return ops.marks(injected(spark, sf_dir)).select("doc_id", "at", "context", _joined("cps", ","), _joined("abbrs", "|"))
 
 
-@query()
+@query(expected.ALIGNMENT_SQL)
 def mark_alignment(spark, sf_dir):
-    """Full outer join of the marks of each text and of the text twenty further on, where they differ."""
-    rows = injected(spark, sf_dir)
-    m = ops.marks(rows)
+    """Full outer join of the marks of each text and of the next one of its class, where they differ."""
+    m = ops.marks(injected(spark, sf_dir)).select("doc_id", "at", _joined("cps", ","))
     a = m.select(F.col("doc_id").alias("pair"), "at", F.col("cps").alias("a"))
     b = m.select((F.col("doc_id") - injection.CLASSES).alias("pair"), "at", F.col("cps").alias("b"))
     return a.join(b, ["pair", "at"], "full_outer").filter("not (a <=> b)")
 
 
-@query()
+@query(expected.COPIES_SQL)
 def compared_copies(spark, sf_dir):
     d = injection.table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("text_a"))
-    return ops.compare(injection.inject(d).withColumnRenamed("text", "text_b")).drop("text_a", "text_b")
+    found = ops.compare(injection.inject(d).withColumnRenamed("text", "text_b"))
+    payloads = F.array_join(F.transform("copy_b.payloads", lambda x: F.concat(x["id"], F.lit("="), x["decoded"])), "|").alias("payloads_b")
+    return found.select("doc_id", "relation", "same_bytes", "same_visible", F.size("differences").cast("long").alias("n_differences"), "differing_codepoints", F.col("copy_b.hidden").alias("hidden_b"), F.col("copy_b.signature").alias("signature_b"), payloads)
 
 
-@query()
+@query(expected.JSON_SQL)
 def json_report_rows(spark, sf_dir):
-    return sinks.json_rows(injected(spark, sf_dir).withColumn("path", F.concat(F.lit("docs/"), F.col("doc_id"))))
+    return sinks.json_rows(_with_path(injected(spark, sf_dir)))
 
 
-@query()
+@query(expected.SARIF_SQL)
 def sarif_results(spark, sf_dir):
-    return sinks.located(injected(spark, sf_dir).withColumn("path", F.concat(F.lit("docs/"), F.col("doc_id")))).select("path", "rank", "id", "level", "line", "column", "message")
+    return sinks.located(_with_path(injected(spark, sf_dir))).select("path", "rank", "id", "level", "line", "column", "message")
 
 
-@query()
+@query(expected.COMMANDS_SQL)
 def annotation_commands(spark, sf_dir):
-    return sinks.annotations(injected(spark, sf_dir).withColumn("path", F.concat(F.lit("docs/"), F.col("doc_id"))))
-
-
+    return sinks.annotations(_with_path(injected(spark, sf_dir)))
