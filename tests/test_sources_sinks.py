@@ -174,6 +174,11 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert main([root, "--sarif", str(tmp_path / "x.sarif")], spark) == 0 and main([root, "--sarif", str(tmp_path / "x.sarif"), "--fail-on", "critical"], spark) == 1
     assert json.loads((tmp_path / "x.sarif").read_text())["version"] == "2.1.0"
     capsys.readouterr()
+    # an existing file that is no log is scanned, and the log goes to the output
+    before = open(f"{root}/a.md", "rb").read()
+    capsys.readouterr()
+    assert main(["--sarif", f"{root}/a.md"], spark) == 0 and open(f"{root}/a.md", "rb").read() == before
+    assert json.loads(capsys.readouterr().out)["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"].endswith("a.md")
     assert main([root, "--annotations", "--exclude", f"{root}/w.txt", "--fail-on", "critical"], spark) == 1 and "::error file=" in capsys.readouterr().out
     assert main(["--compare", f"{root}/a.md", f"{root}/b.md"], spark) == 0 and main(["--compare", f"{root}/a.md", write(tmp_path, "c.md", "hi")], spark) == 1
     for bad in (["--fail-on", "severe"], ["--compare", "x"], ["--nonsense"]):
@@ -185,3 +190,13 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert open(f"{root}/a.md").read() == "hi" and open(f"{root}/w.txt", "rb").read() == "wide".encode("utf-16")
     spark.catalog.clearCache()
     assert main([root], spark) == 0
+
+
+def test_options_of_cleaning(spark, tmp_path):
+    from veilscan.__main__ import main
+
+    path = write(tmp_path, "o.md", "6\u2009kn \u0430b\u200b u\u0308 \x1b[2K")
+    assert main([path, "--fix", "--keep-spaces", "--keep-ansi", "--normalize", "none", "--no-annotations", "--no-color", "--fail-on", "critical"], spark) in (0, 1)
+    assert open(path, encoding="utf-8").read() == "6\u2009kn \u0430b u\u0308 \x1b[2K"
+    main([path, "--fix", "--fold-confusables"], spark)
+    assert open(path, encoding="utf-8").read() == "6 kn ab \u00fc "

@@ -20,7 +20,7 @@ def _arguments(args: list[str] | None) -> argparse.Namespace:
     p.add_argument("paths", nargs="*", help="files and folders; - for standard input; the current folder if none")
     p.add_argument("--json", action="store_true", help="one JSON report")
     p.add_argument("--sarif", nargs="?", const="-", metavar="FILE", help="a SARIF 2.1.0 log")
-    p.add_argument("--annotations", action="store_true", help="workflow commands for each finding")
+    p.add_argument("--annotations", action="store_true", default=os.environ.get("GITHUB_ACTIONS") == "true", help="workflow commands for each finding; the default within a workflow")
     p.add_argument("--fix", action="store_true", help="rewrite files without what is hidden")
     p.add_argument("--staged", action="store_true", help="files as the git index holds them")
     p.add_argument("--compare", nargs=2, metavar=("A", "B"), help="two copies of a text")
@@ -29,8 +29,19 @@ def _arguments(args: list[str] | None) -> argparse.Namespace:
     p.add_argument("--exclude", action="append", default=[], metavar="PATH")
     p.add_argument("--all", action="store_true", help="clean files too")
     p.add_argument("--no-gitignore", action="store_true")
+    p.add_argument("--no-annotations", dest="annotations", action="store_false", help="none, even where a workflow runs")
+    p.add_argument("--no-color", action="store_true", help="terminal text has no colours anyway")
+    p.add_argument("--normalize", default="NFC", choices=("NFC", "NFKC", "none"), help="with --fix")
+    p.add_argument("--fold-confusables", action="store_true", help="with --fix: lookalikes become ASCII")
+    p.add_argument("--keep-spaces", action="store_true", help="with --fix: other spaces stay")
+    p.add_argument("--keep-ansi", action="store_true", help="with --fix: terminal sequences stay")
     p.add_argument("-v", "--version", action="version", version=__version__)
-    return p.parse_args(args)
+    a = p.parse_args(args)
+    if a.sarif not in (None, "-") and os.path.exists(a.sarif) and not a.sarif.lower().endswith((".sarif", ".sarif.json")):
+        # what is there already and is no log is to be scanned, not written over
+        a.paths.insert(0, a.sarif)
+        a.sarif = "-"
+    return a
 
 
 def _session():
@@ -62,7 +73,8 @@ def main(args: list[str] | None = None, spark=None) -> int:
     ignore = tuple(x.strip() for x in a.ignore.split(",") if x.strip())
     read = read.cache()  # files are few here, and are read once
     if a.fix:
-        done, refused = sinks.fix(read, (lambda p: files.differs_from_index(os.getcwd(), p)) if a.staged else (lambda p: False))
+        options = {"normalize": a.normalize, "fold_confusables": a.fold_confusables, "normalize_spaces": not a.keep_spaces, "strip_ansi": not a.keep_ansi}
+        done, refused = sinks.fix(read, (lambda p: files.differs_from_index(os.getcwd(), p)) if a.staged else (lambda p: False), **options)
         for what, paths in (("cleaned", done), ("left alone, as the working copy differs from the index", refused)):
             for path in paths:
                 print(f"{what}: {sinks.safe_path(path)}", file=sys.stderr)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import native
 from ..functions.dims import BIDI, CONFUSABLES, HIDDEN_KINDS, HOMOGLYPH_SCRIPTS, INTENTS, LINEBREAK, SPACE, STRIPPABLE_KINDS, ZERO_WIDTH, class_of, intent_pattern, spans_by_kind
 from ..functions.markup import CARRIERS
-from ..functions.urls import SAME_OWNER, SHARED_SUFFIXES
+from ..functions.urls import LABEL_TLDS, SAME_OWNER, SHARED_SUFFIXES
 from ..operators import scan as ops
 from ..sources import files, sinks
 from . import expected, injection
@@ -52,16 +52,29 @@ def doc_codepoint_stats(spark, sf_dir):
 
 @query(_chars.format(_suspect_sql) + f" SELECT {_kind_case} AS kind, count(*) AS n_chars, count(DISTINCT doc_id) AS n_docs, min(cp)::INT AS least, max(cp)::INT AS greatest FROM cells WHERE {_kind_case} IS NOT NULL GROUP BY 1")
 def kind_histogram(spark, sf_dir):
-    cells = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{class_of(*spans_by_kind())}]")).select("doc_id", F.explode(native.chars(native.noted(F.col("text")))).alias("ch"))
-    return cells.withColumn("kind", native.kind_of(F.col("ch"))).filter("kind is not null").groupBy("kind").agg(F.count("*").alias("n_chars"), F.countDistinct("doc_id").alias("n_docs"), F.min(F.ascii("ch")).alias("least"), F.max(F.ascii("ch")).alias("greatest"))
+    """Characters are counted before they are told apart, so the long list of kinds is looked through once for each distinct one."""
+    noted = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{class_of(*spans_by_kind())}]")).select("doc_id", native.noted(F.col("text")).alias("t"))
+    chars = noted.select(F.explode(native.chars(F.col("t"))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
+    kinds = chars.withColumn("kind", native.kind_of(F.col("ch"))).filter("kind is not null").groupBy("kind").agg(F.sum("n").alias("n_chars"), F.min(F.ascii("ch")).alias("least"), F.max(F.ascii("ch")).alias("greatest"))
+    held = F.array_compact(F.array(*[F.when(F.col("t").rlike(f"[{class_of(k)}]"), F.lit(k)) for k in _KINDS]))
+    docs = noted.select("doc_id", F.explode(held).alias("kind")).groupBy("kind").agg(F.countDistinct("doc_id").alias("n_docs"))
+    return kinds.join(docs, "kind").select("kind", "n_chars", "n_docs", "least", "greatest")
 
 
 @query(_chars.format(f"regexp_matches(text, '[{class_of(ZERO_WIDTH)}]')") + f" SELECT doc_id, (i - 1)::INT AS i, unit::BIGINT AS unit, cp::INT AS cp FROM cells WHERE regexp_matches(ch, '^[{class_of(ZERO_WIDTH)}]$')")
 def zero_width_positions(spark, sf_dir):
-    """Places in characters and UTF-16 units, row by row: the text before a hit is measured, nothing is sorted."""
-    some = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{class_of(ZERO_WIDTH)}]"))
-    hits = some.select("doc_id", "text", F.posexplode(native.chars(F.col("text"))).alias("i", "ch")).filter(F.col("ch").rlike(f"^[{class_of(ZERO_WIDTH)}]$"))
-    return hits.select("doc_id", "i", native.utf16_units(F.substring("text", F.lit(1), F.col("i"))).alias("unit"), F.ascii("ch").alias("cp"))
+    """Places in characters and UTF-16 units, within the row: the stretches between hits are added up, and only hits are exploded."""
+    one = f"[{class_of(ZERO_WIDTH)}]"
+    some = injected(spark, sf_dir).filter(F.col("text").rlike(one))
+    hits, before = F.regexp_extract_all("text", F.lit(one), F.lit(0)), F.split("text", one)
+    steps = F.zip_with(hits, F.slice(before, F.lit(1), F.size(hits)), lambda h, b: F.struct(F.length(b).alias("n"), native.utf16_units(b).alias("units"), F.ascii(h).alias("cp")))
+    zero = F.struct(F.lit(-1).alias("i"), F.lit(-1).cast("long").alias("unit"), F.array().cast("array<struct<i: int, unit: bigint, cp: int>>").alias("out"))
+
+    def step(a, x):
+        i, unit = a["i"] + 1 + x["n"], a["unit"] + 1 + x["units"]
+        return F.struct(i.alias("i"), (unit + F.when(x["cp"] > 65_535, 1).otherwise(0)).alias("unit"), F.concat(a["out"], F.array(F.struct(i.alias("i"), unit.alias("unit"), x["cp"].alias("cp")))).alias("out"))
+
+    return some.select("doc_id", F.explode(F.aggregate(steps, zero, step)["out"]).alias("x")).select("doc_id", "x.*")
 
 
 _said_sql = ", ".join(f"CASE WHEN regexp_matches(decoded, '{intent_pattern(p, 're2').replace(chr(39), chr(39) * 2)}') THEN '{label}' END" for label, p in INTENTS)
@@ -136,13 +149,23 @@ def native_script_share(spark, sf_dir):
 
 _twins = {cp: to for cp, (to, _) in CONFUSABLES.items() if to.isalnum()}
 _from, _to = "".join(map(chr, _twins)), "".join(_twins.values())
+_twin_scripts = [x for x in HOMOGLYPH_SCRIPTS if any(CONFUSABLES[cp][1] == x for cp in _twins)]
+_twins_in = {x: _class(cp for cp in _twins if CONFUSABLES[cp][1] == x) for x in _twin_scripts}
+_owner_share_sql = "CASE " + " ".join(f"WHEN regexp_matches(word, '^[{_twins_in[x]}]') THEN length(text) - length(regexp_replace(text, '\\p{{{x}}}', '', 'g'))" for x in _twin_scripts) + " ELSE 0 END"
 
 
-@query(f", words AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]{{4,}}')) AS word FROM inj) SELECT doc_id, word, translate(word, {injection.sql_text(_from)}, '{_to}') AS reads_as FROM words WHERE regexp_matches(word, '^[{_class(_twins)}]+$') AND NOT regexp_matches(word, '\\p{{Latin}}')")
+@query(f", words AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]{{4,}}')) AS word FROM inj WHERE regexp_matches(text, '[{_class(_twins)}]{{4,}}')) SELECT doc_id, word, translate(word, {injection.sql_text(_from)}, '{_to}') AS reads_as FROM words WHERE regexp_matches(word, '^[{_class(_twins)}]+$') AND NOT regexp_matches(word, '\\p{{Latin}}') AND 5 * ({_owner_share_sql}) < {_letters_sql}")
 def spoofed_words(spark, sf_dir):
+    """Words that are drawn like Latin ones, where their script is not one of the text's own: in a fifth of its letters."""
     rows = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{_class(_twins)}]{{4,}}"))
-    words = rows.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]{4,}"), 0)).alias("word"))
-    return words.filter(F.col("word").rlike(f"^[{_class(_twins)}]+$") & ~F.col("word").rlike(r"\p{script=Latin}")).withColumn("reads_as", F.translate("word", _from, _to))
+    own = F.array_compact(F.array(*[F.when(5 * F.regexp_count("text", F.lit(rf"\p{{script={x}}}")) >= F.regexp_count("text", F.lit(r"\p{L}")), F.lit(x)) for x in _twin_scripts]))
+    words = rows.select("doc_id", own.alias("own"), F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]{4,}"), 0)).alias("word"))
+    script = None
+    for x in _twin_scripts:
+        is_of = F.col("word").rlike(f"^[{_twins_in[x]}]")
+        script = F.when(is_of, F.lit(x)) if script is None else script.when(is_of, F.lit(x))
+    found = words.filter(F.col("word").rlike(f"^[{_class(_twins)}]+$") & ~F.col("word").rlike(r"\p{script=Latin}") & ~F.coalesce(F.array_contains("own", script), F.lit(False)))
+    return found.select("doc_id", "word", F.translate("word", _from, _to).alias("reads_as"))
 
 
 _dim_sql = ", dim(cp, target, script) AS (VALUES " + ", ".join(f"({cp}, '{to.replace(chr(39), chr(39) * 2)}', '{s}')" for cp, (to, s) in CONFUSABLES.items()) + ")"
@@ -198,32 +221,83 @@ def page_hosts(spark, sf_dir):
     return pages.withColumn("site", native.registrable(F.col("host")))
 
 
-_link = r"\[([^\]\n]{1,200})\]\(\s*<?([^)\s>]+)>?\s*\)"
+# Patterns that Java and RE2 read alike. Links and images of Markdown and HTML, their targets, and what is named in labels.
+_value = r"""(?:"[^"]*"|'[^']*'|[^\s>"']+)"""
+_rest = r"""(?:"[^"]*"|'[^']*'|[^>"'])*?"""
+_inline_target = r"\(\s*<?([^)\s>]+)>?\s*(?:\"[^\"]*\")?\s*\)"
+_md_links = r"(?:^|[^!])\[([^\]\n!][^\]\n]{0,199})\]" + _inline_target
+_html_links = rf"(?is)<a\b{_rest}\shref\s*=\s*({_value}){_rest}>(.{{0,400}}?)</\s*a\s*>"
+_md_images = r"!\[[^\]\n]{0,200}\]" + _inline_target
+_html_images = rf"(?is)<img\b{_rest}\ssrc\s*=\s*({_value}){_rest}>"
+_labels = r"(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+"
+_explicit_host = rf"(?i)(?:https?://|\bwww\.)({_labels}[a-z]{{2,24}})"
+_bare_host = rf"(?i)(?:^|[\s(<\"'])({_labels}(?:{'|'.join(LABEL_TLDS)}))(?:[^a-z0-9-]|$)"
+_target_host = r"(?i)^\s*(?:https?:)?//(?:[^/@\s]*@)?([^/?#\s:]+)"
+_quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+_bare_value_sql = lambda x: f"regexp_replace({x}, '^[\"'']|[\"'']$', '', 'g')"
+_plain_sql = lambda x: f"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_site_sql = lambda host: f"(SELECT {_owner_sql} FROM (SELECT CASE WHEN {_last(3)} IN {_shared_sql} THEN {_last(4)} WHEN {_last(2)} IN {_shared_sql} THEN {_last(3)} ELSE {_last(2)} END AS site FROM (SELECT string_split(lower({host}), '.') AS parts)))"
+
+
+def _bare_value(x):
+    return F.regexp_replace(x, "^[\"']|[\"']$", "")
+
+
+def _zipped(of: str, pattern: str, first: int, second: int):
+    """Two groups of every match."""
+    return F.arrays_zip(F.regexp_extract_all(of, F.lit(pattern), F.lit(first)).alias("x"), F.regexp_extract_all(of, F.lit(pattern), F.lit(second)).alias("y"))
 
 
-@query(f""", links AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^!])(?:{_link})')) AS link FROM inj), named AS (SELECT doc_id, regexp_extract(link, '\\[([a-z0-9.-]+\\.(?:com|net|org))\\]', 1) AS label, regexp_extract(link, '\\(https?://([^/)]+)', 1) AS target FROM links)
-SELECT doc_id, label, target FROM named WHERE label <> '' AND target <> '' AND label <> target""")
+@query(f""", links AS (
+  SELECT doc_id, unnest(list_zip(regexp_extract_all(text, {_quoted(_md_links)}, 1), regexp_extract_all(text, {_quoted(_md_links)}, 2))) AS l FROM inj UNION ALL
+  SELECT doc_id, unnest(list_zip(regexp_extract_all(text, {_quoted(_html_links)}, 2), list_transform(regexp_extract_all(text, {_quoted(_html_links)}, 1), lambda x: {_bare_value_sql("x")}))) FROM inj
+), named AS (
+  SELECT doc_id, coalesce(nullif(regexp_extract({_plain_sql("l[1]")}, {_quoted(_explicit_host)}, 1), ''), regexp_extract({_plain_sql("l[1]")}, {_quoted(_bare_host)}, 1)) AS label, lower(regexp_extract(l[2], {_quoted(_target_host)}, 1)) AS target FROM links
+)
+SELECT doc_id, label, target FROM named WHERE label <> '' AND target <> '' AND {_site_sql("label")} <> {_site_sql("target")}""")
 def link_mismatch(spark, sf_dir):
-    links = injected(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(f"(?:^|[^!])(?:{_link})"), 0)).alias("link"))
-    named = links.select("doc_id", F.regexp_extract("link", r"\[([a-z0-9.-]+\.(?:com|net|org))\]", 1).alias("label"), F.regexp_extract("link", r"\(https?://([^/)]+)", 1).alias("target"))
-    return named.filter((F.col("label") != "") & (F.col("target") != "") & (native.registrable(F.col("label")) != native.registrable(F.col("target"))))
+    """Links of Markdown and HTML whose label names another owner's host than their target."""
+    rows = injected(spark, sf_dir).filter(F.contains("text", F.lit("](")) | F.col("text").rlike("(?i)<a\\b"))
+    links = F.concat(_zipped("text", _md_links, 1, 2), F.transform(_zipped("text", _html_links, 2, 1), lambda l: F.struct(l["x"].alias("x"), _bare_value(l["y"]).alias("y"))))
+    one = rows.select("doc_id", F.explode(links).alias("l")).select("doc_id", F.trim(F.regexp_replace(F.regexp_replace("l.x", "<[^>]*>", " "), r"\s+", " ")).alias("said"), F.col("l.y").alias("to"))
+    label = F.coalesce(F.nullif(F.regexp_extract("said", _explicit_host, 1), F.lit("")), F.regexp_extract("said", _bare_host, 1))
+    named = one.select("doc_id", label.alias("label"), F.lower(F.regexp_extract("to", _target_host, 1)).alias("target"))
+    # as variables, so that the long expressions of both hosts are not written out for each use
+    apart = F.exists(F.array(F.struct("label", "target")), lambda p: native.registrable(p["label"]) != native.registrable(p["target"]))
+    return named.filter((F.col("label") != "") & (F.col("target") != "") & apart)
 
 
-_image = r"!\[[^\]\n]{0,200}\]\(\s*<?[^)\s>]+>?\s*\)"
 _carriers = "|".join(CARRIERS)
+_carrying = rf"(?i)[?&](?:[^=&]*\W)?(?:{_carriers})(?:\W[^=&]*)?(?:[=&]|$)"
+_open_slot = r"(?i)=(?:$|&)|[{<\[]\s*[a-z_ ]{2,30}\s*[}>\]]|\bYOUR_|\bINSERT|\bPUT_"
 
 
-@query(f""", images AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_image}')) AS image FROM inj), urls AS (SELECT doc_id, regexp_extract(image, '\\]\\(\\s*<?([^)\\s>]+)', 1) AS url FROM images)
-SELECT doc_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_matches(url, '=(?:$|&)') AS open_slot FROM urls WHERE regexp_matches(url, '[?&](?:{_carriers})=')""")
+@query(f""", urls AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(_md_images)}, 1)) AS url FROM inj UNION ALL SELECT doc_id, {_bare_value_sql("unnest(regexp_extract_all(text, " + _quoted(_html_images) + ", 1))")} FROM inj
+)
+SELECT doc_id, lower(regexp_extract(url, {_quoted(_target_host)}, 1)) AS host, regexp_matches(substr(url, strpos(url, '?') + 1), {_quoted(_open_slot)}) AS open_slot FROM urls WHERE regexp_matches(url, {_quoted(_carrying)}) AND regexp_matches(url, {_quoted(_target_host)})""")
 def exfil_images(spark, sf_dir):
-    images = injected(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_image), 0)).alias("image")).withColumn("url", F.regexp_extract("image", r"\]\(\s*<?([^)\s>]+)", 1))
-    return images.filter(F.col("url").rlike(f"[?&](?:{_carriers})=")).select("doc_id", native.host_of(F.col("url")).alias("host"), F.col("url").rlike(r"=(?:\z|&)").alias("open_slot"))
+    """Images of Markdown and HTML with a parameter that carries data, and whether it waits to be filled."""
+    rows = injected(spark, sf_dir).filter(F.contains("text", F.lit("![")) | F.col("text").rlike("(?i)<img\\b"))
+    urls = F.concat(F.regexp_extract_all("text", F.lit(_md_images), F.lit(1)), F.transform(F.regexp_extract_all("text", F.lit(_html_images), F.lit(1)), _bare_value))
+    images = rows.select("doc_id", F.explode(urls).alias("url")).filter(F.col("url").rlike(_carrying) & F.col("url").rlike(_target_host))
+    return images.select("doc_id", native.host_of(F.col("url")).alias("host"), F.substring_index("url", "?", -1).rlike(_open_slot).alias("open_slot"))
+
 
+_targets = r"""(?i)(?:(?:href|src|action)\s*=\s*("[^"]*"|'[^']*')|\]\(\s*([a-z]+:[^)\s]*))"""
+_code = r"(?i)^\s*(javascript|vbscript|data)\s*:"
+_idle = r"(?i)^\s*(?:data\s*:\s*image/|javascript\s*:\s*(?:void\s*\(?\s*0\s*\)?)?\s*;?\s*$)"
 
-@query(", found AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\]\\(\\s*(?:javascript|vbscript):[^)\\s]*')) AS target FROM inj) SELECT doc_id, regexp_extract(target, '(javascript|vbscript)', 1) AS scheme, count(*) AS n FROM found GROUP BY ALL")
+
+@query(f""", found AS (
+  SELECT doc_id, unnest(list_zip(regexp_extract_all(text, {_quoted(_targets)}, 1), regexp_extract_all(text, {_quoted(_targets)}, 2))) AS t FROM inj
+), targets AS (SELECT doc_id, {_bare_value_sql("coalesce(nullif(t[1], ''), t[2])")} AS target FROM found)
+SELECT doc_id, lower(regexp_extract(target, {_quoted(_code)}, 1)) AS scheme, count(*) AS n FROM targets WHERE regexp_matches(target, {_quoted(_code)}) AND NOT regexp_matches(target, {_quoted(_idle)}) GROUP BY ALL""")
 def executable_hrefs(spark, sf_dir):
-    found = injected(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\]\(\s*(?:javascript|vbscript):[^)\s]*"), 0)).alias("target"))
-    return found.groupBy("doc_id", F.regexp_extract("target", "(javascript|vbscript)", 1).alias("scheme")).agg(F.count("*").alias("n"))
+    """Targets in attributes and Markdown that are run and not fetched."""
+    found = injected(spark, sf_dir).filter(F.col("text").rlike(r"(?i)(?:javascript|vbscript|data)\s*:")).select("doc_id", F.explode(_zipped("text", _targets, 1, 2)).alias("t"))
+    targets = found.select("doc_id", _bare_value(F.coalesce(F.nullif(F.col("t.x"), F.lit("")), F.col("t.y"))).alias("target")).filter(F.col("target").rlike(_code) & ~F.col("target").rlike(_idle))
+    return targets.groupBy("doc_id", F.lower(F.regexp_extract("target", _code, 1)).alias("scheme")).agg(F.count("*").alias("n"))
 
 
 _run = "(?:[A-Za-z0-9+/]{4}){10,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?"
@@ -272,9 +346,16 @@ def sarif_line_col(spark, sf_dir):
     return rows.select("doc_id", line.alias("line"), column.alias("col"))
 
 
-@query("SELECT doc_id, regexp_extract_all(text, chr(27) || '\\[[0-9;?<>=]*[ -/]*[@-~]').len()::BIGINT AS n FROM inj WHERE contains(text, chr(27))")
+# control sequences, operating system commands up to their end or the text's, and single characters
+_sequences = {"csi": "\\[[0-9;?<>=]*[ -/]*[@-~]", "osc": "\\](?s:.*?)(?:\\x07|\\x1b\\\\|$)", "single": "[@-Z\\\\^_]"}
+_any_sequence = "\\x1b(?:" + "|".join(_sequences.values()) + ")"
+
+
+@query(f", found AS (SELECT doc_id, regexp_extract_all(text, '{_any_sequence}') AS x FROM inj WHERE contains(text, chr(27))) SELECT doc_id, len(x)::BIGINT AS n, " + ", ".join(f"len(list_filter(x, lambda s: regexp_matches(s, '^\\x1b{start}')))::BIGINT AS n_{name}" for name, start in (("csi", "\\["), ("osc", "\\]"), ("single", "[^\\[\\]]"))) + " FROM found")
 def ansi_sequences(spark, sf_dir):
-    return injected(spark, sf_dir).filter(F.contains("text", F.lit("\x1b"))).select("doc_id", F.regexp_count("text", F.lit("\\x1b\\[[0-9;?<>=]*[ -/]*[@-~]")).cast("long").alias("n"))
+    found = injected(spark, sf_dir).filter(F.contains("text", F.lit("\x1b"))).select("doc_id", F.regexp_extract_all("text", F.lit(_any_sequence.replace("$)", "\\z)")), F.lit(0)).alias("x"))
+    of = lambda start: F.size(F.filter("x", lambda s: s.rlike(f"^\\x1b{start}"))).cast("long")
+    return found.select("doc_id", F.size("x").cast("long").alias("n"), of("\\[").alias("n_csi"), of("\\]").alias("n_osc"), of("[^\\[\\]]").alias("n_single"))
 
 
 @query("SELECT doc_id FROM inj WHERE nfc_normalize(text) <> text")
@@ -294,14 +375,18 @@ def hidden_rollup_lang_source(spark, sf_dir):
     return rows.rollup("lang", "source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("h") > 0).alias("n_hidden"), F.sum("h").alias("hidden"))
 
 
-_names = ("'n' || (k % 7) || CASE k % 12 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate((".md", ".PY", ".png", ".env", ".tar.gz", "", ".Json", ".exe", ".css", ".bin", ".mdc"))) + " ELSE '.txt' END")
-_endings_sql = "(" + ", ".join(f"'{x}'" for x in sorted(files.ENDINGS)) + ")"
+#: Names of files, and whether each is text that is read.
+_files = (
+    ("notes.md", True), ("RUN.PY", True), ("a.png", False), (".env", True), (".ENV.local", True), ("env", False), ("x.tar.gz", False), ("Makefile", True), ("makefile", False), ("LICENSE", True), ("licence", False), (".gitignore", True), ("d.Json", True), ("e.exe", False),
+    ("rules.mdc", True), (".md", False), ("a.environment", False), ("Dockerfile", True), ("Dockerfile.dev", False), ("q.ipynb", True),
+)
+_file_rows = ", ".join(f"({i}, '{name}', {readable})" for i, (name, readable) in enumerate(_files))
 
 
-@query(f"WITH p AS (SELECT doc_id, 'dir/' || {_names} AS path FROM (SELECT doc_id, doc_id AS k FROM documents)) SELECT doc_id, path, lower(regexp_extract(path, '[^/](\\.[^./]*)$', 1)) IN {_endings_sql} AS readable FROM p")
+@query(f"WITH kinds(k, name, readable) AS (VALUES {_file_rows}) SELECT doc_id, 'dir/' || name AS path, readable FROM documents JOIN kinds ON k = doc_id % {len(_files)}")
 def file_type_predicate(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr("concat('dir/', " + _names.replace("k %", "doc_id %").replace("'n' || (doc_id % 7) || CASE", "'n', doc_id % 7, CASE") + ") AS path"))
-    return d.select("doc_id", "path", files.readable(F.col("path")).alias("readable"))
+    name = F.get(F.array(*[F.lit(f"dir/{name}") for name, _ in _files]), (F.col("doc_id") % len(_files)).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", name.alias("path")).withColumn("readable", files.readable(F.col("path")))
 
 
 # The whole reading, against what is expected of each class of payloads.
