@@ -2,13 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's docs. All but the last return the
-columns of ``documents``.
+columns of ``documents``. A stage's table is deleted when the next one's is written,
+that of the last but one when the driver ends.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from veilscan.llm import common, decontaminate, ngram_join, quality_rules, source_mix, token_output
@@ -47,9 +46,12 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        folder = common.own_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before is not None:
+            common.delete(before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)
