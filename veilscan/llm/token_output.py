@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir, tidy
+from .common import own_folder, pieces, tidy
 
 #: Fixed values of the frame format.
 MASK_DELTA = 0xA282EAD8
@@ -257,7 +257,7 @@ def default_tokenizer() -> str:
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write ``docs`` to a new folder in the shared one and read the files back."""
     spark = docs.sparkSession
-    manifest = write(docs, tokenizer, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}", end_id)
+    manifest = write(docs, tokenizer, own_folder(spark, "tokens"), end_id)
     return read(spark, manifest, width_of(tokenizer))
 
 
