@@ -21,15 +21,17 @@ from ..functions.dims import SEVERITIES, VERDICT_LINES, VERDICTS
 
 _finding = pa.struct([
     ("id", pa.string()), ("title", pa.string()), ("severity", pa.int32()), ("kind", pa.string()), ("count", pa.int32()), ("positions", pa.list_(pa.int32())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-    ("decoded", pa.string()), ("scheme", pa.string()), ("intents", pa.list_(pa.struct([("label", pa.string()), ("match", pa.string())]))), ("reference", pa.string()), ("samples", pa.list_(pa.string())), ("detail", pa.string()),
+    ("decoded", pa.string()), ("scheme", pa.string()), ("intents", pa.list_(pa.struct([("label", pa.string()), ("match", pa.string())]))), ("reference", pa.string()), ("samples", pa.list_(pa.string())), ("detail", pa.string()), ("line", pa.int32()), ("column", pa.int32()),
 ])
-FINDING = "struct<id: string, title: string, severity: int, kind: string, count: int, positions: array<int>, spans: array<struct<start: int, end: int>>, decoded: string, scheme: string, intents: array<struct<label: string, match: string>>, reference: string, samples: array<string>, detail: string>"
+FINDING = "struct<id: string, title: string, severity: int, kind: string, count: int, positions: array<int>, spans: array<struct<start: int, end: int>>, decoded: string, scheme: string, intents: array<struct<label: string, match: string>>, reference: string, samples: array<string>, detail: string, line: int, column: int>"
 STATS = ("codepoints", "units", "bytes", "visible", "hidden", "benign_hidden", "confusables", "n_findings")
+_row = pa.struct([("severity", pa.int32()), ("findings", pa.list_(_finding)), *((s, pa.int64()) for s in STATS)])
 ROW = f"severity int, findings array<{FINDING}>, " + ", ".join(f"{s} long" for s in STATS)
 
 
-def finding_row(f: document.Finding) -> dict:
-    return asdict(f) | {"spans": [{"start": a, "end": b} for a, b in f.spans], "intents": [{"label": a, "match": b} for a, b in f.intents]}
+def finding_row(f: document.Finding, reading: document.Reading) -> dict:
+    line, column = reading.line_and_column(f.positions[0] if f.positions else 0)
+    return asdict(f) | {"line": line, "column": column, "spans": [{"start": a, "end": b} for a, b in f.spans], "intents": [{"label": a, "match": b} for a, b in f.intents]}
 
 
 def read_row(text: str | None, ignore: frozenset = frozenset()) -> dict:
@@ -37,17 +39,7 @@ def read_row(text: str | None, ignore: frozenset = frozenset()) -> dict:
     stats = reading.stats()
     kept = [f for f in reading.findings if f.id not in ignore]
     stats["n_findings"] = stats.pop("findings")  # counts what was found, ignored or not
-    return {"severity": max((f.severity for f in kept), default=-1), "findings": [finding_row(f) for f in kept]} | stats
-
-
-def _read(batches: Iterator[pa.RecordBatch], text: str, ignore: frozenset) -> Iterator[pa.RecordBatch]:
-    kinds = [("severity", pa.int32()), ("findings", pa.list_(_finding)), *((s, pa.int64()) for s in STATS)]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            rows = [read_row(t, ignore) for t in part.column(text).to_pylist()]
-            made = [pa.array([r[k] for r in rows], kind) for k, kind in kinds]
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *(k for k, _ in kinds)])
+    return {"severity": max((f.severity for f in kept), default=-1), "findings": [finding_row(f, reading) for f in kept]} | stats
 
 
 def _read_suspects(batches: Iterator[pa.RecordBatch], ignore: frozenset) -> Iterator[pa.RecordBatch]:
@@ -74,17 +66,23 @@ def scan_keys(df: DataFrame, *keep: str, text: str = "text", ignore: tuple[str,
     return _labelled(base.mapInArrow(partial(_read_suspects, ignore=frozenset(ignore)), schema))
 
 
+def _of_suspects(text: str, read, schema: str, kind: pa.StructType):
+    """A column of what ``read`` makes of each suspect text, null for plain ones. Python sees nulls for these, and other columns stay in the JVM."""
+
+    @F.arrow_udf(schema)
+    def column(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else read(t) for t in texts.to_pylist()], kind)
+
+    return column(F.when(native.suspect(F.col(text)), F.col(text)))
+
+
 def scan(df: DataFrame, text: str = "text", ignore: tuple[str, ...] = (), keep: tuple[str, ...] | None = None) -> DataFrame:
     """Every row of ``df`` (or the columns ``keep``) with severity, label, line, findings and statistics. Findings named in ``ignore`` are left out of both findings and verdict."""
     base = df.select(*keep, text) if keep is not None else df
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", " + ROW
-    noisy = base.filter(native.suspect(F.col(text))).mapInArrow(partial(_read, text=text, ignore=frozenset(ignore)), schema)
-    n = native.codepoints(F.col(text))
-    zero = F.lit(0).cast("long")
-    quiet = base.filter(~native.suspect(F.col(text))).select(
-        "*", F.lit(-1).cast("int").alias("severity"), F.array().cast(f"array<{FINDING}>").alias("findings"), n.alias("codepoints"), n.alias("units"), native.utf8_bytes(F.col(text)).alias("bytes"), n.alias("visible"), *[zero.alias(s) for s in STATS[4:]]
-    )
-    return _labelled(noisy.unionByName(quiet))
+    dropped, n, zero = frozenset(ignore), native.codepoints(F.col(text)), F.lit(0).cast("long")
+    plain = {"severity": F.lit(-1), "findings": F.array().cast(f"array<{FINDING}>"), "codepoints": n, "units": n, "bytes": native.utf8_bytes(F.col(text)), "visible": n} | dict.fromkeys(STATS[4:], zero)
+    read = base.withColumn("_r", _of_suspects(text, lambda t: read_row(t, dropped), ROW, _row))
+    return _labelled(read.select(*base.columns, *[F.coalesce(f"_r.{c}", v).alias(c) for c, v in plain.items()]))
 
 
 def findings(df: DataFrame, key: str = "doc_id", text: str = "text", ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -106,37 +104,27 @@ def gate(df: DataFrame, text: str = "text", fail_on: str = "HIGH", ignore: tuple
     return found is not None and found >= SEVERITIES.index(fail_on.upper())
 
 
-def _clean(batches: Iterator[pa.RecordBatch], text: str, options: dict) -> Iterator[pa.RecordBatch]:
-    change = pa.list_(pa.struct([("label", pa.string()), ("count", pa.int64())]))
-    for batch in batches:
-        rows = [document.sanitize(t, **options) for t in batch.column(text).to_pylist()]
-        made = [pa.array([r[k] for r in rows], kind) for k, kind in (("text", pa.string()), ("changes", change), ("removed", pa.int64()), ("clean", pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "sanitized", "changes", "removed", "clean"])
+_cleaned = pa.struct([("text", pa.string()), ("changes", pa.list_(pa.struct([("label", pa.string()), ("count", pa.int64())]))), ("removed", pa.int64()), ("clean", pa.bool_())])
+CLEANED = "text string, changes array<struct<label: string, count: bigint>>, removed long, clean boolean"
 
 
 def sanitized(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """key, sanitized, changes (label, count), removed, clean; options as of ``document.sanitize``."""
-    base = df.select(key, text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", sanitized string, changes array<struct<label: string, count: bigint>>, removed long, clean boolean"
-    noisy = base.filter(native.suspect(F.col(text))).mapInArrow(partial(_clean, text=text, options=options), schema)
-    quiet = base.filter(~native.suspect(F.col(text))).select("*", F.coalesce(F.col(text), F.lit("")).alias("sanitized"), F.array().cast("array<struct<label: string, count: bigint>>").alias("changes"), F.lit(0).cast("long").alias("removed"), F.lit(True).alias("clean"))
-    return noisy.unionByName(quiet).drop(text)
+    read = df.select(key, text, _of_suspects(text, lambda t: document.sanitize(t, **options), CLEANED, _cleaned).alias("_r"))
+    none = F.array().cast("array<struct<label: string, count: bigint>>")
+    return read.select(key, F.coalesce("_r.text", text, F.lit("")).alias("sanitized"), F.coalesce("_r.changes", none).alias("changes"), F.coalesce("_r.removed", F.lit(0).cast("long")).alias("removed"), F.coalesce("_r.clean", F.lit(True)).alias("clean"))
 
 
-def _views(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        reads = [document.Reading(t) for t in batch.column(text).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.visible_text for r in reads], pa.string()), pa.array([r.human_text for r in reads], pa.string())], [*batch.schema.names, "visible_text", "human_text"])
+def views(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, visible_text (nothing hidden) and human_text (what is excused or directs stays). Only what neighbours may excuse goes to Python."""
 
+    @F.arrow_udf("string")
+    def human(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else document.Reading(t).human_text for t in texts.to_pylist()], pa.string())
 
-def views(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, visible_text (nothing hidden) and human_text (what is excused or directs stays)."""
-    base = df.select(key, text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", visible_text string, human_text string"
     marked = native.count_kind(F.col(text), "variation-selector", "zero-width") > 0
-    noisy = base.filter(marked).mapInArrow(partial(_views, text=text), schema)
-    quiet = base.filter(~marked).select("*", F.coalesce(native.visible_text(F.col(text)), F.lit("")).alias("visible_text"), F.coalesce(native.human_text(F.col(text)), F.lit("")).alias("human_text"))
-    return noisy.unionByName(quiet).drop(text)
+    shown = human(F.when(marked, F.col(text)))
+    return df.select(key, F.coalesce(native.visible_text(F.col(text)), F.lit("")).alias("visible_text"), F.coalesce(shown, native.human_text(F.col(text)), F.lit("")).alias("human_text"))
 
 
 def _cells(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import SEVERITIES
-from ..operators.scan import sanitized, scan, scan_keys
+from ..operators.scan import sanitized, scan_keys
 
 TOOL = "veilscan"
 #: SARIF levels, security severities and annotation commands by severity.
@@ -45,15 +45,14 @@ def line_and_column(text: Column, offset: Column) -> tuple[Column, Column]:
 
 def located(files: DataFrame, path: str = "path", text: str = "text", ignore: tuple[str, ...] = ()) -> DataFrame:
     """A row for each finding: path, rank, line, column, level and what reports say of it."""
-    rows = scan(files, text, ignore, (path,)).select(F.col(path).alias("path"), F.col(text).alias("_text"), F.posexplode("findings").alias("rank", "f"))
-    line, column = line_and_column(F.col("_text"), F.coalesce(F.get("f.positions", F.lit(0)), F.lit(0)))
+    rows = scan_keys(files, path, text=text, ignore=ignore).select(F.col(path).alias("path"), F.posexplode("findings").alias("rank", "f"))
     labels = F.array_join(F.transform("f.intents", lambda x: x["label"]), ", ")
     message = F.concat_ws(
         " -- ", "f.title", F.when(F.col("f.count") > 1, F.concat(F.lit("x"), F.col("f.count"))), F.when(F.col("f.decoded") != "", F.concat(F.lit('Decoded: "'), one_line(F.col("f.decoded"), 200), F.lit('"'))),
         F.when(F.size("f.intents") > 0, F.concat(F.lit("reads as "), labels)), F.when(F.col("f.reference") != "", F.concat(F.lit("("), F.col("f.reference"), F.lit(")"))),
     )
     return rows.select(
-        F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), "rank", line.alias("line"), column.alias("column"), _pick(LEVELS, F.col("f.severity")).alias("level"), message.alias("message"), labels.alias("intent_labels"), "f.*"
+        F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), "rank", _pick(LEVELS, F.col("f.severity")).alias("level"), message.alias("message"), labels.alias("intent_labels"), "f.*"
     )
 
 
