@@ -15,7 +15,8 @@ benchmark takes a pass over the documents for each block; what a pass gives is
 written before the next one starts, and its block is given back.
 
 Defined cases: null and empty texts hold nothing, and items without words are in
-no document; rows that repeat an id are judged each by its text; items that
+no document; rows that repeat an id are judged each by its text; ids are integers, or strings
+that are read as such; items that
 repeat each count; an empty benchmark finds nothing. In ``found`` the named
 columns alone are read; ``clean`` keeps all columns.
 """

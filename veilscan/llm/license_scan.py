@@ -13,7 +13,9 @@ Defined cases: a null text is an empty one; phrases may overlap and each place
 counts; a malformed expression, one that breaks off after an operator among them, gives
 no labels but its tag counts for the score; a full stop after an identifier ends
 the expression; a word after ``and`` or ``or`` is taken for an identifier;
-rows with null or equal ids are scanned like others. Other columns are not read.
+rows with null or equal ids are scanned like others; ids are integers, or strings that
+are read as such. Phrases of one label and kind count once for the score, the surest
+of them. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -31,7 +31,8 @@ counted by 128-bit fingerprints, of which all but the first place go.
 Buckets are known by 64-bit fingerprints of 25 bytes, four for a string, and by
 48 bits each of a gram and its surroundings.
 
-Defined cases: a null text is empty; a null id is the smallest; rows that repeat
+Defined cases: a null text is empty; ids are integers, or strings that are read as
+such, and a null one is the smallest; rows that repeat
 id and text are one document, whose result each of them gets; rows that repeat
 the id alone are ordered by a hash of their text; an empty table gives no rows;
 texts have no length bound, long ones being cut into overlapping parts. Other
