@@ -133,7 +133,7 @@ def test_operators_on_odd_rows(spark):
 
 def test_plain_texts_do_not_leave_the_jvm(spark):
     plan = ops.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Scan") == 1 and "Exchange" not in plan and "CASE WHEN" in plan.split("ArrowEvalPython")[1]
 
 
 def test_stream(spark, tmp_path):

@@ -81,8 +81,8 @@ def scan(df: DataFrame, text: str = "text", ignore: tuple[str, ...] = (), keep:
     base = df.select(*keep, text) if keep is not None else df
     dropped, n, zero = frozenset(ignore), native.codepoints(F.col(text)), F.lit(0).cast("long")
     plain = {"severity": F.lit(-1), "findings": F.array().cast(f"array<{FINDING}>"), "codepoints": n, "units": n, "bytes": native.utf8_bytes(F.col(text)), "visible": n} | dict.fromkeys(STATS[4:], zero)
-    read = base.withColumn("_r", _of_suspects(text, lambda t: read_row(t, dropped), ROW, _row))
-    return _labelled(read.select(*base.columns, *[F.coalesce(f"_r.{c}", v).alias(c) for c, v in plain.items()]))
+    read = base.withColumn("_veilscan_read", _of_suspects(text, lambda t: read_row(t, dropped), ROW, _row))
+    return _labelled(read.select(*base.columns, *[F.coalesce(f"_veilscan_read.{c}", v).alias(c) for c, v in plain.items()]))
 
 
 def findings(df: DataFrame, key: str = "doc_id", text: str = "text", ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -110,9 +110,9 @@ CLEANED = "text string, changes array<struct<label: string, count: bigint>>, rem
 
 def sanitized(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """key, sanitized, changes (label, count), removed, clean; options as of ``document.sanitize``."""
-    read = df.select(key, text, _of_suspects(text, lambda t: document.sanitize(t, **options), CLEANED, _cleaned).alias("_r"))
+    read = df.select(key, text, _of_suspects(text, lambda t: document.sanitize(t, **options), CLEANED, _cleaned).alias("_veilscan_read"))
     none = F.array().cast("array<struct<label: string, count: bigint>>")
-    return read.select(key, F.coalesce("_r.text", text, F.lit("")).alias("sanitized"), F.coalesce("_r.changes", none).alias("changes"), F.coalesce("_r.removed", F.lit(0).cast("long")).alias("removed"), F.coalesce("_r.clean", F.lit(True)).alias("clean"))
+    return read.select(key, F.coalesce("_veilscan_read.text", text, F.lit("")).alias("sanitized"), F.coalesce("_veilscan_read.changes", none).alias("changes"), F.coalesce("_veilscan_read.removed", F.lit(0).cast("long")).alias("removed"), F.coalesce("_veilscan_read.clean", F.lit(True)).alias("clean"))
 
 
 def views(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
