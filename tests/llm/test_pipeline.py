@@ -10,36 +10,34 @@ from veilscan.llm import quality_rules as Q
 from veilscan.llm import token_output
 
 
-def brute_kept(rows, labels, alpha=0.005, delta=0.05):
-    """Ids that stay, with the cutoffs worked out in Python."""
-    ratios = {}
+def brute_kept(rows, labels, alpha=0.02, delta=0.05):
+    """Ids that stay, and those that a cutoff alone rejects, with the cutoffs worked out in Python."""
+    counts, top = {}, {}
     for r in rows:
         n, _, symbols, dup, rep = test_quality_rules.brute(r.text)
         lines = sum(1 for x in (r.text or "").split("\n") if test_quality_rules.SPACE.sub("", x))
-        ratios[r.doc_id] = (n, rep), {"symbols": symbols / max(n, 1), "bangs": (r.text or "").count("!") / max(n, 1), "dup_lines": dup / max(lines, 1), "repeats": rep / max(n, 1)}
-    held = [(r.lang, labels[r.doc_id], ratios[r.doc_id][1]) for r in rows if r.doc_id in labels]
+        counts[r.doc_id] = n, rep
+        top[r.doc_id] = max(symbols / max(n, 1), (r.text or "").count("!") / max(n, 1), dup / max(lines, 1), rep / max(n, 1))
+    held = [(r.lang, labels[r.doc_id], top[r.doc_id]) for r in rows if r.doc_id in labels]
     strata = {h[0] for h in held}
-    level = math.log(delta / (len(strata) * len(Q.RULES) * len(Q.GRID)))
     cuts = {}
     for s in strata:
-        for rule in Q.RULES:
-            n = sum(h[0] == s and h[1] for h in held)
-            best = None
-            for c in Q.GRID:
-                fp = sum(h[0] == s and h[1] and h[2][rule] >= c for h in held)
-                tp = sum(h[0] == s and not h[1] and h[2][rule] >= c for h in held)
-                if fp >= n * alpha or tp <= 10 * fp:
-                    continue
-                tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(alpha) + (n - i) * math.log1p(-alpha)) for i in range(fp + 1))
-                if math.log(tail) <= level:
-                    best = max(best or (0, 0), (tp - 10 * fp, c))
-            cuts[s, rule] = best and best[1]
-    out = set()
+        n, safe = sum(h[0] == s and h[1] for h in held), []
+        for c in sorted(Q.GRID, reverse=True):
+            fp = sum(h[0] == s and h[1] and h[2] >= c for h in held)
+            tp = sum(h[0] == s and not h[1] and h[2] >= c for h in held)
+            tail = sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(fp + 1))
+            if fp >= n * alpha or tail > delta / len(strata):
+                break
+            safe.append((tp - 10 * fp, c))
+        if safe and max(safe)[0] > 0:
+            cuts[s] = max(safe)[1]
+    stay, cut = set(), set()
     for r in rows:
-        (n, rep), ratio = ratios[r.doc_id]
-        if n >= 20 and 100 * rep <= 30 * n and not any(cuts.get((r.lang, k)) is not None and v >= cuts[r.lang, k] for k, v in ratio.items()):
-            out.add(r.doc_id)
-    return out
+        n, rep = counts[r.doc_id]
+        if n >= 20 and 100 * rep <= 30 * n:
+            (cut if top[r.doc_id] >= cuts.get(r.lang, math.inf) else stay).add(r.doc_id)
+    return stay, cut
 
 
 def test_each_stage_against_brute_force(spark, tmp_path):
@@ -56,7 +54,8 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     labels = {}
     for r in spark.read.parquet(f"{d}/labels.parquet").collect():
         labels[r.doc_id] = labels.get(r.doc_id, False) or r.quality >= 1
-    assert {r.doc_id for r in after} == brute_kept(before, labels) and len(after) < len(before)
+    stay, cut = brute_kept(before, labels)
+    assert {r.doc_id for r in after} == stay and cut and len(after) < len(before)
     assert set(map(tuple, after)) <= set(map(tuple, before))
 
     before, after = seen["near_duplicates"]
