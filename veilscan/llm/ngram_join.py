@@ -61,7 +61,7 @@ COUNTED_TOKENS = 4_000_000
 #: Postings in a bucket, and texts from which a token's list is not gathered in one but dealt over all buckets.
 POSTINGS, LONG = 400_000, 20_000
 #: Members of a part of a dense list; parts are compared two and two.
-PART = 2000
+PART = 256
 #: Bits of the map of wanted documents that spares moving others, and candidates in one search and their tokens.
 WANTED_BITS, SEARCHED, SEARCHED_TOKENS = 1 << 25, 256, 1_000_000
 #: DivideSkip's weight of a long list.
