@@ -53,7 +53,8 @@ def doc_codepoint_stats(spark, sf_dir):
 @query(_chars.format(_suspect_sql) + f" SELECT {_kind_case} AS kind, count(*) AS n_chars, count(DISTINCT doc_id) AS n_docs, min(cp)::INT AS least, max(cp)::INT AS greatest FROM cells WHERE {_kind_case} IS NOT NULL GROUP BY 1")
 def kind_histogram(spark, sf_dir):
     """Characters are counted before they are told apart, so the long list of kinds is looked through once for each distinct one."""
-    noted = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{class_of(*spans_by_kind())}]")).select("doc_id", native.noted(F.col("text")).alias("t"))
+    # the quick pass leaves little of most texts, and the long class is looked for in what is left
+    noted = injected(spark, sf_dir).select("doc_id", native.noted(F.col("text")).alias("t")).filter("t <> ''")
     chars = noted.select(F.explode(native.chars(F.col("t"))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
     kinds = chars.withColumn("kind", native.kind_of(F.col("ch"))).filter("kind is not null").groupBy("kind").agg(F.sum("n").alias("n_chars"), F.min(F.ascii("ch")).alias("least"), F.max(F.ascii("ch")).alias("greatest"))
     held = F.array_compact(F.array(*[F.when(F.col("t").rlike(f"[{class_of(k)}]"), F.lit(k)) for k in _KINDS]))
