@@ -82,6 +82,16 @@ def test_whole_table_matches_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_groups_without_a_repeated_string(spark):
+    """Passages of 90 bytes share a gram and its sides, but no string of 100."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [text(90) for _ in range(12)]
+    rows = [(i, text(80) + shared[i % 12] + text(80)) for i in range(24)]
+    want = check(spark, rows)
+    assert all(v[1] == 0 for v in want.values())
+
+
 def adversarial(rng):
     """One gram with many surroundings, and one string of 66 bytes that goes on in many ways."""
     text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))

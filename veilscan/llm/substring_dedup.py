@@ -302,7 +302,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hs, begin = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
         pos = begin[row] + step
         order = np.lexsort((pos, hs[row], ids[row], number))
-        later = np.append(False, number[order][1:] == number[order][:-1])
+        later = np.append(False, number[order][1:] == number[order][:-1])[: len(order)]  # empty if no string is repeated
         gone = np.sort(order[later])
         row, pos = row[gone], pos[gone]
         new = np.append(True, (row[1:] != row[:-1]) | (pos[1:] != pos[:-1] + 1)) if len(row) else np.zeros(0, bool)
