@@ -104,6 +104,18 @@ def test_components(spark, shape):
     assert got == {v: m for v, m in up.items() if any(v in e and e[0] != e[1] for e in edges)}
 
 
+@pytest.mark.parametrize("edges, writes", [([(1, i) for i in range(2, 40)] + [(50, 51)], 2), ([(1, 2), (2, 3)], 6)])
+def test_rounds_end_when_the_stars_are_done(spark, monkeypatch, edges, writes):
+    """Of graphs that are stars, and of one that is after a round, no round is run to see that nothing changes."""
+    from veilscan.llm import components as C
+
+    written, of = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df: written.append(1) or of(df))
+    got = {r.v: r.label for r in C.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: 50 if v >= 50 else min(map(min, edges)) for e in edges for v in e}
+    assert len(written) == writes
+
+
 def test_empty_table(spark):
     assert J.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -155,6 +167,8 @@ def test_meet(spark, monkeypatch):
     unique = spark.createDataFrame([(1, "a"), (3, "c"), (5, "e")], "k int, x string")
     for how in ("inner", "left"):
         assert sorted(map(str, common.meet(rows, unique, "k", how).collect())) == sorted(map(str, rows.join(unique, "k", how).collect()))
+    whole = spark.createDataFrame([(1, "a", 9), (2, "b", 9), (3, "c", 1), (4, "d", 1)], "k int, x string, n int")
+    assert sorted(map(str, common.meet(rows, whole, "k", counted="n").collect())) == sorted(map(str, rows.join(whole, "k").collect()))
 
 
 def test_representatives_keep_columns_of_any_name_and_one_row_of_each_group(spark):

@@ -81,19 +81,26 @@ def discard(*tables: DataFrame) -> None:
 HOT_KEYS, HOT_ROWS = 100_000, 64
 
 
-def meet(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def meet(rows: DataFrame, unique: DataFrame, key: str, how: str = "inner", counted: str | None = None) -> DataFrame:
     """``rows`` joined by ``key`` (inner or left) with ``unique``, which has each key once, whatever share of the rows one key holds.
 
     The ``HOT_KEYS`` keys with most rows, of those with more than ``HOT_ROWS``,
     meet by a broadcast of that many rows at most; no other key brings more than
     one in ``HOT_KEYS`` of the rows to a task. Both tables are read more than
     once, so they should be stored. Rows with a null key meet nothing and stay in
-    a left join.
+    a left join. If ``unique`` has every key of ``rows`` and knows how many of them
+    each has, ``counted`` names that column, and they are not counted again.
     """
     none, rows = rows.filter(F.col(key).isNull()), rows.filter(F.col(key).isNotNull())
-    hot = rows.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS).orderBy(F.desc("_rows")).limit(HOT_KEYS).select(key)
+    # in a total order, so that both joins see the same keys
+    if counted is None:
+        hot = rows.groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS).orderBy(F.desc("_rows"), key).limit(HOT_KEYS).select(key)
+        known = hot.join(unique, key, how)
+    else:
+        known = unique.filter(F.col(counted) > HOT_ROWS).orderBy(F.desc(counted), key).limit(HOT_KEYS)
+        hot = known.select(key)
     out = rows.join(F.broadcast(hot), key, "left_anti").join(unique, key, how)
-    out = rows.join(F.broadcast(hot.join(unique, key, how)), key).select(*out.columns).unionByName(out)
+    out = rows.join(F.broadcast(known), key).select(*out.columns).unionByName(out)
     return out.unionByName(none, allowMissingColumns=True) if how == "left" else out
 
 

@@ -14,21 +14,25 @@ def components(links: DataFrame) -> DataFrame:
     Each round joins every edge's end to the least neighbour; sums are combined
     before they move, edges of a vertex with many meet its neighbour by a
     broadcast of bounded size, and all edges of a vertex are never gathered. The
-    number of rounds grows with the logarithm of the longest chain. Tables of a
-    round are deleted when the next one is written.
+    number of rounds grows with the logarithm of the longest chain. A round begins
+    with what is around each vertex; if all that have a smaller neighbour have this
+    one alone, and no larger, the stars are done and it holds the labels. Tables of
+    a round are deleted when the next one is written.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    same = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    was = same(edges)
+    number = lambda kind: F.sum(F.expr(kind).cast("long"))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = stored(meet(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        around = stored(both.groupBy("u").agg(F.min("v").alias("v"), number("v < u").alias("below"), number("v > u").alias("above")).select("u", F.least("u", "v").alias("m"), "below", "above"))
+        if around.filter("below > 1 or below = 1 and above > 0").isEmpty():
+            discard(edges)
+            return around.select(F.col("u").alias("v"), F.col("m").alias("label"))
+        # large star: a vertex's larger neighbours meet at the smallest of all of them and itself
+        least = around.filter("above > 0").select(F.col("u").alias("v"), "m", "above")
+        large = stored(meet(edges, least, "v", counted="above").select("u", F.col("m").alias("v")))
         # small star: a vertex's smaller neighbours and itself meet at the smallest of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = stored(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         ends = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        after = stored(meet(large, down, "u").select(ends).select("e.u", "e.v").filter("u <> v").distinct())
-        discard(edges, large)
-        edges, before, was = after, was, same(after)
-        if before == was:
-            return edges.select(F.col("u").alias("v"), F.col("v").alias("label")).unionByName(edges.select("v", F.col("v").alias("label")).distinct())
+        after = stored(meet(large, down, "u", counted="n").select(ends).select("e.u", "e.v").filter("u <> v").distinct())
+        discard(edges, around, large, down)
+        edges = after

@@ -387,13 +387,13 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, parts: int) -> DataFram
     """Of candidate pairs (q, c, and c's size n), the links (a, b)."""
     pairs = stored(pairs)
     blocks = F.greatest(F.ceil(F.count("*") / SEARCHED), F.ceil(F.sum("n") / SEARCHED_TOKENS)).cast("int").alias("blocks")
-    sizes = pairs.groupBy("q").agg(blocks)
-    dealt = meet(pairs, sizes, "q").select("q", "c", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"))
+    sizes = stored(pairs.groupBy("q").agg(blocks, F.count("*").alias("asked")))
+    dealt = meet(pairs, sizes, "q", counted="asked").select("q", "c", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"))
     own = sizes.join(texts, sizes.q == texts["class"]).select("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("own"), F.col("q").alias("c"), "packed")
     others = dealt.join(texts, dealt.c == texts["class"]).select("q", "block", F.lit(False).alias("own"), "c", "packed")
     rows = own.unionByName(others).repartition(parts, "q", "block").sortWithinPartitions("q", "block", F.desc("own"))
     links = stored(rows.mapInArrow(partial(_search, k=k), "a long, b long"))
-    discard(pairs)
+    discard(pairs, sizes)
     return links
 
 
