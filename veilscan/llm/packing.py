@@ -89,6 +89,7 @@ def fit(made: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray
     times[same & (times[:, 1] == 0), 0] += 1
     times[same, 2] = 0
     times[made == 0] = 0
+    made = np.where(times > 0, made, 0)
     norm = (times**2 * weights[made]).sum(1)
     enough = STILL * counts.sum() / max(1, (counts > 0).sum())
     for _ in range(ROUNDS):
