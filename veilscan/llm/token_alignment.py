@@ -15,7 +15,8 @@ The pairs are counted by a cogroup of postings:
    Spark's sort, which spills. A task streams them: the heads of an id give its
    counts and their maximum, then each posting gives its documents what the pair
    adds to them. Sums are combined in a buffer of bounded size before they leave.
-4. What documents get is summed by document.
+4. What a task gives to the documents of a chunk is one row; rows are shuffled by chunk
+   and summed by document. There are no more sums than postings.
 
 An id with more than ``Limits.split`` postings is dealt out over several tasks, chunk by
 chunk, and its heads go to each of them; how many, is broadcast for these ids
@@ -47,6 +48,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -329,11 +331,12 @@ def _written(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, limits
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "groups"])
 
 
-GIVEN = pa.schema([("chunk", pa.int64()), ("doc", pa.int32()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
+GIVEN = "chunk long, docs binary, n_best binary, count_sum binary"
+_given = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("n_best", pa.binary()), ("count_sum", pa.binary())])
 
 
 class Given:
-    """What documents get, added up in bounded memory."""
+    """What documents get, added up in bounded memory. It is given on in a row for each chunk."""
 
     def __init__(self, most: int):
         self.most, self.held, self.n = most, [], 0
@@ -351,9 +354,10 @@ class Given:
         order = np.lexsort((doc, chunk))
         chunk, doc = chunk[order], doc[order]
         new = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (doc[1:] != doc[:-1])))
-        made = [chunk[new], doc[new].astype(np.int32), np.add.reduceat(best[order], new), np.add.reduceat(total[order], new)]
-        for at in range(0, len(new), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in made], schema=GIVEN)
+        best, total, chunk, doc = np.add.reduceat(best[order], new), np.add.reduceat(total[order], new), chunk[new], doc[new]
+        first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        ends = np.append(first[1:], len(chunk))
+        yield pa.RecordBatch.from_arrays([pa.array(chunk[first]), _binaries(doc.astype("<u2"), ends), _binaries(best, ends), _binaries(total, ends)], schema=_given)
 
 
 def _numbers(column: pa.Array, dtype: str) -> np.ndarray:
@@ -363,6 +367,38 @@ def _numbers(column: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], dtype, (offsets[-1] - offsets[0]) // size, offsets[0])
 
 
+RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
+
+
+@tidy
+def _sum(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chunk: its documents (docs null), and what they get."""
+    chunk, held, sums = None, [], np.zeros((2, most), np.int64)
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        for own in held:
+            doc = own.column("doc").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(own.column(x) for x in ("doc_id", *_sums, "groups_sha256")), *(pa.array(x[doc]) for x in sums)], ["doc_id", *_sums, "groups_sha256", "n_best", "count_sum"])
+
+    for batch in batches:
+        of = batch.column("chunk").to_numpy()
+        cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else of
+        for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=False):
+            if of[low] != chunk:
+                yield from whole()
+                chunk, held = of[low], []
+                sums[:] = 0
+            part = batch.slice(low, high - low)
+            own = part.column("docs").is_null()
+            held.append(part.filter(own))
+            given = part.filter(pc.invert(own))
+            if given.num_rows:
+                doc = _numbers(given.column("docs"), "<u2")
+                for total, name in zip(sums, ("n_best", "count_sum"), strict=True):
+                    np.add.at(total, doc, _numbers(given.column(name), "<i8"))
+    yield from whole()
+
+
 @tidy
 def _cogroup(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
     """Rows sorted by a and salt, heads (without documents) first. Heads of the last id seen are carried from batch to batch."""
@@ -422,7 +458,7 @@ def pair_counts(posted: DataFrame) -> DataFrame:
 
 
 def contributions(posted: DataFrame, heads: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """chunk, doc, n_best, count_sum: what the pairs of each task's ids add to documents, several rows a document."""
+    """chunk, docs, n_best, count_sum: what the pairs of each task's ids add to documents of a chunk (numbers of 16 and 64 bits), several rows a chunk."""
     of_id = heads.groupBy("a").agg(F.sum("n").alias("n"))
     total = of_id.agg(F.sum("n")).first()[0] or 0
     salts = F.broadcast(of_id.filter(F.col("n") > limits.split).select("a", F.ceil(F.col("n") / limits.split).cast("int").alias("salts")))  # no more rows than A has ids
@@ -430,10 +466,7 @@ def contributions(posted: DataFrame, heads: DataFrame, limits: Limits = Limits()
     mine = heads.join(salts, "a", "left").select("a", F.explode(F.sequence(F.lit(0), parted - 1)).alias("salt"), "b", "n", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("times"))
     theirs = posted.filter("a is not null").join(salts, "a", "left").select("a", F.pmod(F.hash("chunk"), parted).alias("salt"), "b", "n", "chunk", "docs", "times")
     rows = mine.unionByName(theirs).repartition(max(1, math.ceil(total / limits.task)), "a", "salt").sortWithinPartitions("a", "salt", F.col("docs").isNotNull(), "b")
-    return rows.mapInArrow(partial(_cogroup, limits=limits), GIVEN_SQL)
-
-
-GIVEN_SQL = "chunk long, doc int, n_best long, count_sum long"
+    return rows.mapInArrow(partial(_cogroup, limits=limits), GIVEN)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -441,11 +474,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     count_sum (of the pairs' counts, over links), groups_sha256."""
     posted = postings(docs, a_path, b_path, doc_id, text, limits)
     heads = stored(pair_counts(posted))
-    zero = F.lit(0).cast("long")
-    own = posted.filter("a is null").select("chunk", "doc", "doc_id", *_sums, "groups_sha256", zero.alias("n_best"), zero.alias("count_sum"))
+    own = posted.filter("a is null").select("chunk", "doc", "doc_id", *_sums, "groups_sha256")
     both = own.unionByName(contributions(posted, heads, limits), allowMissingColumns=True)
-    # of a document's rows one has its own columns
-    return both.groupBy("chunk", "doc").agg(*(F.max(x).alias(x) for x in ("doc_id", *_sums)), *(F.sum(x).alias(x) for x in ("n_best", "count_sum")), F.max("groups_sha256").alias("groups_sha256")).drop("chunk", "doc")
+    return both.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(partial(_sum, most=limits.chunk), RESULT)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
