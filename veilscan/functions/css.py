@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -164,6 +165,27 @@ def subject(selector: str) -> Subject | None:
     return Subject("".join(parts[""]).lower(), frozenset(parts["."]), (parts["#"] or [""])[-1], steps[-1])
 
 
+class Rules:
+    """Rules by the rarest part of their subjects, so that an element meets only those that it may fit."""
+
+    def __init__(self, rules: list[tuple[Subject, str, bool]]):
+        common = Counter(part for s, *_ in rules for part in self.parts(s))
+        self.by: dict[tuple[str, str], list[tuple[int, tuple[Subject, str, bool]]]] = {}
+        for n, rule in enumerate(rules):
+            key = min(self.parts(rule[0]), key=common.__getitem__, default=("", ""))
+            self.by.setdefault(key, []).append((n, rule))
+
+    @staticmethod
+    def parts(s: Subject) -> list[tuple[str, str]]:
+        return [("#", s.id)] * (s.id != "") + [(".", c) for c in s.classes] + [("", s.tag)] * (s.tag != "")
+
+    def first(self, tag: str, classes: set, id_: str | None) -> tuple[Subject, str, bool] | None:
+        """The rule of least number that fits."""
+        keys = [("", tag), ("", ""), *((".", c) for c in classes)] + [("#", id_)] * (id_ is not None)
+        fits = (next((x for x in self.by.get(key, ()) if x[1][0].fits(tag, classes, id_)), None) for key in dict.fromkeys(keys))
+        return min(filter(None, fits), key=lambda x: x[0], default=(0, None))[1]
+
+
 def hiding_rules(sheet: str) -> Iterator[tuple[Subject, str, bool]]:
     """(subject, how, certain) of the rules of a sheet that hide on a screen, in order. White text under a dark scheme does not."""
 

@@ -88,6 +88,30 @@ def decode_tags(text: Column) -> Column:
     return F.array_join(F.transform(said, lambda cp: F.decode(F.unhex(F.lpad(F.hex(cp - 0xE0000), 2, "0")), "UTF-8")), "")
 
 
+def text_score(text: Column) -> Column:
+    """The share of characters that are readable: ASCII counts 1, other letters, digits, punctuation and spaces 0.9; 0 for an empty text."""
+    rest = F.regexp_replace(text, r"[\t\n\r\x20-\x7e]++", "")
+    others = F.length(rest) - F.length(F.regexp_replace(rest, r"[\p{L}\p{N}\p{P}\p{Zs}]++", ""))
+    return F.when(F.length(text) > 0, (F.length(text) - F.length(rest) + others * 0.9) / F.length(text)).otherwise(0.0)
+
+
+def lossy(raw: Column) -> Column:
+    """Bytes as text: what is no UTF-8 is replaced, one mark of byte order at the start dropped."""
+    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), r"^\x{FEFF}", "")
+
+
+def decode_variation_selectors(cps: Column) -> Column:
+    """Text in the bytes that selectors stand for."""
+    mine = F.filter(cps, lambda cp: cp.between(0xFE00, 0xFE0F) | cp.between(0xE0100, 0xE01EF))
+    return lossy(F.unhex(F.array_join(F.transform(mine, lambda cp: F.lpad(F.hex(cp - F.when(cp < 0xE0000, 0xFE00).otherwise(0xE00F0)), 2, "0")), "")))
+
+
+def octets_of(bits: Column, high_first: bool) -> Column:
+    """Bytes of a text of 0 and 1; a rest of less than eight is dropped."""
+    of = (lambda x: x) if high_first else F.reverse
+    return F.unhex(F.array_join(F.transform(F.regexp_extract_all(bits, F.lit("[01]{8}"), F.lit(0)), lambda x: F.lpad(F.conv(of(x), 2, 16), 2, "0")), ""))
+
+
 def intents(text: Column) -> Column:
     """Labels of the intents of a text, in order."""
     tries = [F.when(text.rlike(intent_pattern(p, "java")), F.lit(label)) for label, p in INTENTS]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import document, native
 from ..functions.dims import SEVERITIES, VERDICT_LINES, VERDICTS
+from .cells import cells, marks, payloads, stacks, views  # noqa: F401  the parts of a scan that windows compute
 
 _finding = pa.struct([
     ("id", pa.string()), ("title", pa.string()), ("severity", pa.int32()), ("kind", pa.string()), ("count", pa.int32()), ("positions", pa.list_(pa.int32())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
@@ -115,55 +116,6 @@ def sanitized(df: DataFrame, key: str = "doc_id", text: str = "text", **options)
     return read.select(key, F.coalesce("_veilscan_read.text", text, F.lit("")).alias("sanitized"), F.coalesce("_veilscan_read.changes", none).alias("changes"), F.coalesce("_veilscan_read.removed", F.lit(0).cast("long")).alias("removed"), F.coalesce("_veilscan_read.clean", F.lit(True)).alias("clean"))
 
 
-def views(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, visible_text (nothing hidden) and human_text (what is excused or directs stays). Only what neighbours may excuse goes to Python."""
-
-    @F.arrow_udf("string")
-    def human(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else document.Reading(t).human_text for t in texts.to_pylist()], pa.string())
-
-    marked = native.count_kind(F.col(text), "variation-selector", "zero-width") > 0
-    shown = human(F.when(marked, F.col(text)))
-    return df.select(key, F.coalesce(native.visible_text(F.col(text)), F.lit("")).alias("visible_text"), F.coalesce(shown, native.human_text(F.col(text)), F.lit("")).alias("human_text"))
-
-
-def _cells(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    names = ("i", "offset", "cp", "ch", "kind", "abbr", "severity", "hidden", "benign", "to", "script", "via")
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string())
-    cell = pa.list_(pa.struct(list(zip(names, kinds, strict=True))))
-    for batch in batches:
-        out = []
-        for t in batch.column(text).to_pylist():
-            read = document.Reading(t)
-            rows = [(m.at, read.unit(m.at), m.cp, chr(m.cp), m.point.kind, m.point.abbr, m.point.severity, m.hidden, m.benign, None, None, None) for m in read.marks]
-            rows += [(i, read.unit(i), ord(read.text[i]), read.text[i], None, None, None, False, False, *c) for i, c in read.lookalikes]
-            out.append([dict(zip(names, r, strict=True)) for r in sorted(rows)])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, cell)], [*batch.schema.names, "cells"])
-
-
-CELL = "struct<i: int, offset: int, cp: int, ch: string, kind: string, abbr: string, severity: int, hidden: boolean, benign: boolean, to: string, script: string, via: string>"
-
-
-def cells(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each character of note or with an ASCII twin: its place in characters and UTF-16 units, what it is, and whether its neighbours excuse it."""
-    base = df.select(key, text).filter(native.suspect(F.col(text)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + f", cells array<{CELL}>"
-    return base.mapInArrow(partial(_cells, text=text), schema).select(key, F.explode("cells").alias("c")).select(key, "c.*")
-
-
-def _marks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("at", pa.int32()), ("context", pa.string()), ("cps", pa.list_(pa.int32())), ("abbrs", pa.list_(pa.string()))]))
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([document.Reading(t).hidden_runs() for t in batch.column(text).to_pylist()], kind)], [*batch.schema.names, "marks"])
-
-
-def marks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each run of hidden characters, hung on the count of visible ones before it."""
-    base = df.select(key, text).filter(native.suspect(F.col(text)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", marks array<struct<at: int, context: string, cps: array<int>, abbrs: array<string>>>"
-    return base.mapInArrow(partial(_marks, text=text), schema).select(key, F.explode("marks").alias("m")).select(key, "m.*")
-
-
 _copy = pa.struct([("hidden", pa.int64()), ("signature", pa.string()), ("payloads", pa.list_(pa.struct([("id", pa.string()), ("decoded", pa.string()), ("scheme", pa.string())])))])
 _difference = pa.list_(pa.struct([("at", pa.int32()), ("context", pa.string()), ("a", pa.list_(pa.string())), ("b", pa.list_(pa.string())), ("diverge_at", pa.int32())]))
 _compared = (("relation", pa.string()), ("same_bytes", pa.bool_()), ("same_visible", pa.bool_()), ("differences", _difference), ("differing_codepoints", pa.int64()), ("copy_a", _copy), ("copy_b", _copy))

@@ -8,6 +8,7 @@ from ..functions import native
 from ..functions.dims import BIDI, CONFUSABLES, HIDDEN_KINDS, HOMOGLYPH_SCRIPTS, INTENTS, LINEBREAK, SPACE, STRIPPABLE_KINDS, ZERO_WIDTH, class_of, intent_pattern, spans_by_kind
 from ..functions.markup import CARRIERS
 from ..functions.urls import LABEL_TLDS, SAME_OWNER, SHARED_SUFFIXES
+from ..operators import cells
 from ..operators import scan as ops
 from ..sources import files, sinks
 from . import expected, injection
@@ -478,3 +479,16 @@ def sarif_results(spark, sf_dir):
 @query(expected.COMMANDS_SQL)
 def annotation_commands(spark, sf_dir):
     return sinks.annotations(_with_path(injected(spark, sf_dir)))
+
+
+# What order says: computed by windows over characters of note, against what is expected of each class.
+
+
+@query(f"{expected.SQL} SELECT doc_id, id, decoded, scheme FROM f WHERE decoded IS NOT NULL AND id IN ('zero-width', 'variation-selectors')")
+def payloads_decoded(spark, sf_dir):
+    return cells.payloads(injected(spark, sf_dir))
+
+
+@query(f"{expected.SQL} SELECT doc_id, severity::INT AS severity, n::INT AS depth, places[1]::INT AS \"offset\" FROM f WHERE id = 'combining-stack'")
+def combining_stacks(spark, sf_dir):
+    return cells.stack_findings(injected(spark, sf_dir))
