@@ -156,13 +156,16 @@ def stack_findings(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def zero_width_readings(df: DataFrame, cps: str) -> DataFrame:
     """``df`` with ``text`` and ``scheme``, the best reading as bits of the zero-width characters in the array ``cps``: of two kinds, one bit each, either way
     round; of three or four, two bits each; the high bit first or the low one. Null if none reads as text. Of equal ones the first is taken."""
-    # a column for each step, so that none is computed again for every character
-    df = df.withColumn("_signs", F.filter(cps, lambda cp: cp.isin(*codec.ZERO_WIDTH_ALPHABET))).withColumn("_alphabet", F.array_sort(F.array_distinct("_signs")))
-    place = F.array_join(F.transform("_signs", lambda cp: F.array_position("_alphabet", cp) - 1), "")
-    df = df.withColumn("_places", F.when(F.size("_signs") >= 8, place))
-    two, four = F.size("_alphabet") == 2, F.size("_alphabet").isin(3, 4)
-    wide = F.array_join(F.transform(F.filter(F.split("_places", ""), lambda x: x != ""), lambda x: F.lpad(F.conv(x, 10, 2), 2, "0")), "")
-    ways = (("binary, {}-first", two, F.col("_places")), ("binary, {}-first, inverted", two, F.translate("_places", "01", "10")), ("base-4, {}-first", four, wide))
+    # letters for the characters, in their order; functions of one character must not look at the row, or it is computed anew for each
+    letter = F.create_map(*(F.lit(x) for pair in zip(sorted(codec.ZERO_WIDTH_ALPHABET), "abcdefg", strict=True) for x in pair))
+    df = df.withColumn("_signs", F.array_join(F.transform(F.filter(cps, lambda cp: cp.isin(*codec.ZERO_WIDTH_ALPHABET)), lambda cp: letter[cp]), ""))
+    df = df.withColumn("_alphabet", F.array_join(F.array_sort(F.array_distinct(F.split("_signs", ""))), ""))
+    df = df.withColumn("_places", F.when(F.length("_signs") >= 8, F.call_function("translate", "_signs", "_alphabet", F.lit("0123"))))
+    two, four = F.length("_alphabet") == 2, F.length("_alphabet").isin(3, 4)
+    wide = F.col("_places")
+    for digit, bits in (("0", "aa"), ("1", "ab"), ("2", "ba"), ("3", "bb")):
+        wide = F.replace(wide, F.lit(digit), F.lit(bits))
+    ways = (("binary, {}-first", two, F.col("_places")), ("binary, {}-first, inverted", two, F.translate("_places", "01", "10")), ("base-4, {}-first", four, F.translate(wide, "ab", "01")))
     names = []
     for scheme, fits, bits in ways:
         for first in ("MSB", "LSB"):

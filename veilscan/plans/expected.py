@@ -206,6 +206,8 @@ _severity = "coalesce(named.severity, CASE WHEN kind = 'noncharacter' THEN 3 WHE
 CELLS_SQL = f"""{_cells} SELECT doc_id, (i - 1)::INT AS i, unit::INT AS "offset", cp::INT AS cp, ch, kind, CASE WHEN kind IS NOT NULL THEN {_abbr} END AS abbr, {_severity}::INT AS severity, coalesce(kind IN {HIDDEN_KINDS}, false) AS hidden,
   coalesce({_benign} AND kind IN ('{ZERO_WIDTH}', 'variation-selector'), false) AS benign, CASE WHEN kind IS NULL THEN twin END AS "to", CASE WHEN kind IS NULL THEN script END AS script, CASE WHEN kind IS NULL THEN via END AS via
   FROM known LEFT JOIN named USING (cp) LEFT JOIN twins USING (cp) WHERE kind IS NOT NULL OR twin IS NOT NULL"""
+#: The cells as the table ``c``.
+CELLS = f"{_cells}, c AS ({CELLS_SQL.removeprefix(_cells)})"
 # runs of hidden characters: gaps and islands, hung on the count of characters before them that are not hidden
 _islands = f"""{_cells}, hid AS (SELECT doc_id, i, cp, {_abbr} AS abbr, i - 1 - (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) AS "at" FROM known LEFT JOIN named USING (cp) WHERE kind IN {HIDDEN_KINDS} AND NOT {_benign}),
 runs AS (SELECT doc_id, "at", string_agg(cp::VARCHAR, ',' ORDER BY i) AS cps, string_agg(abbr, '|' ORDER BY i) AS abbrs, list(cp::BIGINT ORDER BY i) AS points FROM hid GROUP BY doc_id, "at"),

@@ -8,7 +8,7 @@ from ..functions import native
 from ..functions.dims import BIDI, CONFUSABLES, HIDDEN_KINDS, HOMOGLYPH_SCRIPTS, INTENTS, LINEBREAK, SPACE, STRIPPABLE_KINDS, ZERO_WIDTH, class_of, intent_pattern, spans_by_kind
 from ..functions.markup import CARRIERS
 from ..functions.urls import LABEL_TLDS, SAME_OWNER, SHARED_SUFFIXES
-from ..operators import cells
+from ..operators import cells, spans
 from ..operators import scan as ops
 from ..sources import files, sinks
 from . import expected, injection
@@ -492,3 +492,24 @@ def payloads_decoded(spark, sf_dir):
 @query(f"{expected.SQL} SELECT doc_id, severity::INT AS severity, n::INT AS depth, places[1]::INT AS \"offset\" FROM f WHERE id = 'combining-stack'")
 def combining_stacks(spark, sf_dir):
     return cells.stack_findings(injected(spark, sf_dir))
+
+
+@query(f"{expected.SQL} SELECT doc_id, places[1]::INT AS \"offset\", split_part(samples[1], '  [', 1) AS word FROM f WHERE id = 'mixed-script'")
+def words_outside_hosts(spark, sf_dir):
+    """Words of mixed alphabets; those in lookalike hosts, of which the corpus has some, are none."""
+    return spans.mixed_words(injected(spark, sf_dir))
+
+
+_loud_sql = "CASE WHEN kind IS NULL THEN 2.5 WHEN benign THEN 1.6 " + " ".join(f"WHEN kind = '{kind}' THEN {n}" for kind, n in spans.LOUDNESS.items()) + " END"
+
+
+@query(f"""{expected.CELLS}, sized AS (SELECT doc_id, length(text) AS size FROM inj), loud AS (SELECT doc_id, i, cp, ({_loud_sql})::DOUBLE AS priority, least(63, floor(i / (size / 64.0::DOUBLE)))::INT AS bucket FROM c JOIN sized USING (doc_id))
+SELECT doc_id, bucket, i, cp, priority FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, bucket ORDER BY priority DESC, i) AS nth FROM loud) WHERE nth = 1""")
+def spectrum_buckets(spark, sf_dir):
+    return spans.spectrum(injected(spark, sf_dir))
+
+
+@query(f"""{expected.CELLS}, islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, kind, benign ORDER BY i) AS island FROM c WHERE kind IS NOT NULL), runs AS (SELECT doc_id, min(i) AS i, kind, benign, count(*)::INT AS n FROM islands GROUP BY doc_id, kind, benign, island)
+SELECT doc_id, i, kind, benign, n, CASE WHEN n >= 64 AND kind <> 'line-break' THEN 48 ELSE n END::INT AS shown, (n - CASE WHEN n >= 64 AND kind <> 'line-break' THEN 48 ELSE n END)::INT AS folded FROM runs""")
+def folded_runs(spark, sf_dir):
+    return spans.folded(injected(spark, sf_dir))
