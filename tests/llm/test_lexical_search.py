@@ -39,7 +39,7 @@ def _of(df):
 @pytest.fixture(scope="module")
 def tables():
     rng = np.random.default_rng(3)
-    words = [f"w{i}" for i in range(60)] + ["É", "é", "日本", "Ab", "aB"]
+    words = [f"w{i}" for i in range(60)] + ["\u00c9", "\u00e9", "\u65e5\u672c", "Ab", "aB"]
     share = 1 / np.arange(1, len(words) + 1)
     text = lambda n: " ".join(rng.choice(words, n, p=share / share.sum()))
     docs = [(int(i) * 7 % 1000, text(rng.integers(0, 60))) for i in range(400)]

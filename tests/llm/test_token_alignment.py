@@ -14,11 +14,11 @@ TOK = Tokenizer.from_file(A)
 TOK.encode_special_tokens = True
 SP = sentencepiece.SentencePieceProcessor(model_file=B)
 NAMES = {i: name for name, i in TOK.get_vocab(with_added_tokens=False).items()}
-PARTS = ["a", "the", " ", "  ", "\n", "\t", "\r", "　", " ", "é", "ﬁ", "▁", "<0x41>", "<|endoftext|>", "</s>", "'s", "123", "...", "日本", "\U0001f642", "\x1c", "\x85", "​", "word", "\n\n", "  \n ", "a.b", " x"]
+PARTS = ["a", "the", " ", "  ", "\n", "\t", "\r", "\u3000", "\u00a0", "\u00e9", "\ufb01", "\u2581", "<0x41>", "<|endoftext|>", "</s>", "'s", "123", "...", "\u65e5\u672c", "\U0001f642", "\x1c", "\x85", "\u200b", "word", "\n\n", "  \n ", "a.b", " x"]
 
 
 def _b_bytes(i):
-    return bytes([int(SP.id_to_piece(i)[3:5], 16)]) if SP.is_byte(i) else SP.id_to_piece(i).replace("▁", " ").encode()
+    return bytes([int(SP.id_to_piece(i)[3:5], 16)]) if SP.is_byte(i) else SP.id_to_piece(i).replace("\u2581", " ").encode()
 
 
 def brute_groups(text):
@@ -83,7 +83,7 @@ def test_units_give_what_whole_texts_give():
 def rows():
     rng = random.Random(7)
     some = [(i, "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 60)))) for i in range(150)]
-    some += [(None, "null id here"), (3, "again, again"), (3, "again, again"), (200, None), (201, ""), (202, " "), (203, "word " * 30_000), (204, "x" * 50_000), (205, "▁ a"), (206, "a ")]
+    some += [(None, "null id here"), (3, "again, again"), (3, "again, again"), (200, None), (201, ""), (202, " "), (203, "word " * 30_000), (204, "x" * 50_000), (205, "\u2581 a"), (206, "a ")]
     return some + [(300 + i, "hot words of a passage, the hot words.") for i in range(80)]
 
 

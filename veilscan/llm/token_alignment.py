@@ -75,7 +75,7 @@ class Limits(NamedTuple):
 #: Links of a group from which its pairs are told apart before they are written down.
 LARGE = 256
 #: The mark that stands for a space in a piece.
-MARK = "▁"
+MARK = "\u2581"
 _unit = re.compile(r"[ \n]\s*\S*(?:[^\S \n]\s*\S*)*")
 _byte_piece = re.compile("<0x([0-9A-F]{2})>")
 
