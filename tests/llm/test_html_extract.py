@@ -150,3 +150,23 @@ def test_odd_tables(spark):
     assert len(got) == 6 and max(r.n_chars for r in got) == 6 * 50_000 - 1
     assert all(r.text == "" for r in got if r.page_id in (1, 2, 4))
     assert H.main_text(rows.filter("false")).count() == 0
+
+
+SENTENCE = "The harbour was quiet in the early morning and the boats lay still on the water, while the keeper walked along the wall and counted them."
+
+
+@pytest.mark.parametrize("names", [("Home",), ("Home", "About"), ("Home", "About", "News")])
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>", '<div id="content">{}</div>', "<article>{}</article>", "<main>{}</main>"])
+def test_short_menus_go(names, wrap):
+    if len(names) == 1 and wrap == "{}":
+        pytest.skip("one word in a menu right before bare paragraphs is still taken for their first; README says so")
+    article, said = "".join(f"<p>{SENTENCE}</p>" for _ in range(8)), " ".join([SENTENCE] * 8)
+    for start in ("<nav>", '<nav class="menu">'):
+        menu = start + "".join(f"<a href=/{n}>{n}</a>" for n in names) + "</nav>"
+        assert H.extract([menu + wrap.format(article), f"<html><body>{menu}{wrap.format(article)}</body></html>"], H.trained()) == [said] * 2
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>'])
+def test_articles_of_links_stay(wrap):
+    article = "".join(f"<p>See <a href=/{i}>{SENTENCE}</a></p>" for i in range(8))
+    assert H.extract([wrap.format(article)], H.trained()) == [" ".join(["See " + SENTENCE] * 8)]

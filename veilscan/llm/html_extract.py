@@ -38,7 +38,7 @@ from .common import pieces, tidy
 from .html_tree import Tree, parse
 
 #: Generated pages that the model is trained on.
-PAGES = 1200
+PAGES = 1500
 #: Rows of features at a time.
 ROWS = 20_000
 #: Tags and words that are features of their own.
@@ -191,6 +191,10 @@ def extract(pages: list[str | None], model: Boosted) -> list[str]:
     return out
 
 
+#: Characters that a node counts for in training at least, so that short menus are told apart too.
+SHORT = 30
+
+
 def training_rows(seed: int, count: int, **how) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, labels and weights of the nodes with text of generated pages."""
     from .html_pages import MARK, page
@@ -207,7 +211,7 @@ def training_rows(seed: int, count: int, **how) -> tuple[np.ndarray, np.ndarray,
         keep = nodes.own > 0
         rows.append(nodes.rows(0, nodes.n)[keep])
         labels.append(good[keep])
-        weights.append(np.log1p(nodes.own[keep]))
+        weights.append(np.log1p(np.maximum(nodes.own[keep], SHORT)))
     w = np.concatenate(weights)
     return np.concatenate(rows), np.concatenate(labels).astype(float), w / w.mean()
 

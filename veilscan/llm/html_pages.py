@@ -24,6 +24,8 @@ class Maker:
     def __init__(self, seed: int, marked: bool):
         self.r, self.marked, self.truth = random.Random(seed), marked, []
         self.ends, self.odd = self.r.choice((0.05, 0.15, 0.3)), self.r.choice((0, 0, 0, 0.2))
+        #: How many of the article's texts are a link for the most part.
+        self.linked = self.r.choice((0,) * 9 + (0.5, 1, 1))
 
     def chance(self, p: float) -> bool:
         return self.r.random() < p
@@ -47,7 +49,11 @@ class Maker:
         text = self.words(low, high)
         self.truth.append(text)
         out = escaping.escape(text, quote=False).split(" ")
-        if self.chance(0.2):
+        if self.chance(self.linked):
+            at = self.r.randint(0, min(2, len(out) - 1))
+            out[at], out[-1] = f"<a href=/{self.word()}>{out[at]}", out[-1] + ("</a>" if at < len(out) - 1 else "")
+            out[-1] += "</a>" if at == len(out) - 1 else ""
+        elif self.chance(0.2):
             at, tag = self.r.randrange(len(out)), self.r.choice(("b", "em", "a href=/x", "span", "code", "i"))
             out[at] = f"<{tag}>{out[at]}</{tag.split()[0]}>"
         return (MARK if self.marked else "") + " ".join(out)
@@ -92,12 +98,16 @@ class Maker:
     # the furniture
 
     def links(self, low: int, high: int) -> str:
-        one = lambda: f'<a href="/{self.word()}">{self.words(1, 3)}</a>'
+        most = self.r.choice((1, 3, 3))
+        one = lambda: f'<a href="/{self.word()}">{self.words(1, most)}</a>'
         n = self.r.randint(low, high)
-        return "<ul>" + "".join(f"<li>{one()}</li>" for _ in range(n)) + "</ul>" if self.chance(0.7) else self.r.choice((" | ", " ", " &middot; ")).join(one() for _ in range(n))
+        return "<ul>" + "".join(f"<li>{one()}</li>" for _ in range(n)) + "</ul>" if self.chance(0.6) else self.r.choice((" | ", " ", " &middot; ", "", "")).join(one() for _ in range(n))
 
     def menu(self, _: bool = False) -> str:
-        inside = self.links(2, 10)
+        if self.chance(0.4):  # a few words side by side
+            inside = self.r.choice(("", "", " ", " | ")).join(f"<a href=/{self.word()}>{self.word().capitalize()}</a>" for _ in range(self.r.choice((1, 1, 2, 3))))
+            return f"<nav{self.name('menu', 'navbar') if self.chance(0.4) else ''}>{inside}</nav>"
+        inside = self.links(1, 3) if self.chance(0.2) else self.links(2, 10)
         return f"<nav{self.name('menu', 'navbar')}>{inside}</nav>" if self.chance(0.6) else f"<div{self.name('menu', 'nav', 'breadcrumbs', 'main-nav', 'topNav', 'pager')}>{inside}</div>"
 
     def advert(self, inner: bool = False) -> str:
@@ -206,6 +216,8 @@ def page(seed: int, marked: bool = False, layouts: dict[str, Callable[[Maker], s
     fragment = m.chance(0.8 if kind == "text" else 0.2)
     crowded = m.r.choice((0, 0.3, 0.6, 0.6, 0.9)) if kind != "text" else 0
     before = [f() for f in (m.header, m.menu, m.notice, m.advert, m.sidebar, m.form) if m.chance(crowded * 0.7)]
+    if kind not in ("text", "none") and m.chance(0.3):
+        before.append(m.menu())
     after = [f() for f in (m.sidebar, m.advert, m.comments, m.form, m.menu) if m.chance(crowded * 0.5)] + ([m.footer()] if m.chance(crowded) else [])
     between = lambda: m.r.choice(("", "", "\n", m.unseen()))
     inside = between().join(before) + between() + layouts[kind](m) + between() + between().join(after)
