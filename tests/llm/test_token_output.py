@@ -69,3 +69,17 @@ def test_shuffled_reads_and_damage(spark, tmp_path):
 
 def test_empty_table(spark):
     assert T.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_shards_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """As many shards as bytes ask for, whatever Spark's setting; rows of one id in several of them stay in order."""
+    rows = [(7, f"{i:03d} " + "word " * 50) for i in range(200)] + [(8, None), (6, "first")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(T, "SHARD_BYTES", 4000)
+    manifest = T.write(docs, PATH, f"file://{tmp_path}/many")
+    assert len(manifest) > 8
+    assert max(x["n_records"] for x in manifest) < 150
+    texts = sorted(rows, key=lambda r: (r[0], r[1] or ""))
+    back = [(key, ids.tolist()) for x in manifest for key, ids in T.ShardReader(x["data"], x["index"])]
+    assert back == [(key, ids) for (key, _), ids in zip(texts, brute([t for _, t in texts]), strict=True)]
+    assert [len(T.ShardReader(x["data"], x["index"])) for x in manifest] == [x["n_records"] for x in manifest]

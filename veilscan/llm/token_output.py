@@ -11,7 +11,9 @@ that a reader can fetch any record, in any order, with one seek. A checksum is
 masked by rotating it right by 15 bits and adding a constant, so that checksums
 of data that itself holds checksums stay sound.
 
-Shards are ranges of document ids in ascending order. A task writes files under
+Shards are ranges of document ids in ascending order, of about ``SHARD_BYTES`` of text
+each (or as many as Spark shuffles into, if that is more); records and their index are
+written as they come, so a task holds no more than a slice of its rows. A task writes files under
 a name of its own and reports them only when they are whole, so a task that is
 run again leaves the first files unread.
 
@@ -23,6 +25,7 @@ table gives no shard and no rows. Other columns are not read.
 from __future__ import annotations
 
 import functools
+import math
 import os
 import re
 import struct
@@ -44,6 +47,8 @@ from .common import own_folder, pieces, tidy
 #: Fixed values of the frame format.
 MASK_DELTA = 0xA282EAD8
 LENGTH, CHECK, HEAD, INDEX = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<?q"), struct.Struct("<QQ")
+#: Bytes of text of a shard, so that shards and not tasks grow with a table; and the letters by which rows of one id are told apart when ranges are cut.
+SHARD_BYTES, CUT = 256 << 20, 64
 #: Words whose ids a worker remembers.
 REMEMBERED = 600_000
 
@@ -143,33 +148,35 @@ MANIFEST = pa.schema([("shard", pa.int64()), ("data", pa.string()), ("index", pa
 
 @tidy
 def _write_shard(batches: Iterator[pa.RecordBatch], tokenizer: str, target: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    enc, out, offsets, at, tokens = None, None, [], 0, 0
+    enc, out, index, at, records, tokens = None, None, None, 0, 0, 0
     name = f"{target}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
     for batch in pieces(batches, "text"):
         if out is None:
             enc = encoder(tokenizer)
             where, path = _open(name)
             where.create_dir(os.path.dirname(path), recursive=True)
-            out = where.open_output_stream(f"{path}.rec", compression=None, buffer_size=1 << 20)
+            out, index = (where.open_output_stream(f"{path}.{kind}", compression=None, buffer_size=1 << 20) for kind in ("rec", "idx"))
         for key, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text"), end_id), strict=True):
             data = frame(HEAD.pack(key is not None, key or 0) + ids)
             out.write(data)
-            offsets.append((at, len(data)))
+            index.write(INDEX.pack(at, len(data)))
             at += len(data)
+            records += 1
             tokens += len(ids) // enc.width.itemsize
     if out is not None:
         out.close()
-        with where.open_output_stream(f"{path}.idx", compression=None) as index:
-            index.write(b"".join(INDEX.pack(*x) for x in offsets))
-        yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "data": f"{name}.rec", "index": f"{name}.idx", "n_records": len(offsets), "n_tokens": tokens}], MANIFEST)
+        index.close()
+        yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "data": f"{name}.rec", "index": f"{name}.idx", "n_records": records, "n_tokens": tokens}], MANIFEST)
 
 
 def write(docs: DataFrame, tokenizer: str, target: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> list[dict]:
     """Encode every text and write the shards to the folder ``target``, which all executors reach; returns a manifest entry for each shard, in order."""
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    done = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(partial(_write_shard, tokenizer=tokenizer, target=target, end_id=end_id), "shard long, data string, index string, n_records long, n_tokens long")
+    if shards is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
+        shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / SHARD_BYTES))
+    # rows that repeat an id may be cut apart by their texts, which is the order of records too
+    done = rows.repartitionByRange(shards, "doc_id", F.left("text", F.lit(CUT))).sortWithinPartitions("doc_id", "text").mapInArrow(partial(_write_shard, tokenizer=tokenizer, target=target, end_id=end_id), "shard long, data string, index string, n_records long, n_tokens long")
     return [r.asDict() for r in sorted(done.collect(), key=lambda r: r.shard)]  # a row for each shard
 
 
