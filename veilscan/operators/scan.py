@@ -3,7 +3,8 @@
 A native prefilter parts the texts that cannot hold a finding from the others;
 only the others leave the JVM, in Arrow batches, so that neither a shuffle nor
 Python touches plain text. Where the text itself is not returned, one pass over
-the source does it. All functions are row by row and legal on streams.
+the source does it. All functions defined here are row by row and legal on
+streams; those of ``cells`` sort a text's characters by windows and are not.
 """
 
 from __future__ import annotations
