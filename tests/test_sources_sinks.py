@@ -3,6 +3,7 @@
 import json
 import os
 import subprocess
+import time
 
 from pyspark.sql import functions as F
 
@@ -72,8 +73,10 @@ def docs(spark):
     return spark.createDataFrame(rows, "path string, text string")
 
 
-def test_sarif(spark):
-    log = sinks.sarif_log(docs(spark), version="9.9.9")
+def test_sarif(spark, tmp_path):
+    sinks.write_sarif(docs(spark), str(tmp_path / "log.sarif"), version="9.9.9")
+    assert os.listdir(tmp_path) == ["log.sarif"]
+    log = json.loads((tmp_path / "log.sarif").read_text())
     run = log["runs"][0]
     assert log["version"] == "2.1.0" and run["columnKind"] == "utf16CodeUnits" and run["tool"]["driver"]["version"] == "9.9.9"
     by = {r["ruleId"]: r for r in run["results"]}
@@ -85,19 +88,116 @@ def test_sarif(spark):
     assert rules.keys() == by.keys() and float(rules["tags-block"]["properties"]["security-severity"]) >= 7 and rules["tags-block"]["name"] == "TagsBlock"
 
 
+def test_reports_of_many_tasks(spark, tmp_path):
+    """Parts join in order, rules come from the first finding by path and rank, nothing else stays in the folder."""
+    rows = spark.createDataFrame([(f"{i:03d}.txt", "a\u200bb" if i % 2 else "x" + TAGS if i > 20 else None if i % 4 else "") for i in range(60)], "path string, text string").repartition(7)
+    target = str(tmp_path / "log.sarif")
+    for _ in range(2):  # the second replaces the first
+        sinks.write_sarif(rows, target)
+        assert os.listdir(tmp_path) == ["log.sarif"]
+    run = json.loads(open(target).read())["runs"][0]
+    places = [r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in run["results"]]
+    assert places == sorted(places) and len(places) == 30 + 19
+    assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["zero-width", "tags-block"]
+    assert {r.id: (r.path, r["rank"]) for r in sinks.sarif_rules(rows).collect()} == {"zero-width": ("001.txt", 0), "tags-block": ("022.txt", 0)}
+    logs = tmp_path / "logs"
+    sinks.write_sarif(rows, str(logs), layout="folder")
+    parts = [json.loads(p.read_text())["runs"][0] for p in sorted(logs.iterdir())]
+    assert [r for p in parts for r in p["results"]] == run["results"] and all(p["tool"] == run["tool"] for p in parts)
+    for n, some in enumerate((rows.filter("false"), rows.filter("text is null"))):
+        sinks.write_sarif(some, str(tmp_path / f"e{n}"))
+        assert json.loads((tmp_path / f"e{n}").read_text())["runs"][0]["results"] == []
+    assert json_report(rows.filter("false"), tmp_path) == {"version": 1, "files": [], "skipped": [], "worst": "CLEAN", "gitignored": 0}
+
+
+def test_attempts_that_fail_leave_nothing(spark, tmp_path):
+    """A task that ran twice counts once, and a job that fails keeps the report that was there."""
+    from veilscan.sources import reports
+
+    (tmp_path / "log").write_text("before")
+    bad = docs(spark).withColumn("text", F.when(F.col("path") == "clean.txt", F.raise_error(F.lit("stop"))).otherwise(F.col("text")))
+    try:
+        sinks.write_sarif(bad, str(tmp_path / "log"))
+    except Exception as e:
+        assert "stop" in str(e)
+    else:
+        raise AssertionError
+    assert os.listdir(tmp_path) == ["log"] and (tmp_path / "log").read_text() == "before"
+    writer = reports.ReportWriter({"path": str(tmp_path / "log"), "kind": "json", "labels": '["CLEAN"]'})
+    os.makedirs(writer.parts)
+    for name, text in (("lost", "not json"), ("kept", "{}")):
+        (tmp_path / os.path.basename(writer.parts) / name).write_text(text)
+    writer.commit([reports.Written(3, {"files": "kept"}, {"files": 1}), None])
+    assert json.loads((tmp_path / "log").read_text())["files"] == [{}] and os.listdir(tmp_path) == ["log"]
+
+
+def test_folders_are_dealt_to_tasks(spark, tmp_path):
+    from veilscan.sources import folders
+
+    for i in range(30):
+        write(tmp_path, f"{'abc'[i % 3]}/{'xy'[i % 2]}/d{i}/f{i}.md", "t")
+    write(tmp_path, "top.md", "t")
+    write(tmp_path, "a/node_modules/no.md", "t")
+    os.symlink(tmp_path / "top.md", tmp_path / "b" / "link.md")
+    (tmp_path / "odd").mkdir()
+    with open(os.fsencode(str(tmp_path / "odd")) + b"/\xff.md", "w"):
+        pass
+    for tasks in ("1", "4", "100"):
+        walk = folders.Walk({"roots": json.dumps([str(tmp_path)]), "cwd": "/", "tasks": tasks, "gitignore": "false"})
+        parts = walk.split()
+        rows = [r for p in parts for b in walk.rows(p) for r in b.to_pylist()]
+        assert len(parts) <= int(tasks) and len(rows) == len({r["path"] for r in rows}) == 32
+        assert [os.path.basename(r["path"]) for r in rows if r["reason"]] == ["\\xff.md"]
+    assert files.listed(spark, [str(tmp_path)], gitignore=False).count() == 32
+    read, skipped = files.files(spark, [str(tmp_path / "none"), str(tmp_path / "top.md")])
+    assert read.count() == 1 and skipped.count() == 0
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert files.files(spark, [str(empty)])[0].count() == 0
+
+
+def test_stream_of_files(spark, tmp_path, monkeypatch):
+    """Each batch has the files that changed since the last one, those moved in included."""
+    from veilscan.sources import folders
+
+    monkeypatch.setattr(folders, "SETTLE", 0)
+    seen = []
+    for name in ("one", "two", None):
+        if name:
+            old = write(tmp_path, f"elsewhere/{name}.md", name)
+            os.utime(old, (1, 1))
+            (tmp_path / "in").mkdir(exist_ok=True)
+            os.rename(old, tmp_path / "in" / f"{name}.md")
+        time.sleep(2.5)
+        live = files.file_stream(spark, [str(tmp_path / "in")], gitignore=False).select("text")
+        live.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(60)
+        seen.append(sorted(r.text for r in spark.read.schema("text string").parquet(str(tmp_path / "out")).collect()))
+    assert seen == [["one"], ["one", "two"], ["one", "two"]]
+
+
+def test_summary(spark):
+    assert ops.summary(docs(spark)).first()[:] == (4, 3, 3, len(TAGS) + 1, 4)
+    assert ops.summary(docs(spark).filter("false")).first()[:] == (0, 0, 0, 0, -1)
+
+
 def test_annotations(spark):
     got = {(r.path, r["rank"]): r.command for r in sinks.annotations(docs(spark)).collect()}
     assert got["src/x.js", 0].startswith("::error file=src/x.js,line=3,col=8,title=veilscan CRITICAL%3A tags-block::")
     assert got["b/c,d.md", 0].startswith("::notice file=b/c%2Cd.md,line=1,col=5,title=veilscan LOW%3A typographic-punctuation::") and "\n" not in got["b/c,d.md", 0]
 
 
-def test_json_report(spark):
-    report = sinks.json_report(docs(spark), spark.createDataFrame([("big.txt", "larger than 8 MB"), ("x", "git-ignored")], "path string, reason string"))
+def json_report(files, path, *args, **options):
+    sinks.write_json(files, str(path / "report.json"), *args, **options)
+    return json.loads((path / "report.json").read_text())
+
+
+def test_json_report(spark, tmp_path):
+    report = json_report(docs(spark), tmp_path, spark.createDataFrame([("big.txt", "larger than 8 MB"), ("x", "git-ignored")], "path string, reason string"))
     assert report["version"] == 1 and report["worst"] == "CRITICAL" and report["skipped"] == [{"path": "big.txt", "reason": "larger than 8 MB"}] and report["gitignored"] == 1
     by = {f["path"]: f for f in report["files"]}
     assert by["clean.txt"]["verdict"] == "CLEAN" and by["clean.txt"]["findings"] == [] and by["src/x.js"]["findings"][0]["intents"] == ["instruction override"]
     assert by["src/x.js"]["stats"].keys() == {"codepoints", "units", "bytes", "visible", "hidden", "benignHidden", "confusables", "findings"}
-    assert len(sinks.json_report(docs(spark), all_files=False)["files"]) == 3
+    assert len(json_report(docs(spark), tmp_path, all_files=False)["files"]) == 3
     many = spark.createDataFrame([("m", "​" * 500)], "path string, text string")
     assert len(json.loads(sinks.json_rows(many).first().json)["findings"][0]["positions"]) == 200
     pair = spark.createDataFrame([("a​b", "ab")], "text_a string, text_b string")

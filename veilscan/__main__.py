@@ -7,8 +7,8 @@ marked), 2 for wrong usage, else 0.
 from __future__ import annotations
 
 import argparse
-import json
 import os
+import shutil
 import sys
 
 from . import __version__
@@ -55,8 +55,10 @@ def _session():
 
 def main(args: list[str] | None = None, spark=None) -> int:
     a = _arguments(args)
+    from pyspark.sql import functions as F
+
     from .operators import scan as ops
-    from .sources import files, sinks
+    from .sources import files, reports, sinks
 
     spark = spark or _session()
     if a.compare:
@@ -74,33 +76,33 @@ def main(args: list[str] | None = None, spark=None) -> int:
     read = read.cache()  # files are few here, and are read once
     if a.fix:
         options = {"normalize": a.normalize, "fold_confusables": a.fold_confusables, "normalize_spaces": not a.keep_spaces, "strip_ansi": not a.keep_ansi}
-        done, refused = sinks.fix(read, (lambda p: files.differs_from_index(os.getcwd(), p)) if a.staged else (lambda p: False), **options)
-        for what, paths in (("cleaned", done), ("left alone, as the working copy differs from the index", refused)):
-            for path in paths:
-                print(f"{what}: {sinks.safe_path(path)}", file=sys.stderr)
-    worst = ops.worst(read, ignore=ignore)
-    if a.sarif:
-        text = json.dumps(sinks.sarif_log(read, ignore=ignore, version=__version__), indent=2)
-        if a.sarif == "-":
-            print(text)
+        here = os.getcwd()
+        done = sinks.fix(read, (lambda p: files.differs_from_index(here, p)) if a.staged else (lambda p: False), **options)
+        for row in done.orderBy("refused", "path").toLocalIterator():
+            print(f"{'left alone, as the working copy differs from the index' if row.refused else 'cleaned'}: {sinks.safe_path(row.path)}", file=sys.stderr)
+    total = ops.summary(read, ignore=ignore).first()
+    if a.sarif or a.json:
+        # what goes to standard output is written by the tasks, too, and copied
+        to_file = a.sarif not in (None, "-")
+        target = os.path.abspath(a.sarif) if to_file else f"{reports.shared_folder(spark)}/report"
+        if a.sarif:
+            sinks.write_sarif(read, target, ignore=ignore, version=__version__)
         else:
-            with open(a.sarif, "w") as f:
-                f.write(text)
-    elif a.json:
-        print(json.dumps(sinks.json_report(read, skipped, ignore=ignore, all_files=a.all), indent=2))
+            sinks.write_json(read, target, skipped, ignore=ignore, all_files=a.all)
+        if not to_file:
+            with open(target, encoding="utf-8") as f:
+                shutil.copyfileobj(f, sys.stdout)
     else:
-        flagged = 0
-        for row in ops.scan(read.select("path", "text"), ignore=ignore).orderBy("path").toLocalIterator():
-            flagged += row.severity >= 0
-            if row.severity >= 0 or a.all:
-                print(sinks.terminal(row, row.path))
+        rows = ops.scan(read.select("path", "text"), ignore=ignore)
+        for row in rows.filter(F.lit(a.all) | (F.col("severity") >= 0)).drop("text").orderBy("path").toLocalIterator():
+            print(sinks.terminal(row, row.path))
         if a.annotations:
             for row in sinks.annotations(read, ignore=ignore).orderBy("path", "rank").toLocalIterator():
                 print(row.command)
-        print(f"{read.count()} files scanned, {flagged} with findings")
+        print(f"{total.n_texts} files scanned, {total.n_flagged} with findings")
     for row in skipped.orderBy("path").toLocalIterator() if skipped is not None else ():
         print(f"not scanned ({row.reason}): {sinks.safe_path(row.path)}", file=sys.stderr)
-    return sinks.exit_code(worst, a.fail_on, a.sarif is not None)
+    return sinks.exit_code(total.worst, a.fail_on, a.sarif is not None)
 
 
 if __name__ == "__main__":

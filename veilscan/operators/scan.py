@@ -100,6 +100,13 @@ def worst(df: DataFrame, text: str = "text", ignore: tuple[str, ...] = ()) -> in
     return scan_keys(df, text=text, ignore=ignore).agg(F.max("severity")).first()[0]
 
 
+def summary(df: DataFrame, text: str = "text", ignore: tuple[str, ...] = ()) -> DataFrame:
+    """One row: texts, those with findings, findings, hidden characters, and the worst severity (-1 for none, as for an empty table)."""
+    read = scan_keys(df, text=text, ignore=ignore)
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return read.agg(F.count("*").alias("n_texts"), F.count_if(F.col("severity") >= 0).alias("n_flagged"), n(F.size("findings")).alias("n_findings"), n("hidden").alias("hidden"), F.coalesce(F.max("severity"), F.lit(-1)).alias("worst"))
+
+
 def gate(df: DataFrame, text: str = "text", fail_on: str = "HIGH", ignore: tuple[str, ...] = ()) -> bool:
     """Whether some text is at least as severe as ``fail_on``."""
     found = worst(df, text, ignore)
@@ -110,11 +117,12 @@ _cleaned = pa.struct([("text", pa.string()), ("changes", pa.list_(pa.struct([("l
 CLEANED = "text string, changes array<struct<label: string, count: bigint>>, removed long, clean boolean"
 
 
-def sanitized(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """key, sanitized, changes (label, count), removed, clean; options as of ``document.sanitize``."""
-    read = df.select(key, text, _of_suspects(text, lambda t: document.sanitize(t, **options), CLEANED, _cleaned).alias("_veilscan_read"))
+def sanitized(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] | None = None, **options) -> DataFrame:
+    """key, sanitized, changes (label, count), removed, clean; with ``keep`` the text and the columns it names, too; options as of ``document.sanitize``."""
+    kept = () if keep is None else (text, *keep)
+    read = df.select(key, text, *(keep or ()), _of_suspects(text, lambda t: document.sanitize(t, **options), CLEANED, _cleaned).alias("_veilscan_read"))
     none = F.array().cast("array<struct<label: string, count: bigint>>")
-    return read.select(key, F.coalesce("_veilscan_read.text", text, F.lit("")).alias("sanitized"), F.coalesce("_veilscan_read.changes", none).alias("changes"), F.coalesce("_veilscan_read.removed", F.lit(0).cast("long")).alias("removed"), F.coalesce("_veilscan_read.clean", F.lit(True)).alias("clean"))
+    return read.select(key, *kept, F.coalesce("_veilscan_read.text", text, F.lit("")).alias("sanitized"), F.coalesce("_veilscan_read.changes", none).alias("changes"), F.coalesce("_veilscan_read.removed", F.lit(0).cast("long")).alias("removed"), F.coalesce("_veilscan_read.clean", F.lit(True)).alias("clean"))
 
 
 _copy = pa.struct([("hidden", pa.int64()), ("signature", pa.string()), ("payloads", pa.list_(pa.struct([("id", pa.string()), ("decoded", pa.string()), ("scheme", pa.string())])))])

@@ -10,7 +10,7 @@ from ..functions.markup import CARRIERS
 from ..functions.urls import LABEL_TLDS, SAME_OWNER, SHARED_SUFFIXES
 from ..operators import cells, spans
 from ..operators import scan as ops
-from ..sources import files, sinks
+from ..sources import files, reports, sinks
 from . import expected, injection
 from .injection import injected
 
@@ -22,7 +22,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql if sql.lstrip().startswith(("WITH", "SELECT page_id, -1", "SELECT conv_id")) else f"{injection.SQL} {sql}"
+            ORACLES[f.__name__] = sql if "WITH inj AS" in sql or sql.lstrip().startswith(("WITH", "SELECT page_id, -1", "SELECT conv_id")) else f"{injection.SQL} {sql}"
         return f
 
     return add
@@ -481,6 +481,44 @@ def annotation_commands(spark, sf_dir):
     return sinks.annotations(_with_path(injected(spark, sf_dir)))
 
 
+@query(f"SELECT id, path, rank, level FROM ({expected.SARIF_SQL}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY path, rank) = 1")
+def sarif_rules(spark, sf_dir):
+    """The first finding of each id, by path and rank, which a log's rule is made from."""
+    return sinks.sarif_rules(_with_path(injected(spark, sf_dir))).select("id", "path", "rank", "level")
+
+
+@query(f"SELECT path, id, level, line, \"column\", message FROM ({expected.SARIF_SQL})")
+def sarif_log_results(spark, sf_dir):
+    """The results as the logs hold them that tasks have written, read back line by line."""
+    target = f"{reports.shared_folder(spark)}/logs"
+    sinks.write_sarif(_with_path(injected(spark, sf_dir)), target, layout="folder")
+    lines = spark.read.text(f"file://{target}").filter(F.startswith("value", F.lit('{"ruleId"')))
+    schema = "ruleId string, level string, message struct<text: string>, locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int, startColumn: int>>>>"
+    place = "r.locations[0].physicalLocation"
+    result = lines.select(F.from_json(F.rtrim("value", F.lit(",")), schema).alias("r"))
+    return result.selectExpr(f"{place}.artifactLocation.uri path", "r.ruleId id", "r.level", f"{place}.region.startLine line", f"{place}.region.startColumn column", "r.message.text message")
+
+
+@query(f"{expected.VERDICTS_CTE} SELECT count(*) AS n_texts, count(*) FILTER (WHERE severity >= 0) AS n_flagged, sum(n_findings)::BIGINT AS n_findings, sum(hidden)::BIGINT AS hidden, max(severity)::INT AS worst FROM v")
+def corpus_summary(spark, sf_dir):
+    return ops.summary(injected(spark, sf_dir))
+
+
+_utf16_bytes = "(2 + 2 * (length(text) + length(text) - length(regexp_replace(text, '[\\x{10000}-\\x{10FFFF}]', '', 'g'))))"
+
+
+@query(f"""SELECT doc_id, coalesce(lang, 'none') AS folder, CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-16le' ELSE 'utf-16be' END AS encoding,
+  (CASE doc_id % 3 WHEN 0 THEN strlen(text) ELSE {_utf16_bytes} END)::BIGINT AS bytes, md5(text) AS text_md5 FROM inj WHERE (CASE doc_id % 3 WHEN 0 THEN strlen(text) ELSE {_utf16_bytes} END) <= {files.MOST_BYTES}""")
+def files_read_back(spark, sf_dir):
+    """Each text as a file, in a folder of its language and in one of three encodings, found by the folder source and decoded; files of more than 8 MB are not read."""
+    root = reports.shared_folder(spark)
+    d = injected(spark, sf_dir).withColumns({"encoding": F.get(F.array(*map(F.lit, ("utf-8", "utf-16le", "utf-16be"))), (F.col("doc_id") % 3).cast("int")), "path": F.concat_ws("/", F.lit(root), F.coalesce("lang", F.lit("none")), F.concat("doc_id", F.lit(".txt")))})
+    sinks.write_files(d)
+    read, _ = files.files(spark, [root], gitignore=False)
+    part = lambda n: F.element_at(F.split("path", "/"), n)
+    return read.select(F.replace(part(-1), F.lit(".txt")).cast("long").alias("doc_id"), part(-2).alias("folder"), "encoding", F.octet_length("content").cast("long").alias("bytes"), F.md5("text").alias("text_md5"))
+
+
 # What order says: computed by windows over characters of note, against what is expected of each class.
 
 

@@ -1,16 +1,20 @@
-"""Files as a table: a walk on the driver, bytes read and decoded by the executors."""
+"""Files as a table: folders listed, and bytes read and decoded, by the executors."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import subprocess
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import folders
+
 #: What is read by name, by ending, what is never walked into, and agents' own files.
 NAMES = frozenset("CLAUDE.md AGENTS.md GEMINI.md SKILL.md README.md Dockerfile Containerfile Makefile Jenkinsfile Procfile Vagrantfile Gemfile Rakefile Brewfile CODEOWNERS LICENSE .cursorrules .windsurfrules .clinerules .roorules .goosehints .gitattributes .gitignore .gitmodules .npmrc .yarnrc .editorconfig .env .envrc".split())
 ENDINGS = frozenset(
@@ -32,35 +36,12 @@ def is_agent_file(path: str) -> bool:
     return name in AGENT_FILES or name.endswith(".mdc")
 
 
-def git_ignored(folder: str) -> set[str]:
-    """Untracked files that the repository ignores, as absolute paths; none outside a repository."""
-    run = subprocess.run(["git", "-C", folder, "ls-files", "-z", "--others", "--ignored", "--exclude-standard"], capture_output=True)
+def git_ignored(folder: str, deep: bool = True) -> set[str]:
+    """Untracked files that the repository ignores, in a folder or all below it, as absolute paths; none outside a repository."""
+    run = subprocess.run(["git", "-C", folder, "ls-files", "-z", "--others", "--ignored", "--exclude-standard", *(() if deep else ("--", ":(glob)*"))], capture_output=True)
     return {os.path.abspath(os.path.join(folder, p)) for p in run.stdout.decode("utf-8", "surrogateescape").split("\0") if p} if run.returncode == 0 else set()
 
 
-def walk(roots: list[str], exclude: list[str] = (), gitignore: bool = True) -> Iterator[tuple[str, int, str | None]]:
-    """(path, bytes, reason it is skipped for or null) of each file; a root that is a file is read whatever its name."""
-    excluded = lambda p: any(p == x or p.startswith(x.rstrip("/") + "/") or os.path.relpath(p) == x or os.path.relpath(p).startswith(x.rstrip("/") + "/") for x in exclude)
-
-    def entry(path: str, ignored: set[str]) -> tuple[str, int, str | None]:
-        size = os.path.getsize(path)
-        reason = "larger than 8 MB" if size > MOST_BYTES else "git-ignored" if os.path.abspath(path) in ignored and not is_agent_file(path) else None
-        return path, size, reason
-
-    for root in roots:
-        if os.path.isfile(root):
-            if not excluded(root):
-                yield entry(root, set())
-            continue
-        ignored = git_ignored(root) if gitignore else set()
-        for folder, dirs, names in os.walk(root):
-            dirs[:] = sorted(d for d in dirs if d not in SKIPPED_DIRS and not excluded(os.path.join(folder, d)))
-            for name in sorted(names):
-                path = os.path.join(folder, name)
-                if is_readable(path) and not os.path.islink(path) and not excluded(path):
-                    yield entry(path, ignored)
-
-
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column("path").to_pylist():
@@ -96,32 +77,58 @@ def decoded(files: DataFrame) -> DataFrame:
     return narrow.unionByName(wide)
 
 
+def _options(spark: SparkSession, roots: list[str], exclude: list[str], gitignore: bool) -> dict[str, str]:
+    return {"roots": json.dumps(list(roots)), "exclude": json.dumps(list(exclude)), "gitignore": str(bool(gitignore)).lower(), "cwd": os.getcwd(), "tasks": str(spark.sparkContext.defaultParallelism)}
+
+
+def listed(spark: SparkSession, roots: list[str], exclude: list[str] = (), gitignore: bool = True) -> DataFrame:
+    """path, size, changed and the reason it is skipped for, of each file of the given kinds; a root that is a file is listed whatever its name."""
+    spark.dataSource.register(folders.FolderSource)
+    return spark.read.format(folders.NAME).options(**_options(spark, roots, exclude, gitignore)).load()
+
+
+def _loaded(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """Read in other tasks than listed, so that one large folder is read by all."""
+    return decoded(paths.select("path").repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(_load, "path string, content binary"))
+
+
 def files(spark: SparkSession, roots: list[str], exclude: list[str] = (), gitignore: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(read files as path, content, encoding, text; skipped files as path, reason). Executors open the paths, so they share the folder."""
-    listed = list(walk(roots, exclude, gitignore))
-    paths = spark.createDataFrame([(p,) for p, _, why in listed if why is None], "path string")
-    n = max(1, min(len(listed), spark.sparkContext.defaultParallelism * 4))
-    loaded = decoded(paths.repartition(n).mapInArrow(_load, "path string, content binary"))
-    skipped = spark.createDataFrame([(p, why) for p, _, why in listed if why], "path string, reason string")
+    """(read files as path, content, encoding, text; skipped files as path, reason). Executors list and open the paths, so they share the folder."""
+    found = listed(spark, roots, exclude, gitignore)
+    loaded = _loaded(spark, found.filter("reason is null"))
+    skipped = found.filter("reason is not null").select("path", "reason")
+    gone = loaded.filter("content is null").select("path", F.lit("unreadable").alias("reason"))
     binary = loaded.filter("encoding = 'binary'").select("path", F.lit("binary").alias("reason"))
-    return loaded.filter("encoding <> 'binary'"), skipped.unionByName(binary)
+    return loaded.filter("content is not null and encoding <> 'binary'"), skipped.unionByName(binary).unionByName(gone)
+
+
+def file_stream(spark: SparkSession, roots: list[str], exclude: list[str] = (), gitignore: bool = True) -> DataFrame:
+    """Files that appear or change in folders, as path, content, encoding, text; names and endings as of ``files``, binary ones left out."""
+    spark.dataSource.register(folders.FolderSource)
+    found = spark.readStream.format(folders.NAME).options(**_options(spark, roots, exclude, gitignore)).load()
+    return _loaded(spark, found.filter("reason is null")).filter("content is not null and encoding <> 'binary'")
+
+
+def _blobs(batches: Iterator[pa.RecordBatch], repository: str) -> Iterator[pa.RecordBatch]:
+    """Contents of blobs, one at a time from one git process."""
+    with subprocess.Popen(["git", "-C", repository, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as run:
+        for batch in batches:
+            for path, blob in zip(batch.column("path").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                run.stdin.write(f"{blob}\n".encode())
+                run.stdin.flush()
+                size = int(run.stdout.readline().split(b" ")[2])
+                content = run.stdout.read(size)
+                run.stdout.read(1)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], ["path", "content"])
+        run.stdin.close()
 
 
 def staged(spark: SparkSession, repository: str) -> DataFrame:
-    """Added, changed and moved files as the index holds them: path, content, encoding, text."""
-    git = lambda *args, **how: subprocess.run(["git", "-C", repository, *args], capture_output=True, check=True, **how).stdout
-    fields = git("diff", "--cached", "--raw", "-z", "--no-renames", "--diff-filter=ACMT", "--no-abbrev").decode("utf-8", "surrogateescape").split("\0")
-    wanted = [(path, head.split(" ")[3]) for head, path in zip(fields[::2], fields[1::2], strict=False) if head.split(" ")[1] not in ("120000", "160000") and is_readable(path)]
-    rows = []
-    if wanted:
-        raw, at = git("cat-file", "--batch", input="\n".join(blob for _, blob in wanted).encode() + b"\n"), 0
-        for path, _ in wanted:
-            head, _, _ = raw[at:].partition(b"\n")
-            size = int(head.split(b" ")[2])
-            at += len(head) + 1
-            rows.append((path, bytearray(raw[at : at + size])))
-            at += size + 1
-    return decoded(spark.createDataFrame(rows, "path string, content binary"))
+    """Added, changed and moved files as the index holds them: path, content, encoding, text. Tasks read the list and the blobs."""
+    spark.dataSource.register(folders.IndexSource)
+    names = spark.read.format(folders.INDEX).option("repository", os.path.abspath(repository)).load()
+    parts = spark.sparkContext.defaultParallelism
+    return decoded(names.repartition(parts).mapInArrow(partial(_blobs, repository=os.path.abspath(repository)), "path string, content binary"))
 
 
 def text_source(spark: SparkSession, text, name: str = "<stdin>") -> DataFrame:

@@ -1,8 +1,8 @@
 """Reports: JSON, SARIF, CI annotations, Markdown, terminal text, rewritten files.
 
-Rows are made by native expressions and written by Spark; the functions that
-return one document (``sarif_log``, ``json_report``) are for scans whose
-findings a person reads, and gather findings on the driver, never texts.
+Rows are made by native expressions. Whole reports are written by tasks through
+the data source of ``reports``, and files are rewritten by the tasks that clean
+them, so neither findings nor texts pass through the driver.
 """
 
 from __future__ import annotations
@@ -10,12 +10,17 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
+from functools import partial
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dims import SEVERITIES
 from ..operators.scan import sanitized, scan_keys
+from . import reports
 
 TOOL = "veilscan"
 #: SARIF levels, security severities and annotation commands by severity.
@@ -56,22 +61,53 @@ def located(files: DataFrame, path: str = "path", text: str = "text", ignore: tu
     )
 
 
-def rule_name(rule: str) -> str:
-    return "".join(part[:1].upper() + part[1:] for part in rule.split("-"))
+def _json(text: Column) -> Column:
+    """A string as JSON."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
-def sarif_log(files: DataFrame, path: str = "path", text: str = "text", ignore: tuple[str, ...] = (), version: str = "0.1.0") -> dict:
-    """A SARIF 2.1.0 log: a rule from the first finding of each id, a result for each finding at its first place."""
-    rules, results = {}, []
-    for r in located(files, path, text, ignore).orderBy("path", "rank").toLocalIterator():
-        rules.setdefault(r.id, {
-            "id": r.id, "name": rule_name(r.id), "shortDescription": {"text": r.title}, "fullDescription": {"text": (r.detail or r.title)[:900]},
-            "defaultConfiguration": {"level": r.level}, "properties": {"tags": ["security", "unicode"], "security-severity": SECURITY[r.severity]},
-        })
-        place = {"artifactLocation": {"uri": r.path}, "region": {"startLine": r.line, "startColumn": r.column, "endColumn": r.column + 1}}
-        results.append({"ruleId": r.id, "level": r.level, "message": {"text": r.message}, "locations": [{"physicalLocation": place}], "partialFingerprints": {TOOL: f"{r.id}:{r.path}:{r.line}:{r.column}"}})
-    driver = {"name": TOOL, "version": version, "rules": list(rules.values())}
-    return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "columnKind": "utf16CodeUnits", "results": results}]}
+def sarif_results(found: DataFrame) -> DataFrame:
+    """``located`` findings with ``value``, the SARIF result of each, and ``rule``, what its rule would be if it is the first of its id."""
+    region = F.struct(F.col("line").alias("startLine"), F.col("column").alias("startColumn"), (F.col("column") + 1).alias("endColumn"))
+    place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    result = F.struct(
+        F.col("id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.concat_ws(":", "id", "path", "line", "column").alias(TOOL)).alias("partialFingerprints")
+    )
+    name = F.array_join(F.transform(F.split("id", "-"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))), "")
+    properties = F.struct(F.array(F.lit("security"), F.lit("unicode")).alias("tags"), _pick(SECURITY, F.col("severity")).alias("security-severity"))
+    full = F.substring(F.coalesce(F.nullif("detail", F.lit("")), "title"), 1, 900)
+    rule = F.struct(
+        "id", name.alias("name"), F.struct(F.col("title").alias("text")).alias("shortDescription"), F.struct(full.alias("text")).alias("fullDescription"), F.struct("level").alias("defaultConfiguration"), properties.alias("properties")
+    )
+    return found.withColumns({"value": F.to_json(result), "rule": F.to_json(rule)})
+
+
+def sarif_rules(files: DataFrame, path: str = "path", text: str = "text", ignore: tuple[str, ...] = ()) -> DataFrame:
+    """id, path, rank, level, rule: the first finding of each id, by path and rank, which its rule is made from."""
+    rows = sarif_results(located(files, path, text, ignore))
+    first = rows.groupBy("id").agg(F.min_by(F.struct("path", "rank", "level", "rule"), F.struct("path", "rank")).alias("first"))
+    return first.select("id", "first.*")
+
+
+def _write(rows: DataFrame, kind: str, target: str, layout: str, **options: str) -> None:
+    """Rows of ``reports.ROWS`` as a report, by path. They are few beside the texts, and kept on disk so that sorting reads no text twice."""
+    spark = rows.sparkSession
+    spark.dataSource.register(reports.Report)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = rows.persist(StorageLevel.DISK_ONLY)
+    try:
+        ordered = kept.repartitionByRange(parts, "path", "rank").sortWithinPartitions("path", "rank")
+        ordered.write.format(reports.NAME).mode("append").options(kind=kind, layout=layout, tool=TOOL, **options).save(target)
+    finally:
+        kept.unpersist()
+
+
+def write_sarif(files: DataFrame, target: str, path: str = "path", text: str = "text", ignore: tuple[str, ...] = (), version: str = "0.1.0", layout: str = "file") -> None:
+    """A SARIF 2.1.0 log, or a folder of them: a rule from the first finding of each id, a result for each finding at its first place."""
+    found = sarif_results(located(files, path, text, ignore))
+    rows = found.select(F.lit("results").alias("section"), "path", "rank", "severity", "value", F.col("id").alias("rule_id"), "rule")
+    _write(rows, "sarif", target, layout, version=version)
 
 
 def _escaped(text: Column, also: str = "") -> Column:
@@ -86,7 +122,7 @@ def annotations(files: DataFrame, path: str = "path", text: str = "text", ignore
     samples = one_line(F.array_join(F.slice("samples", 1, 3), "  "), 160)
     said = F.concat_ws(
         " -- ", F.concat("title", F.when(F.col("count") > 1, F.concat(F.lit(" (x"), F.col("count"), F.lit(")"))).otherwise("")),
-        F.when(F.col("decoded") != "", F.concat(F.lit("decoded: "), F.substring(F.to_json(F.array(one_line(F.col("decoded"), 200))), F.lit(2), F.length(F.to_json(F.array(one_line(F.col("decoded"), 200)))) - 2))),
+        F.when(F.col("decoded") != "", F.concat(F.lit("decoded: "), _json(one_line(F.col("decoded"), 200)))),
         F.when(F.col("intent_labels") != "", F.concat(F.lit("reads as: "), F.col("intent_labels"))), F.when(F.size("samples") > 0, samples),
     )
     title = F.concat(F.lit(f"{TOOL} "), _pick(SEVERITIES, F.col("severity")), F.lit(": "), F.col("id"))
@@ -108,16 +144,17 @@ def json_rows(files: DataFrame, path: str = "path", text: str = "text", ignore:
     return rows.select(F.col(path).alias("path"), "severity", F.to_json(F.struct(F.col(path).alias("path"), F.col("label").alias("verdict"), stats.alias("stats"), found.alias("findings"))).alias("json"))
 
 
-def worst_label(severity: int | None) -> str:
-    return "CLEAN" if severity is None or severity < 0 else SEVERITIES[severity]
-
-
-def json_report(files: DataFrame, skipped: DataFrame | None = None, path: str = "path", text: str = "text", ignore: tuple[str, ...] = (), all_files: bool = True) -> dict:
-    """The whole report as one object."""
-    rows = json_rows(files, path, text, ignore).orderBy("path").collect()
-    missed = [r.asDict() for r in skipped.orderBy("path").collect()] if skipped is not None else []
-    ignored = [x for x in missed if x["reason"] == "git-ignored"]
-    return {"version": 1, "worst": worst_label(max((r.severity for r in rows), default=-1)), "skipped": [x for x in missed if x not in ignored], "gitignored": len(ignored), "files": [json.loads(r.json) for r in rows if all_files or r.severity >= 0]}
+def write_json(files: DataFrame, target: str, skipped: DataFrame | None = None, path: str = "path", text: str = "text", ignore: tuple[str, ...] = (), all_files: bool = True, layout: str = "file") -> None:
+    """The whole report as one object, or a folder of them: files, those that were skipped and why, the worst severity; ignored files are only counted."""
+    none = F.lit(None).cast("string")
+    rest = [none.alias("rule_id"), none.alias("rule")]
+    rows = json_rows(files, path, text, ignore).filter(F.lit(all_files) | (F.col("severity") >= 0))
+    rows = rows.select(F.lit("files").alias("section"), "path", F.lit(0).alias("rank"), "severity", F.col("json").alias("value"), *rest)
+    if skipped is not None:
+        ignored = F.col("reason") == "git-ignored"
+        said = F.when(~ignored, F.to_json(F.struct("path", "reason")))
+        rows = rows.unionByName(skipped.select(F.when(ignored, "gitignored").otherwise("skipped").alias("section"), "path", F.lit(0).alias("rank"), F.lit(-1).alias("severity"), said.alias("value"), *rest))
+    _write(rows, "json", target, layout, labels=json.dumps(["CLEAN", *SEVERITIES]))
 
 
 def comparison_json(compared: DataFrame) -> DataFrame:
@@ -180,15 +217,40 @@ def rewrite(path: str, text: str, encoding: str) -> None:
     os.replace(temporary, path)
 
 
-def fix(files: DataFrame, refuse=lambda path: False, **options) -> tuple[list[str], list[str]]:
-    """Rewrite in place what sanitizing changes in (path, encoding, text); returns the paths that were rewritten and those that ``refuse`` names."""
-    clean = sanitized(files, "path", **options).select("path", "sanitized")
-    changed = files.join(clean, "path").filter(~F.col("text").eqNullSafe(F.col("sanitized")))
-    done, refused = [], []
-    for row in changed.select("path", "encoding", "sanitized").toLocalIterator():
-        if refuse(row.path):
-            refused.append(row.path)
-        else:
-            rewrite(row.path, row.sanitized, row.encoding)
-            done.append(row.path)
-    return sorted(done), sorted(refused)
+def _put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths = batch.column("path").to_pylist()
+        for path, kind, text in zip(paths, batch.column("encoding").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            rewrite(path, text or "", kind)
+        yield pa.RecordBatch.from_arrays([pa.array([len(paths)], pa.int64())], ["n"])
+
+
+def write_files(texts: DataFrame) -> int:
+    """Each (path, encoding, text) as a file of its own, null texts as empty ones, written by tasks; returns how many. Of rows that repeat a path, one stays."""
+    return texts.select("path", "encoding", "text").mapInArrow(_put, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _rewrite(batches: Iterator[pa.RecordBatch], refuse) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths = batch.column("path").to_pylist()
+        refused = [bool(refuse(p)) for p in paths]
+        for path, kind, text, no in zip(paths, batch.column("encoding").to_pylist(), batch.column("sanitized").to_pylist(), refused, strict=True):
+            if not no:
+                rewrite(path, text, kind)
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(refused, pa.bool_())], ["path", "refused"])
+
+
+def fix(files: DataFrame, refuse=lambda path: False, **options) -> DataFrame:
+    """Rewrite in place what sanitizing changes in (path, encoding, text); returns path and refused, a row for each file that changes or that ``refuse`` keeps as it is.
+
+    The tasks that clean rewrite, each file whole or not at all, so a task that
+    runs again finds done what it did. The rows are kept on disk by Spark; if an
+    executor is lost after that, those of files it had rewritten may be missing,
+    as nothing is left to change in them.
+    """
+    clean = sanitized(files, "path", keep=("encoding",), **options)
+    changed = clean.filter(~F.col("text").eqNullSafe(F.col("sanitized"))).select("path", "encoding", "sanitized")
+    done = changed.mapInArrow(partial(_rewrite, refuse=refuse), "path string, refused boolean").persist(StorageLevel.DISK_ONLY)
+    done.count()
+    return done
