@@ -329,3 +329,14 @@ def test_plain_characters_are_of_no_note():
         if plain.match(chr(cp)):
             assert dims.describe(cp) is None and cp not in dims.CONFUSABLES, hex(cp)
     assert not plain.match("\u200b") and plain.match("\u00e9")
+
+
+def test_quick_form_of_the_prefilter(spark):
+    from pyspark.sql import functions as F
+
+    from veilscan.functions.native import SUSPECT, suspect
+
+    rng, parts = random.Random(4), ["<", "a", "<!--", "](", "]", ":", "=", "HREF", "src ", "action", " ", "\t", "A" * 13, "b/+" * 9, "c" * 40, "\u00fc", "\u0153", "\u00d7", "\r", "\u200b", "\n"]
+    rows = [(None,), ("",), *(("".join(rng.choice(parts) for _ in range(rng.randint(1, 5))),) for _ in range(2000))]
+    found = spark.createDataFrame(rows, "text string").select("text", suspect(F.col("text")).alias("quick"), F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False)).alias("slow")).collect()
+    assert len({r.quick for r in found}) == 2 and not [r.text for r in found if r.quick != r.slow]
