@@ -113,7 +113,7 @@ def bidi_severity(spark, sf_dir):
 
 @query("SELECT doc_id, " + ", ".join(f"{_n(k)}::BIGINT AS n_{k.replace('-', '_')}" for k in _KINDS) + f" FROM inj WHERE {_suspect_sql}")
 def class_counts(spark, sf_dir):
-    rows = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{class_of(*spans_by_kind())}]"))
+    rows = injected(spark, sf_dir).filter(native.holds(F.col("text"), f"[{class_of(*spans_by_kind())}]"))
     return rows.select("doc_id", *[native.count_kind(F.col("text"), k).alias(f"n_{k.replace('-', '_')}") for k in _KINDS])
 
 
@@ -143,10 +143,12 @@ _letters_sql = "(length(text) - length(regexp_replace(text, '\\p{L}', '', 'g')))
 
 @query(", shares AS (" + " UNION ALL ".join(f"SELECT doc_id, '{s}' AS script, (length(text) - length(regexp_replace(text, '[\\p{{{s}}}]', '', 'g')))::DOUBLE / {_letters_sql} AS share FROM inj WHERE {_letters_sql} > 0" for s in _share_scripts) + ") SELECT doc_id, script, round(share, 6) AS share FROM shares WHERE share > 0")
 def native_script_share(spark, sf_dir):
-    letters = F.regexp_count("text", F.lit(r"\p{L}"))
-    shares = F.array(*[F.struct(F.lit(s).alias("script"), (F.regexp_count("text", F.lit(rf"\p{{script={s}}}")) / letters).alias("share")) for s in _share_scripts])
-    rows = injected(spark, sf_dir).filter(letters > 0).select("doc_id", F.explode(shares).alias("x"))
-    return rows.filter("x.share > 0").select("doc_id", "x.script", F.round("x.share", 6).alias("share"))
+    """Letters of ASCII are counted by taking them out run by run, the others in what is left without ASCII."""
+    rows = injected(spark, sf_dir).select("doc_id", native.n_plain_letters(F.col("text")).alias("n"), native.beyond_ascii(F.col("text")).alias("rest"))
+    rows = rows.select("doc_id", "n", "rest", (F.col("n") + F.regexp_count("rest", F.lit(r"\p{L}"))).alias("letters"))
+    in_script = lambda s: F.regexp_count("rest", F.lit(rf"\p{{script={s}}}")) + (F.col("n") if s == "Latin" else F.lit(0))
+    shares = F.array(*[F.struct(F.lit(s).alias("script"), (in_script(s) / F.col("letters")).alias("share")) for s in _share_scripts])
+    return rows.select("doc_id", F.explode(shares).alias("x")).filter("x.share > 0").select("doc_id", "x.script", F.round("x.share", 6).alias("share"))
 
 
 _twins = {cp: to for cp, (to, _) in CONFUSABLES.items() if to.isalnum()}
@@ -159,8 +161,10 @@ _owner_share_sql = "CASE " + " ".join(f"WHEN regexp_matches(word, '^[{_twins_in[
 @query(f", words AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]{{4,}}')) AS word FROM inj WHERE regexp_matches(text, '[{_class(_twins)}]{{4,}}')) SELECT doc_id, word, translate(word, {injection.sql_text(_from)}, '{_to}') AS reads_as FROM words WHERE regexp_matches(word, '^[{_class(_twins)}]+$') AND NOT regexp_matches(word, '\\p{{Latin}}') AND 5 * ({_owner_share_sql}) < {_letters_sql}")
 def spoofed_words(spark, sf_dir):
     """Words that are drawn like Latin ones, where their script is not one of the text's own: in a fifth of its letters."""
-    rows = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{_class(_twins)}]{{4,}}"))
-    own = F.array_compact(F.array(*[F.when(5 * F.regexp_count("text", F.lit(rf"\p{{script={x}}}")) >= F.regexp_count("text", F.lit(r"\p{L}")), F.lit(x)) for x in _twin_scripts]))
+    t = F.col("text")
+    rows = injected(spark, sf_dir).filter(native.holds(t, f"[{_class(_twins)}]{{4,}}"))
+    letters = native.n_plain_letters(t) + F.regexp_count(native.beyond_ascii(t), F.lit(r"\p{L}"))
+    own = F.array_compact(F.array(*[F.when(5 * F.regexp_count(native.beyond_ascii(t), F.lit(rf"\p{{script={x}}}")) >= letters, F.lit(x)) for x in _twin_scripts]))
     words = rows.select("doc_id", own.alias("own"), F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]{4,}"), 0)).alias("word"))
     script = None
     for x in _twin_scripts:
@@ -177,7 +181,7 @@ _dim_sql = ", dim(cp, target, script) AS (VALUES " + ", ".join(f"({cp}, '{to.rep
 def confusable_histogram(spark, sf_dir):
     """The join of characters with the dimension of lookalikes, a broadcast of a fixed table."""
     dim = spark.createDataFrame([(cp, to, s) for cp, (to, s) in CONFUSABLES.items()], "cp int, target string, script string")
-    chars = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{_class(CONFUSABLES)}]")).select("doc_id", F.explode(native.chars(native.noted(F.col("text")))).alias("ch")).withColumn("cp", F.ascii("ch"))
+    chars = injected(spark, sf_dir).filter(native.holds(F.col("text"), f"[{_class(CONFUSABLES)}]")).select("doc_id", F.explode(native.chars(native.noted(F.col("text")))).alias("ch")).withColumn("cp", F.ascii("ch"))
     return chars.join(F.broadcast(dim), "cp").groupBy("script", "target").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -323,8 +327,8 @@ def stripped_texts(spark, sf_dir):
 
 @query(_chars.format(f"regexp_matches(text, '[{class_of(*HIDDEN_KINDS)}]')") + f", cps AS (SELECT doc_id, list(cp::BIGINT ORDER BY i) AS cps FROM cells WHERE regexp_matches(ch, '^[{class_of(*HIDDEN_KINDS)}]$') GROUP BY doc_id) SELECT doc_id, len(cps)::BIGINT AS hidden, printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, flatten(list_transform(cps, lambda x: [x & 255, (x >> 8) & 255, (x >> 16) & 255]))), lambda h, b: (xor(h, b) * 16777619) & 4294967295)) AS signature FROM cps")
 def mark_fingerprint(spark, sf_dir):
-    rows = injected(spark, sf_dir).filter(F.col("text").rlike(f"[{class_of(*HIDDEN_KINDS)}]"))
-    cps = F.transform(F.filter(native.chars(F.col("text")), lambda c: c.rlike(f"^[{class_of(*HIDDEN_KINDS)}]$")), lambda c: F.ascii(c))
+    rows = injected(spark, sf_dir).filter(native.holds(F.col("text"), f"[{class_of(*HIDDEN_KINDS)}]"))
+    cps = F.transform(F.filter(native.chars(native.noted(F.col("text"))), lambda c: c.rlike(f"^[{class_of(*HIDDEN_KINDS)}]$")), lambda c: F.ascii(c))
     return rows.select("doc_id", cps.alias("cps")).select("doc_id", F.size("cps").cast("long").alias("hidden"), native.fingerprint(F.col("cps")).alias("signature"))
 
 
