@@ -106,3 +106,18 @@ def test_a_long_text_of_marks_takes_no_longer_than_many_short_ones(spark):
     began = time.perf_counter()
     assert cells.marks(df).count() == 200_000
     assert time.perf_counter() - began < 30
+
+
+def test_quick_passes_find_what_the_patterns_say(spark):
+    from pyspark.sql import functions as F
+
+    from veilscan.functions import native
+    from veilscan.functions.dims import HIDDEN_KINDS, class_of
+
+    rng, parts = random.Random(6), ["a", "B ", "ü", "ß", "ƿ", "ǀ", "​", "­", "е", "\r\n", "\x07", "\U000e0041", "\U0001f600", "$1", "\\", ""]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))),) for _ in range(1500)] + [(None,)]
+    t, hidden = F.col("text"), class_of(*HIDDEN_KINDS)
+    quick = [native.without(t, hidden), native.holds(t, f"[{hidden}]"), native.n_plain_letters(t), native.beyond_ascii(t)]
+    slow = [F.regexp_replace(t, f"[{hidden}]", ""), t.rlike(f"[{hidden}]"), F.regexp_count(t, F.lit("[A-Za-z]")), F.regexp_replace(t, "[^\\x{80}-\\x{10FFFF}]", "")]
+    for r in spark.createDataFrame(rows, "text string").select(F.array(*[c.cast("string") for c in quick]).alias("q"), F.array(*[c.cast("string") for c in slow]).alias("s")).collect():
+        assert r.q == r.s

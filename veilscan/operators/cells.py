@@ -55,7 +55,7 @@ def placed(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     order, upto, before, after = _frames()
     # plain characters are looked for first, in a class within the class
     quiet = f"[{native.PLAIN}[{quiet_class()}]]"
-    rows = _cut(df.filter(F.col(text).rlike(f"[^{native.PLAIN}]")), text, f"{quiet}*+(?:(?s:.)|\\z)", *keep)
+    rows = _cut(df.filter(native.noted(F.col(text)) != ""), text, f"{quiet}*+(?:(?s:.)|\\z)", *keep)
     last = F.right("_piece", F.lit(1))
     ch = F.when(last.rlike(f"^{quiet}"), F.lit("")).otherwise(last)
     rows = rows.select(*keep, "_row", "_n", "_piece", ch.alias("ch")).select(*keep, "_row", "_n", "ch", F.substr("_piece", F.lit(1), F.length("_piece") - F.length("ch")).alias("gap"), F.when(F.col("ch") != "", F.ascii("ch")).alias("cp"))
@@ -125,7 +125,7 @@ def marks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def views(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, visible_text (nothing hidden) and human_text (what is excused or directs stays). Texts in which neighbours can excuse nothing are not taken apart."""
-    marked = F.coalesce(F.col(text).rlike(f"[{class_of(VS, ZERO_WIDTH)}]"), F.lit(False))
+    marked = F.coalesce(native.holds(F.col(text), f"[{class_of(VS, ZERO_WIDTH)}]"), F.lit(False))
     plain = df.filter(~marked).select(key, F.coalesce(native.visible_text(F.col(text)), F.lit("")).alias("visible_text"), F.coalesce(native.human_text(F.col(text)), F.lit("")).alias("human_text"))
     rows = placed(df.filter(marked), key, text=text)
     unseen = {"visible_text": F.col("hidden"), "human_text": F.col("hidden") & ~F.col("benign") & (F.col("kind") != BIDI)}
@@ -136,7 +136,7 @@ def views(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def stacks(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, depth, offset: the deepest stack of combining marks of a text (the first of these) and its last mark. Characters of note in a stack neither count nor part it."""
     noted, base = class_of(*spans_by_kind()), r"\p{Mn}\p{Me}"
-    rows = _cut(df.filter(F.col(text).rlike(f"[{base}]")), text, f"[^{base}{noted}]*+(?:[{base}{noted}]++|\\z)", key)
+    rows = _cut(df.filter(native.holds(F.col(text), f"[{base}]")), text, f"[^{base}{noted}]*+(?:[{base}{noted}]++|\\z)", key)
     stack = F.regexp_replace("_piece", f"^[^{base}{noted}]++", "")
     # noted characters at the end do not belong to it
     own = F.reverse(F.regexp_replace(F.reverse("_piece"), f"^[{noted}]++", ""))
@@ -179,7 +179,7 @@ def zero_width_readings(df: DataFrame, cps: str) -> DataFrame:
 
 def payloads(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, id, decoded, scheme: what zero-width characters and variation selectors of a text say that nothing excuses, where it reads as text."""
-    rows = placed(df.filter(F.col(text).rlike(f"[{class_of(VS, ZERO_WIDTH)}]")), key, text=text).filter(F.col("kind").isin(VS, ZERO_WIDTH) & ~F.col("benign"))
+    rows = placed(df.filter(native.holds(F.col(text), f"[{class_of(VS, ZERO_WIDTH)}]")), key, text=text).filter(F.col("kind").isin(VS, ZERO_WIDTH) & ~F.col("benign"))
     of_kind = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("_n", "cp")))), lambda x: x["cp"])
     read = rows.groupBy("_row", key).agg(of_kind(VS).alias("_vs"), of_kind(ZERO_WIDTH).alias("_zw"))
     bytes_said = read.select(key, native.decode_variation_selectors(F.col("_vs")).alias("decoded")).filter((native.text_score(F.col("decoded")) >= 0.85) & (native.utf16_units(F.col("decoded")) >= 2))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import ANSI, BIDI, CONFUSABLES, CONTROL, DEPRECATED, HOMOGLYPH_SCRIPTS, LINEBREAK, MARKER, NONCHAR, PUA, SPACE, TAGS, VS, ZERO_WIDTH, property_class
+from ..functions import native
 from . import cells
 
 
@@ -67,7 +68,7 @@ def mixed_words(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     script = lambda *names: property_class(*(f"Script={n}" for n in names))
     foreign, latin, inside = script(*HOMOGLYPH_SCRIPTS), script("Latin"), r"\p{L}\p{N}_"
     # a host is the beginning of a run of these, and words lie within one run; so a run's words and its host are swept together
-    runs = _runs(df.filter(F.col(text).rlike(f"[{foreign}]")), text, r"\p{L}\p{N}._@-", key).filter(F.col("run").rlike(f"[{foreign}]"))
+    runs = _runs(df.filter(native.holds(F.col(text), f"[{foreign}]")), text, r"\p{L}\p{N}._@-", key).filter(F.col("run").rlike(f"[{foreign}]"))
     runs = with_host(runs, "run").withColumnRenamed("host", "_host").withColumn("_id", F.struct("_row", "start"))
     words = F.transform(F.filter(F.regexp_extract_all("run", F.lit(f"[^{inside}]*+(?:[{inside}]++|\\z)"), F.lit(0)), lambda x: x != ""), lambda x: F.struct(F.lit(False).alias("is_span"), x.alias("piece")))
     host = F.when(_is_lookalike(F.col("_host")), F.array(F.struct(F.lit(True).alias("is_span"), F.col("_host").alias("piece")))).otherwise(F.array().cast("array<struct<is_span: boolean, piece: string>>"))
