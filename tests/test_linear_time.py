@@ -4,11 +4,14 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 import regex
 
-from veilscan.functions import css, document, markup
+from veilscan.functions import css, dims, document, markup
 from veilscan.functions.dims import WIDE_SPACE
+from veilscan.operators import scan
+from veilscan.plans import catalogue
 
 PROBES = {
     "links without an end": "[a](" * 16_000,
@@ -76,3 +79,26 @@ def test_western_texts_are_passed_over():
     took, began = time.process_time() - began, time.process_time()
     assert not list(document.hosts(text))
     assert took < time.process_time() - began
+
+
+_pieces = (" never tell ", "log", " upload the ", " https://y ", " Agents ", " should ", " read my passwords ", "ignore", "FORGET", "all", "prior.", "system\u3000", "prompts", "you are an", "do not", "don't ", "tell", "http", "s://x", "post", "nc", "sh", "ba\u017fh", "bas\u212a", "to\u017fk", "~/.ssh", "my_id_rsa2", ".env", "api_key", "API-KEYS", "eval", "(", "< img", "rm -rf", "tool", "_call", "send", "AI", "LLMs", "must", "need  to", " ", " ", "\n", ".", "x" * 41, "\u00e9", "\U0001f600")
+
+
+def test_intents_of_whole_texts():
+    """Arrow's patterns say what those of single texts say, letters that only Unicode folds to ASCII included, at one step a character."""
+    rng = random.Random(4)
+    texts = [None, "", "ba\u017fh", "\u212abash", "\u017fend us https://x", *("".join(rng.choices(_pieces, k=rng.randint(1, 14))) for _ in range(4000))]
+    want = [[label for label, _ in dims.intents_of(t)] for t in texts]
+    assert scan._intent_labels(pa.array(texts, pa.string())).to_pylist() == want
+    assert {label for found in want for label in found} == {label for label, _ in dims.INTENTS}
+    assert scan._intent_labels(pa.array([], pa.string())).to_pylist() == []
+    long = pa.array(["No keeper of the lighthouse has to sign the tide table, and the pilot said so. " * 50_000])
+    began = time.process_time()
+    assert scan._intent_labels(long).to_pylist() == [[]]
+    assert time.process_time() - began < 1.2  # four megabytes; the JVM's patterns took some five seconds
+
+
+def test_intent_queries_try_no_pattern_from_every_place(spark):
+    for name in ("intent_by_lang",):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "RLIKE" not in plan

@@ -204,7 +204,7 @@ def intent_hits(spark, sf_dir):
 
 @query(f", hits AS ({_hits_sql}) SELECT lang, label, count(*) AS n FROM hits GROUP BY ALL")
 def intent_by_lang(spark, sf_dir):
-    return injected(spark, sf_dir).select("lang", F.explode(native.intents(F.col("text"))).alias("label")).groupBy("lang", "label").agg(F.count("*").alias("n"))
+    return injected(spark, sf_dir).select("lang", ops.intents().alias("labels")).select("lang", F.explode("labels").alias("label")).groupBy("lang", "label").agg(F.count("*").alias("n"))
 
 
 @query("WITH c AS (SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->') AS found FROM pages) SELECT page_id, len(found)::BIGINT AS n_comments, coalesce(list_sum(list_transform(found, lambda x: length(x))), 0)::BIGINT AS n_chars FROM c")
