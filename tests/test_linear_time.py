@@ -99,6 +99,6 @@ def test_intents_of_whole_texts():
 
 
 def test_intent_queries_try_no_pattern_from_every_place(spark):
-    for name in ("intent_by_lang",):
+    for name in ("intent_hits", "intent_by_lang"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" in plan and "RLIKE" not in plan

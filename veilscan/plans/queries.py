@@ -199,7 +199,7 @@ _hits_sql = " UNION ALL ".join(f"SELECT doc_id, lang, '{label}' AS label FROM in
 
 @query(f", hits AS ({_hits_sql}) SELECT doc_id, label FROM hits")
 def intent_hits(spark, sf_dir):
-    return injected(spark, sf_dir).select("doc_id", F.explode(native.intents(F.col("text"))).alias("label"))
+    return injected(spark, sf_dir).select("doc_id", ops.intents().alias("labels")).select("doc_id", F.explode("labels").alias("label"))
 
 
 @query(f", hits AS ({_hits_sql}) SELECT lang, label, count(*) AS n FROM hits GROUP BY ALL")
