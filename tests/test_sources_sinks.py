@@ -300,3 +300,25 @@ def test_options_of_cleaning(spark, tmp_path):
     assert open(path, encoding="utf-8").read() == "6\u2009kn \u0430b u\u0308 \x1b[2K"
     main([path, "--fix", "--fold-confusables"], spark)
     assert open(path, encoding="utf-8").read() == "6 kn ab \u00fc "
+
+
+def test_files_are_held_a_few_at_a_time(spark, tmp_path):
+    """A task that reads holds some megabytes and one that writes some hundred texts, however many there are; files are read and decoded once."""
+    parts = list(files._batches((str(i), b"\xff\xfe" + b"a\0" * 50_000) for i in range(400)))
+    assert max(p.nbytes for p in parts) < 3 * files.HELD and sum(p.num_rows for p in parts) == 400 and len(parts) > 5
+    assert max(p.num_rows for p in files._batches((str(i), b"") for i in range(2500))) == 1000 and list(files._batches(iter(()))) == []
+    texts = spark.range(1300).coalesce(1).selectExpr(f"concat('{tmp_path}/', id, '.txt') path", "element_at(array('utf-8', 'utf-16le', 'utf-16be'), cast(id % 3 + 1 as int)) encoding", "if(id = 7, null, concat('tide ', id, ' \u00e9\U0001f600')) text")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    seen, before = spark.sparkContext.accumulator(0), spark.conf.get(name)
+    put = sinks._put
+    counted = lambda batches: put(seen.add(1) or b for b in batches)
+    sinks._put = counted
+    try:
+        assert sinks.write_files(texts) == 1300
+    finally:
+        sinks._put = put
+    assert seen.value == 3 and spark.conf.get(name) == before
+    read, _ = files.files(spark, [str(tmp_path)], gitignore=False)
+    want = {(r.path, r.encoding, r.text or "") for r in texts.collect()}
+    assert {(r.path, r.encoding, r.text) for r in read.collect()} == want
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1

@@ -42,7 +42,34 @@ def git_ignored(folder: str, deep: bool = True) -> set[str]:
     return {os.path.abspath(os.path.join(folder, p)) for p in run.stdout.decode("utf-8", "surrogateescape").split("\0") if p} if run.returncode == 0 else set()
 
 
-def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Bytes of files that a task gathers before it passes them on, beside the one that is more.
+HELD = 4 << 20
+_read = pa.schema([("path", pa.string()), ("content", pa.binary()), ("wide", pa.string())])
+_READ = "path string, content binary, wide string"
+
+
+def _wide(content: bytes | None) -> str | None:
+    """The text of a file in UTF-16; None for any other."""
+    head = (content or b"")[:2]
+    if head == b"\xff\xfe":
+        return content[2:].decode("utf-16le", "replace")
+    return content[2 : len(content) - len(content) % 2].decode("utf-16be", "replace") if head == b"\xfe\xff" else None
+
+
+def _batches(found: Iterator[tuple[str, bytes | None]]) -> Iterator[pa.RecordBatch]:
+    """Files with their bytes, and their text where only Python decodes it. A task holds ``HELD`` and a file, however many it reads."""
+    held, size = [], 0
+    for path, content in found:
+        held.append((path, content, _wide(content)))
+        size += len(content or b"")
+        if size >= HELD or len(held) == 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), _read.types, strict=True)], schema=_read)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), _read.types, strict=True)], schema=_read)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes | None]]:
     for batch in batches:
         for path in batch.column("path").to_pylist():
             try:
@@ -50,7 +77,11 @@ def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     content = f.read(MOST_BYTES + 1)
             except OSError:
                 content = None
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], ["path", "content"])
+            yield path, content
+
+
+def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _batches(_opened(batches))
 
 
 def encoding(content: Column) -> Column:
@@ -59,22 +90,11 @@ def encoding(content: Column) -> Column:
     return F.when(head == "FFFE", "utf-16le").when(head == "FEFF", "utf-16be").when(F.contains(F.substring(content, 1, 8192), F.lit(b"\0")), "binary").otherwise("utf-8")
 
 
-def _utf16(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for raw, kind in zip(batch.column("content").to_pylist(), batch.column("encoding").to_pylist(), strict=True):
-            raw = raw[2:] if kind == "utf-16le" else raw[2 : len(raw) - len(raw) % 2]
-            rows.append(raw.decode(kind, "replace"))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.string())], [*batch.schema.names, "text"])
-
-
 def decoded(files: DataFrame) -> DataFrame:
-    """(path, content) -> path, content, encoding, text; UTF-8 natively with replacement characters and its mark kept, null text for binary files."""
+    """(path, content, wide) -> path, content, encoding, text; UTF-8 natively with replacement characters and its mark kept, null text for binary files."""
     kinds = files.withColumn("encoding", encoding(F.col("content")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.schema) + ", text string"
-    wide = kinds.filter("encoding like 'utf-16%'").mapInArrow(_utf16, schema)
-    narrow = kinds.filter("encoding not like 'utf-16%'").withColumn("text", F.when(F.col("encoding") == "utf-8", F.make_valid_utf8(F.col("content").cast("string"))))
-    return narrow.unionByName(wide)
+    text = F.when(F.col("encoding") == "utf-8", F.make_valid_utf8(F.col("content").cast("string"))).otherwise(F.col("wide"))
+    return kinds.select("path", "content", "encoding", text.alias("text"))
 
 
 def _options(spark: SparkSession, roots: list[str], exclude: list[str], gitignore: bool) -> dict[str, str]:
@@ -89,7 +109,7 @@ def listed(spark: SparkSession, roots: list[str], exclude: list[str] = (), gitig
 
 def _loaded(spark: SparkSession, paths: DataFrame) -> DataFrame:
     """Read in other tasks than listed, so that one large folder is read by all."""
-    return decoded(paths.select("path").repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(_load, "path string, content binary"))
+    return decoded(paths.select("path").repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(_load, _READ))
 
 
 def files(spark: SparkSession, roots: list[str], exclude: list[str] = (), gitignore: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +129,7 @@ def file_stream(spark: SparkSession, roots: list[str], exclude: list[str] = (),
     return _loaded(spark, found.filter("reason is null")).filter("content is not null and encoding <> 'binary'")
 
 
-def _blobs(batches: Iterator[pa.RecordBatch], repository: str) -> Iterator[pa.RecordBatch]:
+def _contents(batches: Iterator[pa.RecordBatch], repository: str) -> Iterator[tuple[str, bytes]]:
     """Contents of blobs, one at a time from one git process."""
     with subprocess.Popen(["git", "-C", repository, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as run:
         for batch in batches:
@@ -119,16 +139,20 @@ def _blobs(batches: Iterator[pa.RecordBatch], repository: str) -> Iterator[pa.Re
                 size = int(run.stdout.readline().split(b" ")[2])
                 content = run.stdout.read(size)
                 run.stdout.read(1)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], ["path", "content"])
+                yield path, content
         run.stdin.close()
 
 
+def _blobs(batches: Iterator[pa.RecordBatch], repository: str) -> Iterator[pa.RecordBatch]:
+    yield from _batches(_contents(batches, repository))
+
+
 def staged(spark: SparkSession, repository: str) -> DataFrame:
     """Added, changed and moved files as the index holds them: path, content, encoding, text. Tasks read the list and the blobs."""
     spark.dataSource.register(folders.IndexSource)
     names = spark.read.format(folders.INDEX).option("repository", os.path.abspath(repository)).load()
     parts = spark.sparkContext.defaultParallelism
-    return decoded(names.repartition(parts).mapInArrow(partial(_blobs, repository=os.path.abspath(repository)), "path string, content binary"))
+    return decoded(names.repartition(parts).mapInArrow(partial(_blobs, repository=os.path.abspath(repository)), _READ))
 
 
 def text_source(spark: SparkSession, text, name: str = "<stdin>") -> DataFrame:

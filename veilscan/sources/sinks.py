@@ -219,16 +219,26 @@ def rewrite(path: str, text: str, encoding: str) -> None:
 
 def _put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths = batch.column("path").to_pylist()
-        for path, kind, text in zip(paths, batch.column("encoding").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            rewrite(path, text or "", kind)
-        yield pa.RecordBatch.from_arrays([pa.array([len(paths)], pa.int64())], ["n"])
+        for path, kind, text in zip(batch.column("path"), batch.column("encoding"), batch.column("text"), strict=True):  # one text at a time becomes Python's
+            to = path.as_py()
+            os.makedirs(os.path.dirname(to), exist_ok=True)
+            rewrite(to, text.as_py() or "", kind.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+
+#: Texts that a task which writes files is handed at a time.
+AT_A_TIME = 500
 
 
 def write_files(texts: DataFrame) -> int:
     """Each (path, encoding, text) as a file of its own, null texts as empty ones, written by tasks; returns how many. Of rows that repeat a path, one stays."""
-    return texts.select("path", "encoding", "text").mapInArrow(_put, "n long").agg(F.sum("n")).first()[0] or 0
+    conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, AT_A_TIME)  # thousands of long texts at once are most of what a task holds
+    try:
+        return texts.select("path", "encoding", "text").mapInArrow(_put, "n long").agg(F.sum("n")).first()[0] or 0
+    finally:
+        conf.set(name, before)
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch], refuse) -> Iterator[pa.RecordBatch]:
